@@ -18,6 +18,7 @@ from cytoplane.functions import geometry as g
 from cytoplane.functions.text import piece_id_or_default, safe_identifier, strip
 from cytoplane.operators.grid import meeting_boxes, place_boxes, place_points
 from cytoplane.operators.ordering import running_in_group
+from cytoplane.session import materialize
 
 # Roles with their name in GeoJSON, their layer name, and the stem of their own file.
 ROLE_NAMES = {
@@ -226,9 +227,8 @@ def merge_piece_lines(shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
     chains = degree.groupBy(*key).agg(F.max("d").alias("top"), F.count_if(F.col("d") == 1).alias("loose"))
     ready = chains.filter((F.col("top") == 2) & F.col("loose").isin(0, 2)).select(*key)
     several = counts.filter("parts > 1")
-    chained = (
-        lines.join(several.select(*key), key, "left_semi")
-        .join(ready, key, "left_semi")
+    chained = materialize(
+        lines.join(several.join(ready, key, "left_semi").select(*key), key, "left_semi")
         .groupBy(*key)
         .applyInPandas(_chain, _CHAIN)
     )
@@ -539,7 +539,7 @@ def ribbon_from_edge(merged: DataFrame, shapes: DataFrame) -> tuple[DataFrame, D
     pia = merged.filter(F.col("role") == "pia").select(*key, F.col("vertices").alias("pia"))
     wm = merged.filter(F.col("role") == "wm").select(*key, F.col("vertices").alias("wm"))
     ready = pia.join(explicit, key, "left_anti").join(wm, key, "left").join(single_edges(shapes), "section")
-    built = ready.select(*key, "edge", "pia", "wm").mapInPandas(_ribbons, _RIBBON)
+    built = materialize(ready.select(*key, "edge", "pia", "wm").mapInPandas(_ribbons, _RIBBON))
     has_wm = built.join(wm.select(*key, F.lit(True).alias("_wm")), key, "left").withColumn("_wm", F.coalesce("_wm", F.lit(False)))
     rule = (
         F.when(~F.col("_wm") & (F.col("candidates") != 1), F.lit("pial_only_ribbon"))
@@ -665,10 +665,13 @@ def annotation_features(shapes: DataFrame, merged: DataFrame, dataset: str | Non
 
 
 def check_annotations(annotations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All rules at once: (usable shapes, merged lines, findings)."""
-    shapes = canonical(annotations)
-    own = check_lines(shapes).unionByName(check_polygons(shapes))
-    usable = usable_shapes(shapes, own)
+    """All rules at once: (usable shapes, merged lines, findings).
+
+    Shapes, their own errors and the merged lines are each read by many rules, so they are stored once.
+    """
+    shapes = materialize(canonical(annotations))
+    own = materialize(check_lines(shapes).unionByName(check_polygons(shapes)))
+    usable = materialize(usable_shapes(shapes, own))
     merged, merging = merge_piece_lines(usable)
     # Relations are judged on merged lines plus the other shapes.
     others = usable.filter(~F.col("role").isin("pia", "wm"))
@@ -759,7 +762,7 @@ def object_features(objects: DataFrame, dataset: str | None = None) -> tuple[Dat
     blanks = _finding(named.filter(blank).select("section").distinct(), "error", "blank_name", F.lit(
         "Object annotation names must not be blank."))
     filled = named.filter(~blank)
-    shapes = filled.filter(F.col("vertices").isNotNull())
+    shapes = materialize(filled.filter(F.col("vertices").isNotNull()))
     sets = filled.groupBy("section", "object_type").agg(F.count("vertices").alias("_n")).filter("_n = 0")
     empty = _finding(sets, "warning", "empty_set", F.concat(
         F.lit("Object set '"), F.col("object_type"), F.lit("' contains no polygons.")))
@@ -768,7 +771,7 @@ def object_features(objects: DataFrame, dataset: str | None = None) -> tuple[Dat
     bad = check_polygons(shapes, key, label)
     # Invalid polygons keep their place in the count of their set, but are not exported.
     broken = _bad_polygons(shapes, key)
-    with_ids = object_ids(shapes).join(broken, key, "left_anti")
+    with_ids = materialize(object_ids(shapes).join(broken, key, "left_anti"))
     per_id = with_ids.groupBy("section", "object_id").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("object_type", "shape_ord")).alias("_first"))
     doubled = _finding(per_id.filter("_n > 1"), "error", "duplicate_id", F.concat(
         F.lit("Duplicate object_id '"), F.col("object_id"), F.lit("'.")))

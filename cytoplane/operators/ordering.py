@@ -80,7 +80,7 @@ def exact_percentiles(df: DataFrame, group: list[str], value: str, fractions: di
         at = F.lit(float(fraction)) * (F.col("_total") - 1)
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         out.append((low + (high - low) * (at - F.floor(at))).alias(name))
-    return found.select(*group, F.col("_total").alias("n"), *out)
+    return found.filter(F.col("_total").isNotNull()).select(*group, F.col("_total").alias("n"), *out)
 
 
 def running_in_group(

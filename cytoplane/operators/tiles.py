@@ -93,11 +93,11 @@ def retile(tiles: DataFrame, old: int, new: int = TILE) -> DataFrame:
         first = pdf.iloc[0]
         top, left = int(first.ty) * new, int(first.tx) * new
         h, w = min(new, int(first.height) - top), min(new, int(first.width) - left)
-        data = np.zeros((h, w), dtype=first.dtype)
+        data = np.zeros((h, w), dtype=first["dtype"])
         for t in pdf.itertuples(index=False):
             part = np.frombuffer(t.data, dtype=t.dtype).reshape(int(t.h), int(t.w))
             data[int(t.r0) - top:int(t.r0) - top + int(t.h), int(t.c0) - left:int(t.c0) - left + int(t.w)] = part
-        return pd.DataFrame([[*first[_NAMES[:6]], h, w, first.height, first.width, first.dtype, data.tobytes()]], columns=_NAMES)
+        return pd.DataFrame([[*first[_NAMES[:6]], h, w, first.height, first.width, first["dtype"], data.tobytes()]], columns=_NAMES)
 
     pieces = tiles.select(*_NAMES).mapInPandas(cut, piece)
     return pieces.groupBy("section", "key", "channel", "level", "ty", "tx").applyInPandas(join, _SCHEMA)
@@ -171,7 +171,7 @@ def outline_tiles(tiles: DataFrame, width: int = 1, tile: int = TILE) -> DataFra
         w = min(tile, int(first.width) - int(first.tx) * tile)
         # One ring more than the halo stays background, so shifted views need no border cases.
         m = halo + 1
-        big = np.zeros((h + 2 * m, w + 2 * m), dtype=first.dtype)
+        big = np.zeros((h + 2 * m, w + 2 * m), dtype=first["dtype"])
         for t in pdf.itertuples(index=False):
             part = np.frombuffer(t.data, dtype=t.dtype).reshape(int(t.h), int(t.w))
             r = {-1: m - part.shape[0], 0: m, 1: m + h}[int(t.dr)]

@@ -99,7 +99,7 @@ def value_overlay(spark, sf):
 
 @query(oracle("""
     SELECT r AS row, CAST(c AS BIGINT) AS col, CAST(l.value AS BIGINT) AS value, t.broad AS cell_type
-    FROM labels_v AS l LEFT JOIN cell_types_v AS t ON t.cell_id = CAST(l.value AS BIGINT) AND length(broad) % 2 = 0""", "labels_v", "cell_types_v"))
+    FROM labels_v AS l LEFT JOIN cell_types_v AS t ON t.cell_id = CAST(l.value AS BIGINT) AND l.value <> 0 AND length(broad) % 2 = 0""", "labels_v", "cell_types_v"))
 def cell_type_overlay(spark, sf):
     types = _types(spark, sf)
     on = types.select(F.col("broad").alias("label")).filter(F.length("label") % 2 == 0)

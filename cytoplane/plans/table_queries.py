@@ -58,8 +58,8 @@ def scan_marker_reference(spark, sf):
 
 
 @query("""
-    SELECT n_name AS section, round(0.5, 6) AS a, round(-0.0625 * k / 1, 6) AS b, round(-0.5 * 10 + 0.0625 * k * k, 6) AS c,
-           round(0.0, 6) AS d, round(0.25, 6) AS e, round(-0.25 * k, 6) AS f
+    SELECT n_name AS section, CAST(0.5 AS DOUBLE) AS a, round(-0.0625 * k, 6) + 0 AS b, round(-5 + 0.0625 * k * k, 6) AS c,
+           CAST(0 AS DOUBLE) AS d, CAST(0.25 AS DOUBLE) AS e, round(-0.25 * k, 6) + 0 AS f
     FROM (SELECT n_name, CAST(n_nationkey AS DOUBLE) AS k FROM nation WHERE n_nationkey % 2 = 0) AS q
     UNION ALL
     SELECT n_name, round(s, 6), 0.0, 0.0, 0.0, round(s, 6), 0.0
@@ -343,8 +343,8 @@ def neurons_split(spark, sf):
 
 
 @query("""
-    SELECT vec_id, round(2.0*px - 0.5*py + 7, 6) AS x, round(0.25*px + 4.0*py - 3, 6) AS y, round(px, 6) AS px_back, round(py, 6) AS py_back
-    FROM (SELECT vec_id, 10 + 3.0*vec_id AS px, 5 + 2.0*label AS py FROM embeddings) AS q""")
+    SELECT vec_id, round(2*px - py/2 + 7, 6) AS x, round(px/4 + 4*py - 3, 6) AS y, round(px, 6) AS px_back, round(py, 6) AS py_back
+    FROM (SELECT vec_id, CAST(10 + 3*vec_id AS DOUBLE) AS px, CAST(5 + 2*label AS DOUBLE) AS py FROM embeddings) AS q""")
 def apply_affine(spark, sf):
     base = affine.literal(a=2.0, b=-0.5, c=7.0, d=0.25, e=4.0, f=-3.0)
     grid = affine.with_grid(base, x_origin=10, x_step=3, y_origin=5, y_step=2)
