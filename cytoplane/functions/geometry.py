@@ -143,13 +143,18 @@ def _cross(e: str, px: str, py: str) -> str:
 
 
 def _place(edges: str, px: str, py: str) -> str:
-    """0 outside, 1 inside, 2 on the boundary: even-odd rule with the boundary told apart."""
-    on = (
-        f"{_cross('pe', px, py)} = 0 AND {px} BETWEEN least(pe.x1, pe.x2) AND greatest(pe.x1, pe.x2) "
-        f"AND {py} BETWEEN least(pe.y1, pe.y2) AND greatest(pe.y1, pe.y2)"
+    """0 outside, 1 inside, 2 on the boundary: even-odd rule with the boundary told apart.
+
+    Edges above, below or left of the point cannot matter and are passed over with comparisons only;
+    of a real outline that is all but a few.
+    """
+    cross = _cross("pe", px, py)
+    passed = f"(pe.y1 < {py} AND pe.y2 < {py}) OR (pe.y1 > {py} AND pe.y2 > {py}) OR (pe.x1 < {px} AND pe.x2 < {px})"
+    on = f"{cross} = 0 AND {px} >= least(pe.x1, pe.x2) AND {px} <= greatest(pe.x1, pe.x2)"
+    hit = f"(pe.y1 > {py}) <> (pe.y2 > {py}) AND ({cross} > 0) = (pe.y2 > pe.y1)"
+    return (
+        f"aggregate({edges}, 0, (ps, pe) -> CASE WHEN ps = 2 OR {passed} THEN ps WHEN {on} THEN 2 WHEN {hit} THEN 1 - ps ELSE ps END)"
     )
-    hit = f"(pe.y1 > {py}) <> (pe.y2 > {py}) AND ({_cross('pe', px, py)} > 0) = (pe.y2 > pe.y1)"
-    return f"aggregate({edges}, 0, (ps, pe) -> CASE WHEN ps = 2 OR ({on}) THEN 2 WHEN {hit} THEN 1 - ps ELSE ps END)"
 
 
 def contains_strictly(edges: str, px: str, py: str) -> str:

@@ -184,10 +184,8 @@ def usable_shapes(shapes: DataFrame, errors: DataFrame) -> DataFrame:
 _CHAIN = f"section string, role string, piece string, parts bigint, vertices {g.VERTICES}"
 
 
-def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Join the segments of one piece end to end; no row if they fall into several chains."""
-    pdf = pdf.sort_values("shape_ord")
-    lines = [[(float(v["x"]), float(v["y"])) for v in vs] for vs in pdf["vertices"]]
+def _chain_lines(lines: list[list[tuple[float, float]]]) -> list[tuple[float, float]] | None:
+    """Join segments end to end; None if they fall into several chains."""
     at: dict[tuple[float, float], list[int]] = {}
     for k, line in enumerate(lines):
         for end in (line[0], line[-1]):
@@ -203,12 +201,18 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
         k = following[0]
         used.add(k)
         path += (lines[k] if lines[k][0] == path[-1] else lines[k][::-1])[1:]
-    columns = ["section", "role", "piece", "parts", "vertices"]
-    if len(used) < len(lines):
-        return pd.DataFrame(columns=columns)
-    first = pdf.iloc[0]
-    row = [first.section, first.role, first.piece, len(lines), [{"x": x, "y": y} for x, y in path]]
-    return pd.DataFrame([row], columns=columns)
+    return path if len(used) == len(lines) else None
+
+
+def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for rec in pdf.itertuples(index=False):
+            segments = [[(float(v["x"]), float(v["y"])) for v in s["vertices"]] for s in rec.segments]
+            path = _chain_lines(segments)
+            if path is not None:
+                rows.append([rec.section, rec.role, rec.piece, len(segments), [{"x": x, "y": y} for x, y in path]])
+        yield pd.DataFrame(rows, columns=["section", "role", "piece", "parts", "vertices"])
 
 
 def merge_piece_lines(shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -230,7 +234,8 @@ def merge_piece_lines(shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
     chained = materialize(
         lines.join(several.join(ready, key, "left_semi").select(*key), key, "left_semi")
         .groupBy(*key)
-        .applyInPandas(_chain, _CHAIN)
+        .agg(F.sort_array(F.collect_list(F.struct("shape_ord", "vertices"))).alias("segments"))
+        .mapInPandas(_chain, _CHAIN)
     )
     merged = single.unionByName(chained.select(*single.columns))
     what = F.concat(

@@ -1,8 +1,8 @@
 """Spatial joins as equi-joins on grid cells.
 
-Boxes are binned on grids whose side grows by four from level to level. A box lies on the level
-whose side is at least its own, so it covers at most four grid cells however large it is; points
-are looked up once on each level in use. One huge or stray polygon therefore costs four rows.
+Boxes are binned on grids whose side doubles from level to level. A box lies on the level whose
+side is at least half its own, so it covers at most nine grid cells however large it is; points are
+looked up once on each level in use. One huge or stray polygon therefore costs nine rows.
 A crowded grid cell is a skewed join partition, which adaptive execution splits.
 """
 
@@ -11,16 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_LEVEL = -8
+MIN_LEVEL = -16
 
 
 def _side(level: Column) -> Column:
-    return F.pow(F.lit(4.0), level)
+    return F.pow(F.lit(2.0), level)
 
 
 def _level(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
-    extent = F.greatest(xmax - xmin, ymax - ymin, F.lit(4.0**MIN_LEVEL))
-    return F.ceil(F.log(4.0, extent)).cast("int")
+    extent = F.greatest(xmax - xmin, ymax - ymin, F.lit(2.0**MIN_LEVEL))
+    return (F.ceil(F.log2(extent)) - 1).cast("int")
 
 
 def _span(low: Column, high: Column, level: Column) -> Column:
