@@ -7,7 +7,7 @@ operators work on any number of rasters at once and keep the group columns they
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from cytoplane.functions import affine
 from cytoplane.functions import geometry as g
 from cytoplane.operators.cells import TILE, tile_candidates
+from cytoplane.session import materialize
 
 # Limits of a display pyramid and the largest outline coverage.
 MIN_SIZE = 1024
@@ -55,24 +56,31 @@ def _reduce(pixels: DataFrame, step: int, how: str, min_size: int, whole: bool)
     return live.groupBy(*keys).agg(value.alias("value"))
 
 
-def _pyramid(
-    pixels: DataFrame, step: int, how: str, min_size: int, max_levels: int, whole: bool, first_level: int
-) -> DataFrame:
-    """Levels ``first_level``, ``first_level``+1, …, each built from the one before.
+def _stored_levels(base: DataFrame | None, first: DataFrame, coarser: Callable[[DataFrame], DataFrame], start: int, count: int) -> DataFrame:
+    """Union of up to ``count`` levels, each made from the stored one before it.
 
-    The levels sit in one plan, so the shuffle of level k is written once and reused by level k+1
-    and by the output: the base is read once whatever the number of levels.
+    A level is written once to the checkpoint folder and read by the next level and by the output,
+    so the finest level is read once and the work shrinks geometrically. (Left in one plan, filters
+    pushed down from coarse levels would make every level rebuild all finer ones.) Stops when no raster
+    has a further level.
     """
-    levels, current = [], pixels
-    for level in range(first_level, first_level + max_levels):
-        current = _reduce(current, step, how, min_size, whole)
-        levels.append(current.withColumn("level", F.lit(level).cast("bigint")))
-    out = levels[0]
-    for one in levels[1:]:
-        out = out.unionByName(one)
+    out = None if base is None else base.withColumn("level", F.lit(start - 1).cast("bigint"))
+    current = first
+    for level in range(start, start + count):
+        current = materialize(coarser(current))
+        if out is not None and current.isEmpty():
+            break
+        one = current.withColumn("level", F.lit(level).cast("bigint"))
+        out = one if out is None else out.unionByName(one)
     return out
 
 
+def _pyramid(
+    pixels: DataFrame, step: int, how: str, min_size: int, max_levels: int, whole: bool, first_level: int
+) -> DataFrame:
+    return _stored_levels(None, pixels, lambda df: _reduce(df, step, how, min_size, whole), first_level, max_levels)
+
+
 def levels_needed(side: int, step: int, min_size: int, max_levels: int) -> int:
     """How many coarser levels the largest raster side can give."""
     n = 0
@@ -131,10 +139,7 @@ def max_pyramid(
     step = max(2, step)
     if not with_base:
         return _pyramid(pixels, step, "max", min_size, max_levels, True, 1)
-    base = pixels.withColumn("level", F.lit(0).cast("bigint"))
-    if max_levels <= 1:
-        return base
-    return base.unionByName(_pyramid(pixels, step, "max", min_size, max_levels - 1, True, 1))
+    return _stored_levels(pixels, pixels, lambda df: _reduce(df, step, "max", min_size, True), 1, max_levels - 1)
 
 
 def outline_mask(labels: DataFrame, width: int = 1, pad: bool = True) -> DataFrame:
@@ -208,21 +213,20 @@ def outline_coverage_pyramid(
     Only set pixels are rows: a block's mean is its sum over the full block area, so background
     never has to be stored or moved. Pixels that round to zero are dropped.
     """
-    base = outline_mask(labels, width).withColumn("value", F.lit(COVERAGE).cast("bigint"))
-    levels, current = [base.withColumn("level", F.lit(0).cast("bigint"))], base
-    for level in range(1, max_levels):
-        live = current.filter(
+    base = materialize(outline_mask(labels, width).withColumn("value", F.lit(COVERAGE).cast("bigint")))
+    group = _group(base)
+
+    def halve(df: DataFrame) -> DataFrame:
+        live = df.filter(
             (F.greatest("height", "width") > min_size) & (F.least("height", "width") >= 2)
             & (F.col("row") < F.floor(F.col("height") / 2) * 2)
             & (F.col("col") < F.floor(F.col("width") / 2) * 2)
         )
-        keys = [*_group(base), *[F.floor(F.col(c) / 2).alias(c) for c in ("row", "col", "height", "width")]]
-        current = live.groupBy(*keys).agg(F.rint(F.sum("value") / F.lit(4.0)).cast("bigint").alias("value")).filter("value > 0")
-        levels.append(current.withColumn("level", F.lit(level).cast("bigint")))
-    out = levels[0]
-    for one in levels[1:]:
-        out = out.unionByName(one)
-    return out
+        keys = [*group, *[F.floor(F.col(c) / 2).alias(c) for c in ("row", "col", "height", "width")]]
+        coverage = F.rint(F.sum("value") / F.lit(4.0)).cast("bigint")
+        return live.groupBy(*keys).agg(coverage.alias("value")).filter("value > 0")
+
+    return _stored_levels(base, base, halve, 1, max_levels - 1)
 
 
 def density_grid(points: DataFrame, bin_size: float, channel: Column | None = None) -> DataFrame:
@@ -246,30 +250,27 @@ def density_pyramid(
     def block(size: str) -> Column:
         return F.when(F.col(size) >= 2, F.lit(2)).otherwise(F.lit(1))
 
-    base = grid.withColumn("height", F.lit(height).cast("bigint")).withColumn("width", F.lit(width).cast("bigint"))
-    levels, current = [base.withColumn("level", F.lit(0).cast("bigint"))], base
-    for level in range(1, max_levels):
-        live = current.filter(
+    base = materialize(grid.withColumn("height", F.lit(height).cast("bigint")).withColumn("width", F.lit(width).cast("bigint")))
+    group = _group(base)
+
+    def halve(df: DataFrame) -> DataFrame:
+        live = df.filter(
             (F.greatest("height", "width") > min_size)
             & (F.col("row") < F.floor(F.col("height") / block("height")) * block("height"))
             & (F.col("col") < F.floor(F.col("width") / block("width")) * block("width"))
         )
         keys = [
-            *_group(base),
+            *group,
             F.floor(F.col("row") / block("height")).alias("row"),
             F.floor(F.col("col") / block("width")).alias("col"),
             F.floor(F.col("height") / block("height")).alias("height"),
             F.floor(F.col("width") / block("width")).alias("width"),
             (block("height") * block("width")).alias("_area"),
         ]
-        current = live.groupBy(*keys).agg((F.sum(F.col("value").cast("double"))).alias("value")).withColumn(
-            "value", (F.col("value") / F.col("_area")).cast("float")
-        ).drop("_area")
-        levels.append(current.withColumn("level", F.lit(level).cast("bigint")))
-    out = levels[0]
-    for one in levels[1:]:
-        out = out.unionByName(one)
-    return out
+        sums = live.groupBy(*keys).agg(F.sum(F.col("value").cast("double")).alias("value"))
+        return sums.withColumn("value", (F.col("value") / F.col("_area")).cast("float")).drop("_area")
+
+    return _stored_levels(base, base, halve, 1, max_levels - 1)
 
 
 def complete_pyramid(
