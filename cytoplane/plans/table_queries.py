@@ -205,7 +205,7 @@ def enabled_cell_types(spark, sf):
     return ct.enabled_cell_types(types, on).select("cell_id", "broad", "fine")
 
 
-@query(oracle("SELECT DISTINCT section, family, key FROM elements_v WHERE NOT starts_with(key, '_derived_')", "elements_v"))
+@query(oracle("SELECT DISTINCT section, family, key FROM elements_v WHERE NOT starts_with(key, '_derived_')", "elements_v"), name="drop_derived_elements")
 def drop_derived(spark, sf):
     return drop_derived_elements(a.elements(spark, sf).distinct(), DERIVED_PREFIX)
 
@@ -316,7 +316,7 @@ _ODD_NAME = "'  --' || p_name || CASE WHEN p_size % 2 = 0 THEN ' (a/b)_' ELSE ''
 
 @query(f"""
     SELECT DISTINCT name, lower(trim(regexp_replace(name, '[^A-Za-z0-9_.-]+', '_', 'g'), '_')) AS safe
-    FROM (SELECT {_ODD_NAME} AS name FROM part UNION ALL SELECT p_brand FROM part) AS q""")
+    FROM (SELECT {_ODD_NAME} AS name FROM part UNION ALL SELECT p_brand FROM part) AS q""", name="safe_identifier")
 def safe_identifiers(spark, sf):
     p = a.table(spark, sf, "part")
     names = p.select(F.expr(_ODD_NAME).alias("name")).union(p.select("p_brand")).distinct()
@@ -327,7 +327,7 @@ def safe_identifiers(spark, sf):
     SELECT DISTINCT p_name AS name,
            '_derived_outline__' || replace(p_name, ' ', '_') || CASE WHEN contains(p_name, ' ') THEN '__h' || substr(sha256(p_name), 1, 10) ELSE '' END || '__w3' AS outline_key,
            '_derived_imgpyr__' || p_brand || '__ds4' AS pyramid_key
-    FROM (SELECT p_name, replace(p_brand, '#', '_') AS p_brand FROM part) AS q""")
+    FROM (SELECT p_name, replace(p_brand, '#', '_') AS p_brand FROM part) AS q""", name="derived_key")
 def derived_keys(spark, sf):
     p = a.table(spark, sf, "part").select(F.col("p_name").alias("name"), F.replace("p_brand", F.lit("#"), F.lit("_")).alias("brand")).distinct()
     return p.select("name", derived_key("outline", "name", "w3").alias("outline_key"), derived_key("imgpyr", "brand", "ds4").alias("pyramid_key"))
@@ -336,7 +336,7 @@ def derived_keys(spark, sf):
 @query(oracle("""
     SELECT cell, CASE WHEN broad_class = 'neurons' AND neuron_split_label = 'Excitatory' THEN 'Excitatory neurons'
                       WHEN broad_class = 'neurons' AND neuron_split_label = 'Inhibitory' THEN 'Inhibitory neurons' ELSE broad_class END AS broad
-    FROM cell_types_raw_v""", "cell_types_raw_v"))
+    FROM cell_types_raw_v""", "cell_types_raw_v"), name="split_neurons")
 def neurons_split(spark, sf):
     raw = a.cell_types_raw(spark, sf)
     return raw.select("cell", split_neurons("broad_class", F.coalesce("neuron_split_label", F.lit(""))).alias("broad"))
@@ -372,7 +372,7 @@ _RING = "round({0}, 3) || ' ' || round({1}, 3)"
 
 
 @query(oracle("""
-    SELECT cell_id, CASE WHEN sq THEN 5 ELSE 4 + 1 END AS n_closed, round(cy, 6) AS centre_x, round(cx, 6) AS centre_y FROM cells_v""", "cells_v"))
+    SELECT cell_id, CASE WHEN sq THEN 5 ELSE 4 + 1 END AS n_closed, round(cy, 6) AS centre_x, round(cx, 6) AS centre_y FROM cells_v""", "cells_v"), name="swap_xy_close_ring")
 def swap_and_close(spark, sf):
     opened = "slice(parts[0].exterior, 1, size(parts[0].exterior) - 1)"
     again = g.close_ring(g.close_ring(g.swap_xy(opened)))
@@ -387,7 +387,7 @@ def swap_and_close(spark, sf):
 
 @query("""
     SELECT c_custkey, CAST(CASE WHEN hi <= lo THEN 8 ELSE floor(least(greatest((c_acctbal - lo) / (hi - lo), 0), 1) * 15) END AS BIGINT) AS bin
-    FROM (SELECT c_custkey, c_acctbal, CAST(c_nationkey * 100 AS DOUBLE) AS lo, CASE WHEN c_nationkey % 6 = 0 THEN CAST(0 AS DOUBLE) ELSE 5000.0 + c_nationkey END AS hi FROM customer) AS q""")
+    FROM (SELECT c_custkey, c_acctbal, CAST(c_nationkey * 100 AS DOUBLE) AS lo, CASE WHEN c_nationkey % 6 = 0 THEN CAST(0 AS DOUBLE) ELSE 5000.0 + c_nationkey END AS hi FROM customer) AS q""", name="value_bin")
 def value_bin_function(spark, sf):
     c = a.table(spark, sf, "customer")
     low = (F.col("c_nationkey") * 100).cast("double")

@@ -40,7 +40,7 @@ def resolve_columns(spark, sf):
 @query(oracle("""
     SELECT CASE platform WHEN 'O' THEN 'MERSCOPE' ELSE 'XENIUM' END AS section, x, y, gene,
            CAST(assignment AS VARCHAR) AS assignment, CASE WHEN platform <> 'O' THEN background END AS background
-    FROM transcripts_v""", "transcripts_v"))
+    FROM transcripts_v""", "transcripts_v"), name="union_sections")
 def union_of_sections(spark, sf):
     raw = a.transcripts(spark, sf)
     merscope = raw.filter("platform = 'O'").select(
@@ -98,7 +98,7 @@ def background_flag(spark, sf):
 
 
 @query(oracle("""
-    SELECT DISTINCT gene, lower(gene) LIKE '%blank%' AS is_control FROM transcripts_v""", "transcripts_v"))
+    SELECT DISTINCT gene, lower(gene) LIKE '%blank%' AS is_control FROM transcripts_v""", "transcripts_v"), name="is_control_gene")
 def control_genes(spark, sf):
     return t.panel(a.transcripts(spark, sf)).withColumn("is_control", is_control_gene("gene"))
 
@@ -336,7 +336,7 @@ _KEY_TEXT = """CASE s_suppkey % 12 WHEN 0 THEN CAST(s_suppkey AS VARCHAR(20)) ||
       CASE s_suppkey % 12 WHEN 3 THEN CAST(s_suppkey * 100 AS VARCHAR) WHEN 4 THEN 'cell ' || s_suppkey WHEN 5 THEN '' WHEN 6 THEN '' WHEN 7 THEN ''
         WHEN 8 THEN s_suppkey || '.5' WHEN 9 THEN '1' || s_suppkey WHEN 10 THEN s_suppkey || 'd' WHEN 11 THEN '9223372036854775' || s_suppkey
         ELSE CAST(s_suppkey AS VARCHAR) END AS cell_key
-    FROM supplier""")
+    FROM supplier""", name="normalize_cell_key")
 def normalize_cell_keys(spark, sf):
     raw = a.table(spark, sf, "supplier").select("s_suppkey", F.expr(_KEY_TEXT.replace("VARCHAR(20)", "STRING")).alias("raw"))
     return raw.withColumn("cell_key", normalize_cell_key("raw"))

@@ -125,7 +125,10 @@ def _collections(features: DataFrame, groups: list[str], order: list[str], head:
         closing = keys.join(tails, groups, "left").select(
             *groups, F.lit(2).alias("_k"), *blank, F.concat(F.lit("]"), F.coalesce("tail", F.lit("")), F.lit("}")).alias("value"))
     lines = opening.unionByName(body).unionByName(closing)
-    return lines.repartition(*groups).sortWithinPartitions(*groups, "_k", *order).select(*groups, "value")
+    # A partition column that may be null makes the writer sort again, by that column only, which
+    # would drop the order of the lines. Without nulls it accepts the order it is given.
+    fixed = lines.select(*[F.coalesce(c, F.lit("")).alias(c) for c in groups], "_k", *order, "value")
+    return fixed.repartition(*groups).sortWithinPartitions(*groups, "_k", *order).select(*groups, "value")
 
 
 _HEAD = '{"type":"FeatureCollection","features":['
