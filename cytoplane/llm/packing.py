@@ -28,7 +28,7 @@ from cytoplane.session import materialize
 CAPACITY = 4096
 END = 1
 #: Groups of large lengths; lengths from this share of the capacity up count as large.
-GROUPS, LARGE = 96, 1 / 8
+GROUPS, LARGE = 512, 1 / 3
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end: int = END,
