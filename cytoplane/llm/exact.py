@@ -93,9 +93,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     is null only where all ids of a group are null.
     """
     rows = materialize(identities(docs, id_col, text_col, size))
-    groups = rows.groupBy("depth", "name").agg(
+    # Stored, so that the join deals both sides out and can split a group that is most of a partition.
+    groups = materialize(rows.groupBy("depth", "name").agg(
         F.max(F.struct("doc_id", "row")).alias("stays"), F.count(F.lit(1)).alias("group_size")
-    )
+    ))
     return rows.join(groups, ["depth", "name"]).select(
         "doc_id",
         F.col("stays.doc_id").alias("keep_id"),
