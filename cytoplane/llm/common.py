@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cytoplane.plans.registry import scratch
+
 #: Entries a worker's memo may hold before it starts anew; it only saves work, results never depend on it.
 MEMO_ENTRIES = 400_000
 #: Separators which str.split() takes for white space and Unicode does not.
@@ -62,6 +64,13 @@ def slices(batch: pa.RecordBatch, column: str = "text", chars: int = 4_000_000)
         at = to
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage through a compressed table next to the checkpoints."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def offsets_of(counts) -> np.ndarray:
     """Start of each group in the concatenation of groups of these sizes, and the total at the end."""
     out = np.zeros(len(counts) + 1, dtype=np.int64)

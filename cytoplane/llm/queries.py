@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cytoplane.llm import bpe, exact, language, packing, toxicity
+from cytoplane.llm import bpe, exact, jaccard, language, packing, pii, suffix, toxicity
 from cytoplane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,14 +21,26 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("t1", "t2")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,8 +48,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
+    "op4_jaccard": op4_jaccard,
     "op5_language": op5_language,
+    "op6_suffix": op6_suffix,
     "op8_pack": op8_pack,
+    "op9_pii": op9_pii,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
