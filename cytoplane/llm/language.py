@@ -19,8 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytoplane.llm.bpe import byte_letters
 from cytoplane.llm.common import MEMO_ENTRIES, chunks, fold, offsets_of, segment_sum, slices
+from cytoplane.llm.bpe import byte_letters
 from cytoplane.llm.tokens import vocabulary_path
 
 UNKNOWN = "und"
@@ -114,9 +114,12 @@ class Scorer:
     def totals(self, texts: list[str]) -> np.ndarray:
         """Per text: log-likelihood in each language, and the number of words."""
         parts = [chunks(x) for x in texts]
-        if len(self.memo) > self.entries:
-            self.memo, self.rows = {}, self.rows[:0]
-        new = list(set().union(*parts) - self.memo.keys())
+        used = set().union(*parts)
+        if len(self.memo) > self.entries:  # a full memo keeps what these texts use
+            keep = list(used & self.memo.keys())
+            self.rows = self.rows[np.fromiter(map(self.memo.__getitem__, keep), np.int64, len(keep))]
+            self.memo = dict(zip(keep, range(len(keep))))
+        new = list(used - self.memo.keys())
         split = [words_of(x) for x in new]
         words = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
         logs = self.model.log_words(list(words))
@@ -205,6 +208,23 @@ def fit(training: DataFrame, path: str | None = None, fit_docs: int = FIT_DOCS,
     return LanguageModel(languages, np.log([shares[x] / total for x in languages]), keys, p)
 
 
+def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without rows of unknown language (null texts, texts without a letter); a null language gets the predicted one."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            for part, texts in slices(batch, text_col):
+                names, _ = scorer.predict(texts)
+                at = part.schema.get_field_index(lang_col)
+                lang = [x if x is not None else new for x, new in zip(part.column(at).to_pylist(), names)]
+                part = part.set_column(at, part.schema.field(at), pa.array(lang, part.schema.field(at).type))
+                yield part.filter(pa.array([x != UNKNOWN for x in names], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every row; null texts and texts without a letter are ``und`` with score 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

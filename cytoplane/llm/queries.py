@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cytoplane.llm import bpe, exact, jaccard, language, packing, pii, suffix, toxicity
-from cytoplane.llm.common import table
+import corpus_pipeline
+from cytoplane.llm import bpe, exact, jaccard, language, lm, neighbours, packing, pii, suffix, toxicity
+from cytoplane.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +23,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("t1", "t2")
 
@@ -33,6 +39,10 @@ def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) == 2)
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -48,12 +58,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
+    "op3_neighbours": op3_neighbours,
     "op4_jaccard": op4_jaccard,
     "op5_language": op5_language,
     "op6_suffix": op6_suffix,
+    "op7_lm": op7_lm,
     "op8_pack": op8_pack,
     "op9_pii": op9_pii,
     "op10_exact_dedup": op10_exact_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
