@@ -9,107 +9,22 @@ one, gives the same ids.
 from __future__ import annotations
 
 import hashlib
-import heapq
-import json
 import mmap
 import os
 import tempfile
-import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytoplane.llm.common import Memo, chunks, slices
-from cytoplane.llm.tokens import vocabulary_path
-
-#: Words in the lexicon, and bytes of a word; both bound what is broadcast.
-LEXICON_WORDS, WORD_BYTES = 131_072, 48
-
-
-def byte_letters() -> list[str]:
-    """The printable letter that stands for each byte in byte-level vocabularies."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out, spare = [""] * 256, 256
-    for b in range(256):
-        if b in plain:
-            out[b] = chr(b)
-        else:
-            out[b], spare = chr(spare), spare + 1
-    return out
-
-
-class Merger:
-    """Ids of single words by ranked merges, and the strings of ids."""
-
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            data = json.load(f)
-        model = data["model"]
-        self.suffix = model.get("end_of_word_suffix") or ""
-        self.vocab: dict[str, int] = model["vocab"]
-        self.added = {x["content"]: x["id"] for x in data["added_tokens"]}
-        self.strings = {i: s for s, i in (self.vocab | self.added).items()}
-        pairs = (tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"])
-        self.ranks = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
-        letters = byte_letters()
-        self.inner = [self.vocab[x] for x in letters]
-        self.last = [self.vocab[x + self.suffix] for x in letters]
-
-    def ids(self, word: bytes) -> list[int]:
-        """Merge the pair of lowest rank, the leftmost of equals, until none is left."""
-        ids = [*(self.inner[b] for b in word[:-1]), self.last[word[-1]]]
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        ranks = self.ranks
-        heap = [(*ranks[p], at) for at, p in enumerate(zip(ids, ids[1:])) if p in ranks]
-        heap = [(rank, at, new) for rank, new, at in heap]
-        heapq.heapify(heap)
-        while heap:
-            _, at, new = heapq.heappop(heap)
-            to = after[at]
-            if ids[at] < 0 or to >= n or ranks.get((ids[at], ids[to]), (0, -1))[1] != new:
-                continue
-            ids[at], ids[to] = new, -1
-            after[at] = nxt = after[to]
-            if nxt < n:
-                before[nxt] = at
-                if got := ranks.get((new, ids[nxt])):
-                    heapq.heappush(heap, (got[0], at, got[1]))
-            if (prev := before[at]) >= 0 and (got := ranks.get((ids[prev], new))):
-                heapq.heappush(heap, (got[0], prev, got[1]))
-        return [x for x in ids if x >= 0]
-
-
-class Words:
-    """The file's normaliser and pre-tokeniser: words of a text as bytes, or the id of a special token."""
-
-    def __init__(self, added: dict[str, int]):
-        self.added = added
-        names = sorted(map(regex.escape, added), key=len, reverse=True)
-        self.special = regex.compile("(" + "|".join(names) + ")") if names else None
-        # Fixed value: the pattern of the public file.
-        self.word = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-
-    def __call__(self, text: str) -> list[bytes | int]:
-        if self.special is None or not any(x in text for x in self.added):
-            return [x.encode() for x in self.word.findall(self.plain(text))]
-        out: list[bytes | int] = []
-        for part in self.special.split(text):
-            out += [self.added[part]] if part in self.added else [x.encode() for x in self.word.findall(self.plain(part))]
-        return out
-
-    @staticmethod
-    def plain(text: str) -> str:
-        if text.isascii():
-            return text.lower()
-        text = unicodedata.normalize("NFC", text)
-        # Letter by letter: the file does not look at what follows a capital sigma.
-        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+from cytoplane.llm.common import MEMO_ENTRIES, Memo, chunks, slices, stored
+from cytoplane.llm.tokens import Merger, Words, vocabulary_path
+
+#: Words that make up this share of the corpus are in the lexicon (so at most 1 / share are), if they have so few bytes.
+LEXICON_SHARE, WORD_BYTES = 2e-6, 48
 
 
 def compile_lexicon(entries: Iterable[tuple[bytes, tuple[int, ...]]]) -> bytes:
@@ -246,23 +161,23 @@ class Coder:
 
     def __init__(self, path: str, lexicon: bytes | None = None):
         self.merger = Merger(path)
-        self.words = Words(self.merger.added)
+        self.words = Words(self.merger.added, path)
         self.lexicon = Lexicon(lexicon) if lexicon else None
-        self.by_word: Memo = Memo(self.merger.ids)
+        self.by_word = Memo(self.merger.ids)
         self.memo: dict[str, tuple[int, bytes, bytes]] = {}
 
     def prepare(self, parts: Iterable[list[str]]) -> None:
-        """Ids of all chunks that the memo lacks."""
-        self.by_word.trim()
-        if len(self.memo) > self.by_word.entries // 2:
-            self.memo.clear()
-        new = list(set().union(*parts) - self.memo.keys())
+        """Ids of all chunks that the memo lacks; a full memo keeps what these parts use."""
+        used = set().union(*parts)
+        if len(self.memo) > MEMO_ENTRIES:
+            self.memo = {k: self.memo[k] for k in used & self.memo.keys()}
+        new = list(used - self.memo.keys())
         split = [self.words(x) for x in new]
+        self.by_word.trim()
         if self.lexicon:
-            todo = list({w for x in split for w in x if isinstance(w, bytes)} - self.by_word.keys())
-            for w, ids in zip(todo, self.lexicon.look_up(todo), strict=True):
-                if ids is not None:
-                    self.by_word[w] = ids
+            words = {w for x in split for w in x if isinstance(w, bytes)}
+            todo = [w for w in words if w not in self.by_word and w not in self.by_word.old]
+            self.by_word.update((w, ids) for w, ids in zip(todo, self.lexicon.look_up(todo), strict=True) if ids is not None)
         name = self.merger.strings
         for key, words in zip(new, split, strict=True):
             ids: list[int] = []
@@ -276,10 +191,11 @@ class Coder:
         self.prepare(parts)
         n, ids, decoded = [], [], []
         for part in parts:
-            got = [x for x in map(self.memo.__getitem__, part) if x[0]]
-            n.append(sum([x[0] for x in got]))
-            ids.append(hashlib.sha256(b" ".join([x[1] for x in got])).hexdigest())
-            decoded.append(hashlib.sha256(b" ".join([x[2] for x in got])).hexdigest())
+            # A chunk has a character that is no white space, so it has an id.
+            sizes, some, names = zip(*map(self.memo.__getitem__, part)) if part else ((), (), ())
+            n.append(sum(sizes))
+            ids.append(hashlib.sha256(b" ".join(some)).hexdigest())
+            decoded.append(hashlib.sha256(b" ".join(names)).hexdigest())
         return n, ids, decoded
 
     def encode(self, text: str) -> list[int]:
@@ -320,10 +236,12 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
     return counts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit_lexicon(docs: DataFrame, path: str | None = None, words: int = LEXICON_WORDS, text_col: str = "text") -> bytes:
-    """The ``words`` most frequent words of the corpus (ties to the smaller word) as a compiled transducer."""
+def fit_lexicon(docs: DataFrame, path: str | None = None, share: float = LEXICON_SHARE, text_col: str = "text") -> bytes:
+    """The words that are at least ``share`` of all words of the corpus, as a compiled transducer."""
     path = path or vocabulary_path()
-    top = word_counts(docs, path, text_col).orderBy(F.desc("n"), "word").limit(words).collect()
+    counts = stored(word_counts(docs, path, text_col), "bpe-words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    top = counts.filter(F.col("n") >= share * total).select("word").collect()
     merger = Merger(path)
     return compile_lexicon((w, tuple(merger.ids(w))) for w in sorted(bytes(r.word) for r in top))
 

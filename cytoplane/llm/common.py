@@ -37,18 +37,23 @@ def chunks(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """``memo[key]`` computes what is missing; ``trim()`` between batches bounds it."""
+    """``memo[key]`` computes what is missing. ``trim()`` between batches bounds it: what was not used since the last
+    turn but one is forgotten."""
 
     def __init__(self, compute: Callable, entries: int = MEMO_ENTRIES):
         super().__init__()
-        self.compute, self.entries = compute, entries
+        self.compute, self.entries, self.old = compute, entries, {}
 
     def __missing__(self, key):
-        value = self[key] = self.compute(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
         return value
 
     def trim(self) -> None:
-        if len(self) > self.entries:
+        if len(self) > self.entries // 2:
+            self.old = dict(self)
             self.clear()
 
 

@@ -20,8 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytoplane.llm.common import MEMO_ENTRIES, chunks, fold, offsets_of, segment_sum, slices
-from cytoplane.llm.bpe import byte_letters
-from cytoplane.llm.tokens import vocabulary_path
+from cytoplane.llm.tokens import byte_letters, vocabulary_path
 
 UNKNOWN = "und"
 #: Bounds of the training sample: documents per language (expected), and distinct (language, word) rows.

@@ -1,43 +1,161 @@
 """The ids of a public word-level BPE file, chunk by chunk.
 
 The file's normaliser and pre-tokeniser never join text across white space, and its special tokens hold none, so the
-ids of a text are those of its white-space chunks in a row. Each worker keeps a bounded memo of chunks.
+ids of a text are those of its white-space chunks in a row. Each worker keeps bounded memos of chunks and of words.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import heapq
+import json
+import struct
+import unicodedata
+
 import public_tokenizers
+import regex
+from tokenizers import Tokenizer
 
-from cytoplane.llm.common import MEMO_ENTRIES, chunks
+from cytoplane.llm.common import MEMO_ENTRIES, Memo, chunks
 
 FILE = "word_bpe_49k.json"
+#: Bytes of a word up to which its pairs are looked through at every merge.
+SHORT = 40
+_OLD = unicodedata.ucd_3_2_0
 
 
 def vocabulary_path(name: str = FILE) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> list[str]:
+    """The printable letter that stands for each byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out, spare = [""] * 256, 256
+    for b in range(256):
+        if b in plain:
+            out[b] = chr(b)
+        else:
+            out[b], spare = chr(spare), spare + 1
+    return out
+
+
+class Merger:
+    """Ids of single words by ranked merges, and the strings of ids."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+        model = data["model"]
+        self.suffix = model.get("end_of_word_suffix") or ""
+        self.vocab: dict[str, int] = model["vocab"]
+        self.added = {x["content"]: x["id"] for x in data["added_tokens"]}
+        self.strings = {i: s for s, i in (self.vocab | self.added).items()}
+        pairs = (tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"])
+        self.ranks = {self.vocab[a] << 20 | self.vocab[b]: (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        letters = byte_letters()
+        self.inner = [self.vocab[x] for x in letters]
+        self.last = [self.vocab[x + self.suffix] for x in letters]
+
+    def ids(self, word: bytes) -> list[int]:
+        """Merge the pair of lowest rank, the leftmost of equals, until none is left."""
+        inner = self.inner
+        ids = [inner[b] for b in word]
+        ids[-1] = self.last[word[-1]]
+        if len(ids) > SHORT:
+            return self._long(ids)
+        get, none = self.ranks.get, (1 << 60, 0)
+        found = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+        while found:
+            best = min(found)
+            if best is none:
+                break
+            at = found.index(best)
+            ids[at] = best[1]
+            del ids[at + 1], found[at]
+            if at < len(found):
+                found[at] = get(ids[at] << 20 | ids[at + 1], none)
+            if at:
+                found[at - 1] = get(ids[at - 1] << 20 | ids[at], none)
+        return ids
+
+    def _long(self, ids: list[int]) -> list[int]:
+        """The same with a heap of pairs, for words whose pairs are too many to look through at every step."""
+        n, ranks = len(ids), self.ranks
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(got[0], at, got[1]) for at in range(n - 1) if (got := ranks.get(ids[at] << 20 | ids[at + 1]))]
+        heapq.heapify(heap)
+        while heap:
+            _, at, new = heapq.heappop(heap)
+            to = after[at]
+            if ids[at] < 0 or to >= n or ranks.get(ids[at] << 20 | ids[to], (0, -1))[1] != new:
+                continue
+            ids[at], ids[to] = new, -1
+            after[at] = nxt = after[to]
+            if nxt < n:
+                before[nxt] = at
+                if got := ranks.get(new << 20 | ids[nxt]):
+                    heapq.heappush(heap, (got[0], at, got[1]))
+            if (prev := before[at]) >= 0 and (got := ranks.get(ids[prev] << 20 | new)):
+                heapq.heappush(heap, (got[0], prev, got[1]))
+        return [x for x in ids if x >= 0]
+
+
+class Words:
+    """The file's normaliser and pre-tokeniser: words of a text as bytes, or ids where they are known at once.
+
+    These are special tokens, and all of a text with characters younger than Unicode 3.2: what is a letter then depends
+    on the Unicode version, so such a text goes to the file's library, if ``path`` names the file.
+    """
+
+    def __init__(self, added: dict[str, int], path: str | None = None):
+        self.added, self.path, self.library = added, path, None
+        names = sorted(map(regex.escape, added), key=len, reverse=True)
+        self.special = regex.compile("(" + "|".join(names) + ")") if names else None
+        # Fixed value: the pattern of the public file.
+        self.word = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+    def __call__(self, text: str) -> list[bytes | int]:
+        if self.path and not text.isascii() and any(_OLD.category(c) == "Cn" for c in text):
+            if self.library is None:
+                self.library = Tokenizer.from_file(self.path)
+                self.library.no_truncation()
+                self.library.no_padding()
+            return self.library.encode(text, add_special_tokens=False).ids
+        if self.special is None or not any(x in text for x in self.added):
+            return [x.encode() for x in self.word.findall(self.plain(text))]
+        out: list[bytes | int] = []
+        for part in self.special.split(text):
+            out += [self.added[part]] if part in self.added else [x.encode() for x in self.word.findall(self.plain(part))]
+        return out
+
+    @staticmethod
+    def plain(text: str) -> str:
+        if text.isascii():
+            return text.lower()
+        text = unicodedata.normalize("NFC", text)
+        # Letter by letter: the file does not look at what follows a capital sigma.
+        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+
+
 class ChunkIds:
-    """Ids of texts as little-endian unsigned 32-bit bytes; unknown chunks go to the library, a batch at a time."""
+    """Ids of texts as little-endian unsigned 32-bit bytes."""
+
+    def __init__(self, path: str, entries: int = 2 * MEMO_ENTRIES):
+        self.merger = Merger(path)
+        self.words = Words(self.merger.added, path)
+        self.by_word = Memo(self._word, entries)
+        self.memo = Memo(self._chunk, entries)
 
-    def __init__(self, path: str, entries: int = MEMO_ENTRIES):
-        from tokenizers import Tokenizer
+    def _word(self, word: bytes | int) -> bytes:
+        ids = [word] if isinstance(word, int) else self.merger.ids(word)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.memo: dict[str, bytes] = {}
-        self.entries = entries
+    def _chunk(self, chunk: str) -> bytes:
+        words = self.words(chunk)
+        return self.by_word[words[0]] if len(words) == 1 else b"".join([self.by_word[w] for w in words])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [chunks(x) for x in texts]
-        if len(self.memo) > self.entries:
-            self.memo.clear()
-        new = list(set().union(*parts) - self.memo.keys())
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            for key, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.memo[key] = np.array(got.ids, dtype="<u4").tobytes()
+        self.memo.trim()
+        self.by_word.trim()
         get = self.memo.__getitem__
-        return [b"".join(map(get, x)) for x in parts]
+        return [b"".join(map(get, chunks(x))) for x in texts]
