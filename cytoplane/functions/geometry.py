@@ -167,6 +167,17 @@ def covers(edges: str, px: str, py: str) -> str:
     return f"({_place(edges, px, py)} > 0)"
 
 
+def inner_point(edges: str) -> str:
+    """``struct<x,y>`` strictly inside a simple polygon: the middle of a scan line's first span, between its two lowest heights."""
+    heights = f"array_sort(array_distinct(flatten(transform({edges}, ih -> array(ih.y1, ih.y2)))))"
+    spans = (
+        f"array_sort(transform(filter({edges}, ie -> (ie.y1 > iy) <> (ie.y2 > iy)), "
+        "ie -> ie.x1 + (ie.x2 - ie.x1) * (iy - ie.y1) / (ie.y2 - ie.y1)))"
+    )
+    point = let(spans, "ix", "named_struct('x', (get(ix, 0) + get(ix, 1)) / 2, 'y', iy)")
+    return let(let(heights, "hs", "(get(hs, 0) + get(hs, 1)) / 2"), "iy", point)
+
+
 def polygon_meets_box(edges: str, x0: str, y0: str, x1: str, y1: str) -> str:
     """Whether a polygon and a closed box share a point: an edge meets the box, or the box is inside."""
     corners = ", ".join(_cross("be", x, y) for x in (x0, x1) for y in (y0, y1))

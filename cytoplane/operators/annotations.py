@@ -9,9 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoplane.functions import geometry as g
@@ -48,6 +47,36 @@ PIECE_ROLES = ("pia", "wm", "exclusion", "ribbon")
 DEPTH_MODE = "depth"
 MASK_MODE = "mask_qc_only"
 
+#: What a finding says after the shape, piece or set it is about. The rule is the contract; these are for people.
+TEXTS = {
+    "non_finite": " has a coordinate that is not a finite number.",
+    "line_points": " needs two different points at least.",
+    "closed_line": " ends where it begins, but a pia or wm line must be open.",
+    "polygon_points": " needs three different points at least.",
+    "zero_area": " encloses nothing.",
+    "self_intersecting": " touches or crosses itself.",
+    "merged_segments": " segments were joined into one line.",
+    "unmergeable_segments": " is in segments that do not form one line.",
+    "snap_missing": "There is no tissue edge to snap to.",
+    "snap_several": "There are several tissue edges; snapping needs one.",
+    "missing_edge": "There is no tissue edge.",
+    "multiple_edges": "There are several tissue edges; one is allowed.",
+    "no_pieces": "There is no piece, so there is no pia.",
+    "wm_without_pia": " has a wm line without a pia line.",
+    "polygons_without_pia": " has polygons without a pia line.",
+    "boundaries_cross": ": the pia and wm lines meet.",
+    "exclusion_touches": " meets the pia or wm line, which takes boundary pixels away from a depth solve.",
+    "endpoint_gap": " does not lie on the tissue edge; it is this far off: ",
+    "pial_only_ribbon": ": a pia without a wm must cut exactly one polygon from the edge, or the ribbon be drawn.",
+    "no_ribbon": ": edge, pia and wm bound no polygon; snap the ends to the edge or draw the ribbon.",
+    "several_ribbons": ": edge, pia and wm bound several polygons; the smallest is taken unless the ribbon is drawn.",
+    "pieces_overlap": " have ribbons that overlap.",
+    "blank_name": "An object set has no name.",
+    "empty_set": " is a set without a polygon.",
+    "duplicate_id": " is the id of more than one object.",
+    "no_objects": "There is no object polygon.",
+}
+
 SHAPE = ["section", "role", "piece", "shape_ord"]
 FINDING = ["section", "piece", "role", "shape_ord", "severity", "rule", "message"]
 
@@ -97,6 +126,11 @@ def _finding(df: DataFrame, severity: str, rule, message: Column) -> DataFrame:
     )
 
 
+def _text(names: dict[str, str]) -> Column:
+    """The text for the rule in ``_rule``, by rule."""
+    return F.create_map(*[F.lit(v) for rule, name in names.items() for v in (rule, TEXTS[name])])[F.col("_rule")]
+
+
 def _shape_label() -> Column:
     names = F.create_map(*[F.lit(v) for pair in LAYER_NAMES.items() for v in pair])
     return F.concat(names[F.col("role")], F.lit(" shape "), (F.col("shape_ord") + 1).cast("string"))
@@ -114,11 +148,7 @@ def check_lines(shapes: DataFrame) -> DataFrame:
             F.lit("closed_line"),
         )
     )
-    text = (
-        F.when(F.col("_rule") == "non_finite", F.lit(" contains non-finite coordinates."))
-        .when(F.col("_rule") == "too_few_points", F.lit(" must contain at least two distinct points."))
-        .otherwise(F.lit(" is closed; draw pia/WM boundaries as open polylines."))
-    )
+    text = _text({"non_finite": "non_finite", "too_few_points": "line_points", "closed_line": "closed_line"})
     broken = lines.withColumn("_rule", rule).filter(F.col("_rule").isNotNull())
     return _finding(broken, "error", F.col("_rule"), F.concat(_shape_label(), text))
 
@@ -160,12 +190,8 @@ def check_polygons(shapes: DataFrame, keys: list[str] | None = None, label: Colu
     plain = judged.filter(F.col("_rule").isNotNull())
     bent = _self_touching(judged.filter(F.col("_rule").isNull()), keys).withColumn("_rule", F.lit("self_intersecting"))
     named = plain.select(*keys, "_rule").unionByName(bent.select(*keys, "_rule"))
-    text = (
-        F.when(F.col("_rule") == "non_finite", F.lit(" contains non-finite coordinates."))
-        .when(F.col("_rule") == "too_few_points", F.lit(" must contain at least three distinct points."))
-        .when(F.col("_rule") == "zero_area", F.lit(" has zero polygon area."))
-        .otherwise(F.lit(" is invalid or self-intersecting; redraw it as a simple polygon."))
-    )
+    same = {k: k for k in ("non_finite", "zero_area", "self_intersecting")}
+    text = _text(same | {"too_few_points": "polygon_points"})
     return _finding(named, "error", F.col("_rule"), F.concat(_shape_label() if label is None else label, text))
 
 
@@ -238,15 +264,12 @@ def merge_piece_lines(shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
         .mapInPandas(_chain, _CHAIN)
     )
     merged = single.unionByName(chained.select(*single.columns))
-    what = F.concat(
-        F.when(F.col("role") == "pia", F.lit("pial boundary for ")).otherwise(F.lit("gray/white boundary for ")),
-        F.col("piece"),
-    )
+    what = F.concat("piece", F.lit(" "), "role")
     warned = _finding(chained, "warning", "merged_segments", F.concat(
-        F.lit("Merged "), F.col("parts").cast("string"), F.lit(" "), what, F.lit(" path segments into one LineString.")
+        what, F.lit(": "), F.col("parts").cast("string"), F.lit(TEXTS["merged_segments"])
     ))
     failed = _finding(several.join(chained.select(*key), key, "left_anti"), "error", "unmergeable_segments", F.concat(
-        F.lit("Multiple "), what, F.lit(" path segments could not be merged into one continuous line.")
+        what, F.lit(TEXTS["unmergeable_segments"])
     ))
     return merged, warned.unionByName(failed)
 
@@ -269,8 +292,8 @@ def snap_to_edge(shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pia and wm lines with both end points moved to the nearest point of the section's edge."""
     errors = _edge_count_findings(
         shapes,
-        "One tissue-edge boundary line is required for snapping.",
-        "Draw exactly one tissue-edge boundary line before snapping.",
+        TEXTS["snap_missing"],
+        TEXTS["snap_several"],
     )
     lines = shapes.filter(F.col("role").isin("pia", "wm")).join(single_edges(shapes), "section")
     ends = lines.withColumns({"_p": F.expr(g.first_of("vertices")), "_q": F.expr(g.last_of("vertices"))})
@@ -302,23 +325,24 @@ def piece_ids(shapes: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def piece_rule_errors(shapes: DataFrame) -> DataFrame:
-    """Errors about what a section or piece must have."""
-    edges = _edge_count_findings(
-        shapes,
-        "Missing tissue-edge boundary line.",
-        "Draw exactly one tissue-edge boundary line; multiple edge lines are not supported.",
-    )
-    sections = shapes.groupBy("section").agg(F.count_if(F.col("role").isin(*PIECE_ROLES)).alias("_n")).filter("_n = 0")
-    empty = _finding(sections, "error", "no_pieces", F.lit("Missing pial boundary line."))
+def piece_rule_errors(shapes: DataFrame, sections: DataFrame | None = None) -> DataFrame:
+    """Errors about what a section or piece must have.
+
+    ``shapes`` are those before their lines are merged. ``sections`` names all that were drawn in, also those
+    without a usable shape; by default the sections of ``shapes``.
+    """
+    if sections is not None:
+        blank = sections.select("section").distinct()
+        shapes = shapes.unionByName(blank, allowMissingColumns=True)
+    edges = _edge_count_findings(shapes, TEXTS["missing_edge"], TEXTS["multiple_edges"])
+    bare = shapes.groupBy("section").agg(F.count_if(F.col("role").isin(*PIECE_ROLES)).alias("_n")).filter("_n = 0")
+    empty = _finding(bare, "error", "no_pieces", F.lit(TEXTS["no_pieces"]))
     per = shapes.filter(F.col("role").isin(*PIECE_ROLES)).groupBy("section", "piece").agg(
         F.max(F.col("role") == "pia").alias("_pia"), F.max(F.col("role") == "wm").alias("_wm")
     ).filter("NOT _pia")
-    rule = F.when(F.col("_wm"), F.lit("wm_without_pia")).otherwise(F.lit("polygons_without_pia"))
-    text = F.when(F.col("_wm"), F.lit(" has a gray/white boundary but no pial boundary.")).otherwise(
-        F.lit(" has piece-specific polygons but no pial boundary.")
-    )
-    return edges.unionByName(empty).unionByName(_finding(per, "error", rule, F.concat("piece", text)))
+    judged = per.withColumn("_rule", F.when(F.col("_wm"), F.lit("wm_without_pia")).otherwise(F.lit("polygons_without_pia")))
+    text = _text({k: k for k in ("wm_without_pia", "polygons_without_pia")})
+    return edges.unionByName(empty).unionByName(_finding(judged, "error", F.col("_rule"), F.concat("piece", text)))
 
 
 # ---------------------------------------------------------------------------------------------
@@ -331,9 +355,7 @@ def boundary_crossings(shapes: DataFrame) -> DataFrame:
     pia = _edge_rows(shapes.filter(F.col("role") == "pia"), key, ring=False)
     wm = _edge_rows(shapes.filter(F.col("role") == "wm"), key, ring=False)
     met = meeting_boxes(pia, wm, key, F.expr(g.segments_touch("l_e", "r_e"))).select(*key).distinct()
-    return _finding(met, "warning", "boundaries_cross", F.concat("piece", F.lit(
-        ": pial and gray/white boundary lines intersect; avoid crossing or touching these boundaries."
-    )))
+    return _finding(met, "warning", "boundaries_cross", F.concat("piece", F.lit(TEXTS["boundaries_cross"])))
 
 
 def exclusion_contacts(shapes: DataFrame) -> DataFrame:
@@ -359,18 +381,33 @@ def exclusion_contacts(shapes: DataFrame) -> DataFrame:
     inside = place_points(starts, boxes).join(place_boxes(boxes), [*key, "_level", "_gx", "_gy"]).filter(
         F.expr(g.covers("_edges", "x", "y"))
     ).select(*key, "shape_ord")
-    met = touched.unionByName(inside).distinct().withColumn("role", F.lit("exclusion"))
+    # People count the exclusions of a piece, not those of the layer.
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("shape_ord"))
+    numbered = polygons.select(*key, "shape_ord", place.alias("_place"))
+    met = touched.unionByName(inside).distinct().join(numbered, [*key, "shape_ord"]).withColumn("role", F.lit("exclusion"))
     return _finding(met, "warning", "exclusion_touches", F.concat(
-        F.col("piece"), F.lit(": exclusion polygon "), (F.col("shape_ord") + 1).cast("string"),
-        F.lit(" touches or overlaps the pial/gray-white boundary; this can remove Dirichlet boundary pixels "
-              "and degrade the Laplace solve."),
+        F.col("piece"), F.lit(": exclusion "), F.col("_place").cast("string"), F.lit(TEXTS["exclusion_touches"])
     ))
 
 
 def _three_digits(value: Column) -> Column:
-    """Text of a positive number with three significant digits."""
-    scale = F.pow(F.lit(10.0), F.lit(2) - F.floor(F.log10(value)))
-    return F.regexp_replace((F.round(value * scale) / scale).cast("string"), r"\.0$", "")
+    """Text of a positive number with three significant digits, with an exponent below 1e-4 and from 1000 up."""
+    power = F.floor(F.log10(value))
+    digits = F.round(value / F.pow(F.lit(10.0), power) * 100).cast("bigint")
+    # 9.996 rounds to 10.0, which is one power more.
+    power, digits = F.when(digits >= 1000, power + 1).otherwise(power), F.when(digits >= 1000, F.lit(100)).otherwise(digits).cast("string")
+
+    def trimmed(text: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+    at = (power + 1).cast("int")
+    plain = F.when(power >= 0, F.concat(F.substring(digits, F.lit(1), at), F.lit("."), F.substring(digits, at + 1, F.lit(3)))).otherwise(
+        F.concat(F.lit("0."), F.repeat(F.lit("0"), -at), digits)
+    )
+    mantissa = trimmed(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 2)))
+    sign = F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+"))
+    long = F.concat(mantissa, sign, F.lpad(F.abs(power).cast("string"), 2, "0"))
+    return F.when((power < -4) | (power >= 3), long).otherwise(trimmed(plain))
 
 
 def endpoint_gaps(shapes: DataFrame, merged: DataFrame | None = None) -> DataFrame:
@@ -402,168 +439,125 @@ def endpoint_gaps(shapes: DataFrame, merged: DataFrame | None = None) -> DataFra
 
 def endpoint_gap_findings(gaps: DataFrame) -> DataFrame:
     return _finding(gaps, "warning", "endpoint_gap", F.concat(
-        F.col("piece"), F.lit(": "),
-        F.when(F.col("role") == "pia", F.lit("pial")).otherwise(F.lit("gray/white")),
-        F.lit(" boundary "), F.col("end"), F.lit(" point is not on the tissue edge (distance "),
+        F.col("piece"), F.lit(": the "), F.col("end"), F.lit(" of the "), F.col("role"), F.lit(TEXTS["endpoint_gap"]),
         _three_digits(F.col("distance")),
-        F.lit("); use Snap To Edge or draw an explicit ribbon polygon."),
     ))
 
 
 # -- Ribbons from the edge ----------------------------------------------------------------------
 
-_RIBBON = f"section string, piece string, candidates bigint, area double, ring {g.VERTICES}"
-
-
-def _distinct_path(points: np.ndarray) -> np.ndarray:
-    keep = np.ones(len(points), dtype=bool)
-    keep[1:] = (np.diff(points, axis=0) != 0).any(axis=1)
-    return points[keep]
-
-
-def _along(edge: np.ndarray) -> np.ndarray:
-    return np.concatenate(([0.0], np.cumsum(np.hypot(*np.diff(edge, axis=0).T))))
-
-
-def _project(edge: np.ndarray, at: np.ndarray, p: np.ndarray) -> float:
-    """Distance along the edge of the point nearest to ``p``."""
-    a, d = edge[:-1], np.diff(edge, axis=0)
-    t = np.clip(((p - a) * d).sum(1) / np.maximum((d * d).sum(1), 1e-300), 0, 1)
-    gap = ((a + t[:, None] * d - p) ** 2).sum(1)
-    k = int(np.argmin(gap))
-    return float(at[k] + t[k] * (at[k + 1] - at[k]))
-
-
-def _stretch(edge: np.ndarray, at: np.ndarray, s: float, e: float) -> np.ndarray:
-    """The edge between two distances along it, walked from ``s`` to ``e`` without passing its ends."""
-    lo, hi = min(s, e), max(s, e)
-    ends = np.column_stack([np.interp([lo, hi], at, edge[:, i]) for i in (0, 1)])
-    path = _distinct_path(np.vstack([ends[:1], edge[(at > lo) & (at < hi)], ends[1:]]))
-    return path if s <= e else path[::-1]
-
-
-def _routes(edge: np.ndarray, at: np.ndarray, s: float, e: float) -> list[np.ndarray]:
-    """Ways along the edge: one on an open edge, both directions on a closed one."""
-    direct = _stretch(edge, at, s, e)
-    closed = len(edge) > 2 and np.allclose(edge[0], edge[-1], rtol=0, atol=1e-9)
-    if not closed or abs(s - e) <= 1e-9:
-        return [direct]
-    # The other way round leaves through one end of the closed line and returns through the other.
-    leave, enter = (0.0, at[-1]) if s <= e else (at[-1], 0.0)
-    out, back = _stretch(edge, at, s, leave), _stretch(edge, at, enter, e)
-    return [direct, _distinct_path(np.vstack([out, back[1:]]))]
-
-
-def _simple_ring(ring: np.ndarray) -> bool:
-    """Whether a closed ring has no self-contact."""
-    a, b = ring[:-1], ring[1:]
-    n = len(a)
-    for i in range(n):
-        d = b[i] - a[i]
-        s1 = d[0] * (a[:, 1] - a[i, 1]) - d[1] * (a[:, 0] - a[i, 0])
-        s2 = d[0] * (b[:, 1] - a[i, 1]) - d[1] * (b[:, 0] - a[i, 0])
-        e = b - a
-        s3 = e[:, 0] * (a[i, 1] - a[:, 1]) - e[:, 1] * (a[i, 0] - a[:, 0])
-        s4 = e[:, 0] * (b[i, 1] - a[:, 1]) - e[:, 1] * (b[i, 0] - a[:, 0])
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        apart = (lo > hi[i]).any(1) | (hi < lo[i]).any(1)
-        meet = ~apart & ~((np.minimum(s1, s2) > 0) | (np.maximum(s1, s2) < 0)) & ~(
-            (np.minimum(s3, s4) > 0) | (np.maximum(s3, s4) < 0))
-        near = np.zeros(n, dtype=bool)
-        near[[i, (i + 1) % n, (i - 1) % n]] = True
-        if (meet & ~near).any():
-            return False
-        nxt = e[(i + 1) % n]
-        if d[0] * nxt[1] - d[1] * nxt[0] == 0 and d @ nxt < 0:
-            return False
-    return True
-
-
-def _area_centroid(ring: np.ndarray) -> tuple[float, float, float]:
-    p = ring - ring[0]
-    cross = p[:-1, 0] * p[1:, 1] - p[1:, 0] * p[:-1, 1]
-    total = cross.sum()
-    if total == 0:
-        return 0.0, 0.0, 0.0
-    c = ((p[:-1] + p[1:]) * cross[:, None]).sum(0) / (3 * total) + ring[0]
-    return abs(total) / 2, float(c[0]), float(c[1])
-
-
-def _ribbon_candidates(edge: np.ndarray, pia: np.ndarray, wm: np.ndarray | None) -> list[tuple[float, np.ndarray]]:
-    at = _along(edge)
-    p0, p1 = _project(edge, at, pia[0]), _project(edge, at, pia[-1])
-    rings = []
-    if wm is None:
-        rings = [[pia, way] for way in _routes(edge, at, p1, p0)]
-    else:
-        w0, w1 = _project(edge, at, wm[0]), _project(edge, at, wm[-1])
-        for line, near_end, near_start in ((wm[::-1], w1, w0), (wm, w0, w1)):
-            for out in _routes(edge, at, p1, near_end):
-                for back in _routes(edge, at, near_start, p0):
-                    rings.append([pia, out, line, back])
-    found: dict[tuple[float, float, float], tuple[float, np.ndarray]] = {}
-    for parts in rings:
-        ring = _distinct_path(np.vstack([parts[0], *[p[1:] for p in parts[1:]]]))
-        if len(ring) < 3:
-            continue
-        if not np.allclose(ring[0], ring[-1], rtol=0, atol=1e-9):
-            ring = np.vstack([ring, ring[:1]])
-        else:
-            ring[-1] = ring[0]
-        area, cx, cy = _area_centroid(ring)
-        if area > 0 and _simple_ring(ring):
-            found.setdefault((round(area, 6), round(cx, 6), round(cy, 6)), (area, ring))
-    return list(found.values())
-
-
-def _ribbons(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def points(vertices) -> np.ndarray:
-        return np.array([[v["x"], v["y"]] for v in vertices], dtype=float)
+def _measured_edges(shapes: DataFrame) -> DataFrame:
+    """The edge of each section with the running length at every vertex, as ``_v``."""
+    edges = single_edges(shapes)
+    each = edges.select("section", F.posexplode("edge").alias("i", "v"))
+    along = Window.partitionBy("section").orderBy("i")
+    step = F.hypot(F.col("v.x") - F.lag("v.x").over(along), F.col("v.y") - F.lag("v.y").over(along))
+    run = F.sum(F.coalesce("_step", F.lit(0.0))).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = each.withColumn("_step", step).withColumn("s", run)
+    vertices = placed.groupBy("section").agg(F.array_sort(F.collect_list(F.struct("i", "v.x", "v.y", "s"))).alias("_v"))
+    return edges.join(vertices, "section")
+
+
+def _on_edge(point: str) -> Column:
+    """Where a point falls on the edge: ``struct<x,y,s>``."""
+    length = "get(_v, pl.i).s + hypot(pl.x - get(_v, pl.i).x, pl.y - get(_v, pl.i).y)"
+    found = g.nearest_on_line("edge", f"{point}.x", f"{point}.y")
+    # A point that lies on the edge keeps its own coordinates, or rounding would fold the ring there.
+    own = {c: f"CASE WHEN pl.d2 <= 1e-18D THEN {point}.{c} ELSE pl.{c} END" for c in "xy"}
+    return F.expr(g.let(found, "pl", f"named_struct('x', {own['x']}, 'y', {own['y']}, 's', {length})"))
+
+
+def _walk(start: str, end: str, way: str) -> str:
+    """Vertices along the edge from one place to another: way 0 between them, way 1 over the seam of a closed edge."""
+    between = f"filter(_v, q -> q.s > least({start}.s, {end}.s) + 1e-9D AND q.s < greatest({start}.s, {end}.s) - 1e-9D)"
+    before, after = (lambda p: f"filter(_v, q -> q.s < {p}.s - 1e-9D)"), (lambda p: f"filter(_v, q -> q.s > {p}.s + 1e-9D)")
+    rising = f"{start}.s <= {end}.s"
+    inner = (
+        f"CASE WHEN {way} = 0 AND {rising} THEN {between} WHEN {way} = 0 THEN reverse({between}) "
+        f"WHEN {rising} THEN concat(reverse({before(start)}), reverse({after(end)})) "
+        f"ELSE concat({after(start)}, {before(end)}) END"
+    )
+    ends = [f"array(named_struct('x', {p}.x, 'y', {p}.y))" for p in (start, end)]
+    return f"concat({ends[0]}, transform({inner}, q -> named_struct('x', q.x, 'y', q.y)), {ends[1]})"
 
-    for pdf in batches:
-        rows = []
-        for rec in pdf.itertuples(index=False):
-            wm = None if rec.wm is None else points(rec.wm)
-            found = _ribbon_candidates(points(rec.edge), points(rec.pia), wm)
-            area, ring = min(found, key=lambda c: c[0]) if found else (None, None)
-            rows.append([
-                rec.section, rec.piece, len(found), area,
-                None if ring is None else [{"x": float(x), "y": float(y)} for x, y in ring],
-            ])
-        yield pd.DataFrame(rows, columns=["section", "piece", "candidates", "area", "ring"])
+
+def _with_ends(line: str, first: str, last: str) -> str:
+    """A line whose ends are moved to their places on the edge where these are within ``_tolerance``."""
+    def moved(v: str, p: str) -> str:
+        return f"CASE WHEN hypot({v}.x - {p}.x, {v}.y - {p}.y) <= _tolerance THEN named_struct('x', {p}.x, 'y', {p}.y) ELSE {v} END"
+
+    return f"transform({line}, (v, i) -> CASE WHEN i = 0 THEN {moved('v', first)} WHEN i = size({line}) - 1 THEN {moved('v', last)} ELSE v END)"
+
+
+def _ribbon_rings(ready: DataFrame) -> DataFrame:
+    """Candidate rings as rows (section, piece, candidate, vertices, area, cx, cy).
+
+    The ring leaves the pia at its last vertex, walks the edge to one end of the wm, follows the wm, and walks the edge
+    back to the pia's first vertex; without a wm it walks back at once. Either end of the wm may come first, and on a
+    closed edge each walk may take either way.
+    """
+    closed = F.expr("size(edge) > 2 AND hypot(edge[0].x - get(edge, size(edge) - 1).x, edge[0].y - get(edge, size(edge) - 1).y) <= 1e-9D")
+    ways = F.when(closed, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    has_wm = F.col("wm").isNotNull()
+    turned = ready.withColumn("_turn", F.explode(F.when(has_wm, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    turned = turned.withColumn("_line", F.when(F.col("_turn"), F.col("wm")).otherwise(F.reverse("wm")))
+    turned = turned.withColumns({
+        "_start": _on_edge("pia[0]"), "_end": _on_edge("get(pia, size(pia) - 1)"),
+        "_near": F.when(has_wm, _on_edge("_line[0]")), "_far": F.when(has_wm, _on_edge("get(_line, size(_line) - 1)")),
+    })
+    # Stored, as each place along the edge is named many times below.
+    # Ends within the tolerance of an end-point gap count as being on the edge.
+    size = F.greatest(F.expr(g.line_length("pia")), F.coalesce(F.expr(g.line_length("wm")), F.lit(0.0)))
+    turned = turned.withColumn("_tolerance", F.greatest(F.lit(1e-6), size * 0.02))
+    both = materialize(turned.withColumns({
+        "pia": F.expr(_with_ends("pia", "_start", "_end")), "_line": F.expr(_with_ends("_line", "_near", "_far"))
+    })).withColumn("_out", F.explode(ways)).withColumn("_back", F.explode(F.when(has_wm, ways).otherwise(F.array(F.lit(0)))))
+    apart = lambda a, b: F.abs(F.col(f"{a}.s") - F.col(f"{b}.s")) > 1e-9
+    first = F.when(has_wm, apart("_end", "_near")).otherwise(apart("_end", "_start"))
+    both = both.filter(((F.col("_out") == 0) | first) & ((F.col("_back") == 0) | apart("_far", "_start")))
+    ring = F.when(has_wm, F.expr(f"concat(pia, {_walk('_end', '_near', '_out')}, _line, {_walk('_far', '_start', '_back')})")).otherwise(
+        F.expr(f"concat(pia, {_walk('_end', '_start', '_out')})")
+    )
+    rings = both.select("section", "piece", F.concat_ws("/", "_turn", "_out", "_back").alias("candidate"), ring.alias("vertices"))
+    rings = materialize(rings.withColumn("vertices", F.expr(g.drop_repeats("vertices"))))
+    last = "get(vertices, size(vertices) - 1)"
+    opened = F.expr(
+        f"CASE WHEN size(vertices) > 1 AND hypot(vertices[0].x - {last}.x, vertices[0].y - {last}.y) <= 1e-9D "
+        "THEN slice(vertices, 1, size(vertices) - 1) ELSE vertices END"
+    )
+    rings = rings.withColumn("vertices", opened).filter(F.size("vertices") >= 3)
+    measures = F.expr(g.polygon_measures(f"array(named_struct('exterior', vertices, 'holes', {g.NO_HOLES}))"))
+    return rings.withColumn("_m", measures).select("section", "piece", "candidate", "vertices", "_m.*").filter("area > 0")
 
 
 def ribbon_from_edge(merged: DataFrame, shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The ribbon of each piece: pia, a stretch of edge and, with a wm, the wm and a second stretch.
 
-    One row per piece goes through the kernel; nothing is grouped. Pieces with an explicit ribbon are
-    not built here. Only simple rings count as candidates. Returns (ribbons, findings).
+    Pieces with an explicit ribbon are not built here. Only simple rings count as candidates, rings with the same area
+    and centroid as one; the smallest is taken. Returns (ribbons, findings).
     """
     key = ["section", "piece"]
     explicit = shapes.filter(F.col("role") == "ribbon").select(*key)
     pia = merged.filter(F.col("role") == "pia").select(*key, F.col("vertices").alias("pia"))
     wm = merged.filter(F.col("role") == "wm").select(*key, F.col("vertices").alias("wm"))
-    ready = pia.join(explicit, key, "left_anti").join(wm, key, "left").join(single_edges(shapes), "section")
-    built = materialize(ready.select(*key, "edge", "pia", "wm").mapInPandas(_ribbons, _RIBBON))
-    has_wm = built.join(wm.select(*key, F.lit(True).alias("_wm")), key, "left").withColumn("_wm", F.coalesce("_wm", F.lit(False)))
-    rule = (
+    ready = pia.join(explicit, key, "left_anti").join(wm, key, "left").join(_measured_edges(shapes), "section")
+    ready = materialize(ready)
+    rings = materialize(_ribbon_rings(ready))
+    simple = rings.join(_self_touching(rings, [*key, "candidate"]), [*key, "candidate"], "left_anti")
+    same = [F.round(c, 6).alias(f"_{c}") for c in ("area", "cx", "cy")]
+    once = simple.groupBy(*key, *same).agg(F.min(F.struct("area", "candidate", "vertices")).alias("_r"))
+    best = once.groupBy(*key).agg(F.count(F.lit(1)).alias("candidates"), F.min("_r").alias("_r"))
+    built = ready.select(*key, F.col("wm").isNotNull().alias("_wm")).join(best, key, "left").select(
+        *key, "_wm", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.col("_r.area").alias("area"),
+        F.expr(g.close_ring("_r.vertices")).alias("ring"),
+    )
+    judged = materialize(built.withColumn("_rule", (
         F.when(~F.col("_wm") & (F.col("candidates") != 1), F.lit("pial_only_ribbon"))
         .when(F.col("_wm") & (F.col("candidates") == 0), F.lit("no_ribbon"))
         .when(F.col("_wm") & (F.col("candidates") > 1), F.lit("several_ribbons"))
-    )
-    judged = has_wm.withColumn("_rule", rule)
-    text = (
-        F.when(F.col("_rule") == "pial_only_ribbon", F.lit(
-            ": pial-only pieces need exactly one polygon from tissue edge + pia, or an explicit cortical-ribbon polygon."))
-        .when(F.col("_rule") == "no_ribbon", F.lit(
-            ": tissue edge, pial boundary, and gray/white boundary do not form a polygon; snap endpoints to the edge "
-            "or draw an explicit cortical-ribbon polygon."))
-        .otherwise(F.lit(
-            ": multiple candidate ribbon polygons were found; draw an explicit cortical-ribbon polygon if the wrong "
-            "tissue region is chosen."))
-    )
+    )))
     told = judged.filter(F.col("_rule").isNotNull())
-    message = F.concat(F.col("piece"), text)
+    message = F.concat(F.col("piece"), _text({k: k for k in ("pial_only_ribbon", "no_ribbon", "several_ribbons")}))
     errors = _finding(told.filter("_rule <> 'several_ribbons'"), "error", F.col("_rule"), message)
     warnings = _finding(told.filter("_rule = 'several_ribbons'"), "warning", F.col("_rule"), message)
     usable = judged.filter(F.coalesce(F.col("_rule") == "several_ribbons", F.lit(True)))
@@ -574,16 +568,14 @@ def piece_overlaps(polygons: DataFrame) -> DataFrame:
     """Pairs of pieces of a section whose polygons share an area.
 
     ``polygons(section, piece, vertices)``; a piece may have several. Polygons meet by their boxes on
-    the grid; then sides must cross, or one polygon must hold a corner, a side's middle or the centre
-    of the other.
+    the grid; then sides must cross, or one polygon must hold a corner, a side's middle or an inner point of the other.
     """
     boxes = polygons.select(
         "section",
         "piece",
         F.expr(g.edges_of_ring("vertices")).alias("edges"),
         *[c.alias(name) for name, c in g.bounds("vertices").items()],
-        F.expr(g.polygon_measures(f"array(named_struct('exterior', vertices, 'holes', {g.NO_HOLES}))")).alias("m"),
-    )
+    ).withColumn("m", F.expr(g.inner_point("edges")))
 
     def held(mine: str, other: str) -> str:
         corner = g.contains_strictly(other, "h.x1", "h.y1")
@@ -591,7 +583,7 @@ def piece_overlaps(polygons: DataFrame) -> DataFrame:
         return f"exists({mine}, h -> {corner} OR {middle})"
 
     def centred(m: str) -> str:
-        return " AND ".join(g.contains_strictly(edges, f"{m}.cx", f"{m}.cy") for edges in ("l_edges", "r_edges"))
+        return " AND ".join(g.contains_strictly(edges, f"{m}.x", f"{m}.y") for edges in ("l_edges", "r_edges"))
 
     crossing = f"exists(l_edges, u -> exists(r_edges, w -> {g.segments_cross('u', 'w')}))"
     tests = [crossing, held("l_edges", "r_edges"), held("r_edges", "l_edges"), centred("l_m"), centred("r_m")]
@@ -602,8 +594,7 @@ def piece_overlaps(polygons: DataFrame) -> DataFrame:
 
 def piece_overlap_findings(pairs: DataFrame) -> DataFrame:
     return _finding(pairs, "warning", "pieces_overlap", F.concat(
-        "left_piece", F.lit(" and "), "right_piece",
-        F.lit(" candidate ribbon polygons overlap; check tissue_piece_id grouping."),
+        "left_piece", F.lit(" and "), "right_piece", F.lit(TEXTS["pieces_overlap"])
     ))
 
 
@@ -689,7 +680,7 @@ def check_annotations(annotations: DataFrame) -> tuple[DataFrame, DataFrame, Dat
         explicit.select("section", "piece", "vertices")
     )
     parts = [
-        own, merging, piece_rule_errors(whole), boundary_crossings(whole), exclusion_contacts(whole),
+        own, merging, piece_rule_errors(usable, shapes), boundary_crossings(whole), exclusion_contacts(whole),
         endpoint_gap_findings(endpoint_gaps(whole)), building, piece_overlap_findings(piece_overlaps(polygons)),
     ]
     found = parts[0]
@@ -700,8 +691,8 @@ def check_annotations(annotations: DataFrame) -> tuple[DataFrame, DataFrame, Dat
 
 # -- Objects ------------------------------------------------------------------------------------
 
-def object_ids(objects: DataFrame) -> DataFrame:
-    """Give every object an id: its own, or ``{type}_{n:04d}`` with n from its place in its set.
+def object_ids(objects: DataFrame, order: tuple[str, ...] = ("object_type", "shape_ord")) -> DataFrame:
+    """Give every object an id: its own, or ``{type}_{n:04d}`` with n from its place in its set, by ``order``.
 
     A number whose id was given to another object of the section is skipped, and the numbers after
     it move up. All counting is by running totals that carry over partitions, so one very large set
@@ -710,7 +701,7 @@ def object_ids(objects: DataFrame) -> DataFrame:
     own = F.when(strip("object_id") != "", strip("object_id"))
     base = objects.withColumns({"_given": own, "_safe": safe_identifier(strip("object_type"))}).withColumn("_one", F.lit(1))
     key = ["section", "_safe"]
-    placed = running_in_group(base, key, ["object_type", "shape_ord"], "_one", "_idx", inclusive=True)
+    placed = running_in_group(base, key, list(order), "_one", "_idx", inclusive=True)
     number = F.regexp_extract("_given", r"^(.+)_(\d{4}|[1-9]\d{4,17})$", 2)
     taken = placed.filter(F.col("_given").isNotNull() & (number != "") & (number != "0000")).select(
         "section",
@@ -764,26 +755,25 @@ def object_features(objects: DataFrame, dataset: str | None = None) -> tuple[Dat
         "vertices": F.expr(g.drop_repeats("vertices")),
     })
     blank = F.coalesce(F.col("object_type") == "", F.lit(True))
-    blanks = _finding(named.filter(blank).select("section").distinct(), "error", "blank_name", F.lit(
-        "Object annotation names must not be blank."))
+    blanks = _finding(named.filter(blank).select("section").distinct(), "error", "blank_name", F.lit(TEXTS["blank_name"]))
     filled = named.filter(~blank)
     shapes = materialize(filled.filter(F.col("vertices").isNotNull()))
     sets = filled.groupBy("section", "object_type").agg(F.count("vertices").alias("_n")).filter("_n = 0")
     empty = _finding(sets, "warning", "empty_set", F.concat(
-        F.lit("Object set '"), F.col("object_type"), F.lit("' contains no polygons.")))
+        F.col("object_type"), F.lit(TEXTS["empty_set"])))
     key = ["section", "object_type", "shape_ord"]
     label = F.concat(F.col("object_type"), F.lit(" polygon "), (F.col("shape_ord") + 1).cast("string"))
     bad = check_polygons(shapes, key, label)
     # Invalid polygons keep their place in the count of their set, but are not exported.
-    broken = _bad_polygons(shapes, key)
+    broken = bad_polygons(shapes, key)
     with_ids = materialize(object_ids(shapes).join(broken, key, "left_anti"))
     per_id = with_ids.groupBy("section", "object_id").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("object_type", "shape_ord")).alias("_first"))
     doubled = _finding(per_id.filter("_n > 1"), "error", "duplicate_id", F.concat(
-        F.lit("Duplicate object_id '"), F.col("object_id"), F.lit("'.")))
+        F.col("object_id"), F.lit(TEXTS["duplicate_id"])))
     kept = with_ids.join(per_id.select("section", "object_id", "_first"), ["section", "object_id"]).filter(
         F.struct("object_type", "shape_ord") == F.col("_first"))
     none = named.select("section").distinct().join(kept.select("section"), "section", "left_anti")
-    nothing = _finding(none, "error", "no_objects", F.lit("Draw at least one object polygon before exporting."))
+    nothing = _finding(none, "error", "no_objects", F.lit(TEXTS["no_objects"]))
     properties = F.struct(
         F.lit("analysis_object").alias("role"),
         F.lit("object").alias("annotation_role"),
@@ -798,7 +788,7 @@ def object_features(objects: DataFrame, dataset: str | None = None) -> tuple[Dat
     return features, found.distinct()
 
 
-def _bad_polygons(shapes: DataFrame, key: list[str]) -> DataFrame:
+def bad_polygons(shapes: DataFrame, key: list[str]) -> DataFrame:
     plain = F.expr(f"NOT {g.all_finite('vertices')} OR CASE WHEN size(vertices) < 3 THEN true ELSE {g.ring_area('vertices')} <= 0 END")
     judged = shapes.withColumn("_plain", plain)
     return judged.filter("_plain").select(*key).unionByName(_self_touching(judged.filter("NOT _plain"), key).select(*key))

@@ -34,11 +34,11 @@ def _drawn_lines(spark, sf):
         F.col("c_name").alias("piece"), k.alias("shape_ord"), shape.alias("vertices")).withColumn("vertices", F.expr(g.drop_repeats("vertices")))
 
 
-@query("""
+@query(f"""
     SELECT c_mktsegment AS section, c_name AS piece, role, k AS shape_ord, 'error' AS severity, rule,
            CASE role WHEN 'pia' THEN 'Pial boundary' ELSE 'Tissue edge boundary' END || ' shape ' || (k + 1) ||
-           CASE rule WHEN 'too_few_points' THEN ' must contain at least two distinct points.' WHEN 'non_finite' THEN ' contains non-finite coordinates.'
-                     ELSE ' is closed; draw pia/WM boundaries as open polylines.' END AS message
+           CASE rule WHEN 'too_few_points' THEN '{n.TEXTS["line_points"]}' WHEN 'non_finite' THEN '{n.TEXTS["non_finite"]}'
+                     ELSE '{n.TEXTS["closed_line"]}' END AS message
     FROM (SELECT *, CASE WHEN k % 13 = 0 THEN 'too_few_points' WHEN k % 17 = 0 THEN 'non_finite' WHEN k % 5 = 0 AND k % 2 = 0 THEN 'closed_line' END AS rule
           FROM (SELECT *, c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'pia' ELSE 'side' END AS role FROM customer) AS p) AS q
     WHERE rule IS NOT NULL""")
@@ -46,11 +46,11 @@ def check_lines(spark, sf):
     return n.check_lines(_drawn_lines(spark, sf))
 
 
-@query("""
+@query(f"""
     SELECT c_mktsegment AS section, c_name AS piece, 'ribbon' AS role, k AS shape_ord, 'error' AS severity, rule,
-           'Cortical ribbon shape ' || (k + 1) || CASE rule WHEN 'too_few_points' THEN ' must contain at least three distinct points.'
-             WHEN 'zero_area' THEN ' has zero polygon area.' WHEN 'non_finite' THEN ' contains non-finite coordinates.'
-             ELSE ' is invalid or self-intersecting; redraw it as a simple polygon.' END AS message
+           'Cortical ribbon shape ' || (k + 1) || CASE rule WHEN 'too_few_points' THEN '{n.TEXTS["polygon_points"]}'
+             WHEN 'zero_area' THEN '{n.TEXTS["zero_area"]}' WHEN 'non_finite' THEN '{n.TEXTS["non_finite"]}'
+             ELSE '{n.TEXTS["self_intersecting"]}' END AS message
     FROM (SELECT *, CASE WHEN k % 13 = 0 THEN 'too_few_points' WHEN k % 17 = 0 THEN 'non_finite' WHEN k % 11 = 0 THEN 'zero_area'
                          WHEN k % 7 = 0 OR k % 5 = 0 THEN 'self_intersecting' END AS rule
           FROM (SELECT *, c_custkey AS k FROM customer) AS p) AS q WHERE rule IS NOT NULL""")
@@ -110,6 +110,12 @@ def snap_to_edge(spark, sf):
                        F.round("v.x", 6).alias("x"), F.round("v.y", 6).alias("y"))
 
 
+@query(oracle("""
+    SELECT section, 'multiple_edges' AS rule FROM annotations_v WHERE role = 'side' GROUP BY section HAVING count(DISTINCT shape_ord) > 1""", "annotations_v"))
+def snap_to_edge_errors(spark, sf):
+    return n.snap_to_edge(_shapes(spark, sf))[1].select("section", "rule")
+
+
 @query(oracle("""
     SELECT section, piece, CASE WHEN bool_or(role = 'wm') THEN 'depth' ELSE 'mask_qc_only' END AS piece_mode
     FROM annotations_v WHERE piece IS NOT NULL GROUP BY section, piece HAVING bool_or(role = 'pia')""", "annotations_v"))
@@ -158,26 +164,34 @@ def endpoint_gaps(spark, sf):
 
 
 @query("""
-    SELECT 'all' AS section, c_name AS piece, CASE WHEN c_custkey % 2 = 0 THEN CAST(1 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS candidates,
-           CASE WHEN c_custkey % 2 = 0 THEN CAST(4000 AS DOUBLE) ELSE CAST(100 * (60 - c_custkey % 40) AS DOUBLE) END AS area
-    FROM customer""")
+    SELECT section, piece, CASE WHEN rule IS NULL THEN CAST(1 AS BIGINT) END AS candidates, CASE WHEN rule IS NULL THEN CAST(area AS DOUBLE) END AS area, rule FROM
+      (SELECT CASE WHEN k % 4 < 2 THEN 'open' ELSE 'closed' END AS section, c_name AS piece,
+              100 * (CASE k % 4 WHEN 0 THEN 55 WHEN 1 THEN 60 ELSE 90 END - (10 + k % 40)) AS area,
+              CASE WHEN k % 4 = 3 OR k % 20 = 1 THEN 'pial_only_ribbon' END AS rule
+       FROM (SELECT c_custkey AS k, c_name FROM customer) AS c) AS q""")
 def ribbon_from_edge(spark, sf):
-    """A U-shaped edge, a pia across it and, for even ids, a wm 40 above the pia."""
+    """An open and a closed edge; pieces with one ribbon, with none (the pia lies on the edge) and with two."""
     c = a.table(spark, sf, "customer")
     k = F.col("c_custkey")
-    level = (k % 40).cast("double")
+    section, level = F.when(k % 4 < 2, F.lit("open")).otherwise(F.lit("closed")), (10 + k % 40).cast("double")
+
+    def at(*points):
+        return F.array(*[_xy(F.lit(float(x)), F.lit(float(y))) for x, y in points])
 
     def across(y):
         return F.array(_xy(F.lit(0.0), y), _xy(F.lit(100.0), y))
 
-    edge = c.limit(1).select(F.lit("side").alias("role"), F.lit(None).cast("string").alias("piece"), F.array(
-        _xy(F.lit(0.0), F.lit(-20.0)), _xy(F.lit(0.0), F.lit(60.0)), _xy(F.lit(100.0), F.lit(60.0)), _xy(F.lit(100.0), F.lit(-20.0))).alias("vertices"))
-    pia = c.select(F.lit("pia").alias("role"), F.col("c_name").alias("piece"), across(F.when(k % 2 == 0, F.lit(10.0)).otherwise(level)).alias("vertices"))
-    wm = c.filter(k % 2 == 0).select(F.lit("wm").alias("role"), F.col("c_name").alias("piece"), across(F.lit(50.0)).alias("vertices"))
-    shapes = edge.unionByName(pia).unionByName(wm).select(F.lit("all").alias("section"), "role", "piece", F.lit(0).cast("bigint").alias("shape_ord"), "vertices")
+    drawn = F.when(F.col("section") == "open", at((0, -20), (0, 60), (100, 60), (100, -20))).otherwise(at((0, 0), (100, 0), (100, 100), (0, 100), (0, 0)))
+    edge = c.select(section.alias("section")).distinct().select("section", F.lit("side").alias("role"), F.lit(None).cast("string").alias("piece"), drawn.alias("vertices"))
+    line = F.when(k % 20 == 1, at((0, 10), (0, 30))).otherwise(across(level))
+    pia = c.select(section.alias("section"), F.lit("pia").alias("role"), F.col("c_name").alias("piece"), line.alias("vertices"))
+    low = across(F.when(k % 4 == 0, F.lit(55.0)).otherwise(F.lit(90.0)))
+    wm = c.filter(k % 2 == 0).select(section.alias("section"), F.lit("wm").alias("role"), F.col("c_name").alias("piece"), low.alias("vertices"))
+    shapes = edge.unionByName(pia).unionByName(wm).withColumn("shape_ord", F.lit(0).cast("bigint"))
     merged, _ = n.merge_piece_lines(shapes)
-    ribbons, _found = n.ribbon_from_edge(merged, shapes)
-    return ribbons.select("section", "piece", "candidates", F.round("area", 6).alias("area"))
+    ribbons, found = n.ribbon_from_edge(merged, shapes)
+    told = found.select("section", "piece", F.lit(None).cast("bigint").alias("candidates"), F.lit(None).cast("double").alias("area"), "rule")
+    return ribbons.select("section", "piece", "candidates", F.round("area", 6).alias("area"), F.lit(None).cast("string").alias("rule")).union(told)
 
 
 @query(oracle("""
@@ -228,13 +242,17 @@ def annotation_features(spark, sf):
     SELECT r_name AS section, n_name AS piece, rule, severity FROM nation JOIN region ON n_regionkey = r_regionkey JOIN
       (SELECT n_nationkey AS k, 'boundaries_cross' AS rule, 'warning' AS severity FROM nation WHERE n_nationkey IN (5, 14, 23)
        UNION ALL SELECT n_nationkey, 'exclusion_touches', 'warning' FROM nation WHERE n_nationkey % 12 = 0
+       UNION ALL SELECT n_nationkey, 'endpoint_gap', 'warning' FROM nation WHERE n_nationkey % 5 = 3 AND n_regionkey <> 4
+       UNION ALL SELECT n_nationkey, 'no_ribbon', 'error' FROM nation WHERE n_nationkey IN (5, 23)
        UNION ALL SELECT n_nationkey, 'wm_without_pia', 'error' FROM nation WHERE n_nationkey = 7) AS f ON f.k = n_nationkey
-    UNION ALL SELECT r_name, CAST(NULL AS VARCHAR), 'multiple_edges', 'error' FROM region WHERE r_regionkey = 4""", "annotations_v"))
+    UNION ALL SELECT r_name, CAST(NULL AS VARCHAR), 'multiple_edges', 'error' FROM region WHERE r_regionkey = 4
+    UNION ALL SELECT r_name, CAST(NULL AS VARCHAR), 'pieces_overlap', 'warning'
+    FROM nation AS low JOIN nation AS high ON low.n_regionkey = high.n_regionkey AND low.n_nationkey < high.n_nationkey JOIN region ON high.n_regionkey = r_regionkey
+    WHERE high.n_nationkey % 4 = 0 AND low.n_nationkey NOT IN (5, 7, 23) AND r_regionkey <> 4""", "annotations_v"))
 def check_annotations(spark, sf):
-    """All rules at once; those that depend on ribbons have queries of their own."""
+    """All rules at once."""
     _usable, _merged, found = n.check_annotations(a.annotations(spark, sf))
-    own = found.filter(F.col("rule").isin("boundaries_cross", "exclusion_touches", "wm_without_pia", "multiple_edges"))
-    return own.select("section", "piece", "rule", "severity")
+    return found.select("section", "piece", "rule", "severity")
 
 
 @query(oracle("""
@@ -333,6 +351,28 @@ def scan_object_annotations(spark, sf):
     return objects.select("section", "object_type", "object_id", F.size("vertices").cast("bigint").alias("n_vertices"), F.col("vertices")[0]["x"].alias("x"))
 
 
+@query("""
+    SELECT CAST(s_suppkey AS VARCHAR) AS section, CASE WHEN s_suppkey % 7 > 1 THEN CAST(s_suppkey % 7 = 4 AS BIGINT) END AS feature,
+           CASE s_suppkey % 7 WHEN 1 THEN 'no_objects' WHEN 2 THEN 'not_polygon' WHEN 3 THEN 'holes' WHEN 4 THEN 'duplicate_id' WHEN 5 THEN 'invalid_geometry' END AS rule
+    FROM supplier WHERE s_suppkey % 7 BETWEEN 1 AND 5""")
+def scan_object_errors(spark, sf):
+    """One mistake per document, by the supplier's number; every other document has a ring that is left open."""
+    square, open_ = "[[0,0],[4,0],[4,4],[0,4],[0,0]]", "[[0,0],[4,0],[4,4],[0,4]]"
+    hole, tie = "[[1,1],[2,1],[2,2],[1,1]]", "[[0,0],[4,4],[4,0],[0,5],[0,0]]"
+
+    def feature(kind, coordinates, ident="a"):
+        return f'{{"type":"Feature","properties":{{"object_id":"{ident}"}},"geometry":{{"type":"{kind}","coordinates":{coordinates}}}}}'
+
+    bodies = {1: "", 2: feature("Point", "[0,0]"), 3: feature("Polygon", f"[{square},{hole}]"),
+              4: feature("Polygon", f"[{square}]") + "," + feature("Polygon", f"[{open_}]"), 5: feature("Polygon", f"[{tie}]")}
+    s = a.table(spark, sf, "supplier")
+    body = F.lit(feature("Polygon", f"[{open_}]"))
+    for rest, text in bodies.items():
+        body = F.when(F.col("s_suppkey") % 7 == rest, F.lit(text)).otherwise(body)
+    text = F.concat(F.lit('{"type":"FeatureCollection","features":['), body, F.lit("]}"))
+    return files.scan_object_annotations(s.select(F.col("s_suppkey").cast("string").alias("section"), text.alias("text")))[1]
+
+
 _READ = "struct<type:string,features:array<struct<type:string,properties:struct<annotation_role:string,tissue_piece_id:string,object_id:string>>>>"
 
 
@@ -360,7 +400,7 @@ def write_annotations(spark, sf):
 def write_annotations_by_role(spark, sf):
     features, found = _features(spark, sf)
     path = scratch(spark, "roles")
-    files.write_annotations_by_role(features, found.filter("severity <> 'error'"), path)
+    files.write_annotations_by_role(features, found, path, allow_invalid=True)
     return _read_back(spark, path, "section", "stem").groupBy("section", "stem").agg(F.count(F.lit(1)).alias("n"))
 
 

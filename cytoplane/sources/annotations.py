@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from cytoplane.functions import geometry as g
 from cytoplane.functions.text import strip
-from cytoplane.operators.annotations import FILE_STEMS, check_polygons, object_ids
+from cytoplane.operators.annotations import FILE_STEMS, bad_polygons, object_ids
+from cytoplane.plans.registry import scratch
 from cytoplane.session import materialize
 
 OBJECT_SCHEMA = "distance_from_object/v1"
+#: Messages that an error quotes; the table it names has all.
+QUOTED = 20
 
 _GEOMETRY = "struct<type:string,coordinates:string>"
 _PROPERTIES = "struct<object_id:string,object_type:string,name:string>"
@@ -31,7 +34,7 @@ def scan_object_annotations(documents: DataFrame) -> tuple[DataFrame, DataFrame]
 
     A document is a FeatureCollection, a Feature or a bare geometry. Parts of a multipolygon get the
     feature's id with ``_1``, ``_2``, …; missing ids are generated. Holes, other geometries, invalid
-    rings and repeated ids are errors.
+    rings, repeated ids and documents without any object are errors.
     """
     parsed = documents.withColumn("_d", F.from_json("text", _DOCUMENT))
     d = F.col("_d")
@@ -61,14 +64,15 @@ def scan_object_annotations(documents: DataFrame) -> tuple[DataFrame, DataFrame]
     )
     parts = typed.select("*", F.size("_parts").alias("_n"), F.posexplode_outer("_parts").alias("_p", "_rings"))
     ring = "transform(get(_rings, 0), c -> named_struct('x', get(c, 0), 'y', get(c, 1)))"
-    opened = g.let(ring, "rr", "CASE WHEN size(rr) > 1 THEN slice(rr, 1, size(rr) - 1) ELSE rr END")
+    # Only a vertex that repeats the first one closes the ring; a ring that is left open keeps all its vertices.
+    opened = g.let(ring, "rr", "CASE WHEN size(rr) > 1 AND get(rr, size(rr) - 1) = rr[0] THEN slice(rr, 1, size(rr) - 1) ELSE rr END")
     shapes = parts.select(
         "section",
         "feature",
         "object_type",
         F.when((F.col("_n") > 1) & (F.col("_id") != ""), F.concat("_id", F.lit("_"), (F.col("_p") + 1).cast("string")))
         .otherwise(F.col("_id")).alias("object_id"),
-        (F.col("feature") * F.lit(1 << 20) + F.coalesce("_p", F.lit(0))).cast("bigint").alias("shape_ord"),
+        F.coalesce("_p", F.lit(0)).cast("bigint").alias("part"),
         "_kind",
         (F.size("_rings") > 1).alias("_holes"),
         F.expr(g.drop_repeats(opened)).alias("vertices"),
@@ -81,13 +85,15 @@ def scan_object_annotations(documents: DataFrame) -> tuple[DataFrame, DataFrame]
     judged = shapes.withColumn("rule", rule)
     refused = judged.filter(F.col("rule").isNotNull()).select("section", "feature", "rule")
     plain = judged.filter(F.col("rule").isNull()).drop("rule", "_kind", "_holes")
-    key = ["section", "object_type", "shape_ord"]
-    bad = check_polygons(plain, key, F.lit("")).select(
-        "section", F.floor(F.col("shape_ord") / F.lit(1 << 20)).alias("feature"), F.lit("invalid_geometry").alias("rule"))
-    named = object_ids(plain)
+    key = ["section", "object_type", "feature", "part"]
+    bad = bad_polygons(plain, key).select("section", "feature", F.lit("invalid_geometry").alias("rule"))
+    named = object_ids(plain, ("object_type", "feature", "part"))
     doubled = named.groupBy("section", "object_id").agg(F.count(F.lit(1)).alias("_n"), F.max("feature").alias("feature")).filter("_n > 1")
-    errors = refused.unionByName(bad).unionByName(doubled.select("section", "feature", F.lit("duplicate_id").alias("rule"))).distinct()
-    return named.select("section", "object_type", "object_id", "feature", "shape_ord", "vertices"), errors
+    none = documents.select("section").distinct().join(shapes.select("section"), "section", "left_anti")
+    empty = none.select("section", F.lit(None).cast("bigint").alias("feature"), F.lit("no_objects").alias("rule"))
+    doubled = doubled.select("section", "feature", F.lit("duplicate_id").alias("rule"))
+    errors = refused.unionByName(bad).unionByName(doubled).unionByName(empty).distinct()
+    return named.select("section", "object_type", "object_id", "feature", "part", "vertices"), errors
 
 
 def read_object_annotations(spark: SparkSession, path: str) -> DataFrame:
@@ -98,10 +104,16 @@ def read_object_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _refuse(findings: DataFrame, column: str, text: str) -> None:
-    """Raise with a few of the messages if there are any."""
-    rows = findings.select(column).distinct().orderBy(column).limit(20).collect()
-    if rows:
-        raise ValueError(text + ":\n" + "\n".join(str(r[0]) for r in rows))
+    """Raise if there are any findings. All of them are in the table that the error names; it quotes the first few."""
+    spark = findings.sparkSession
+    path = scratch(spark, "findings")
+    findings.distinct().write.parquet(path)
+    stored = spark.read.schema(findings.schema).parquet(path)
+    total = stored.count()
+    if total:
+        told = stored.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(column).limit(QUOTED).collect()
+        quoted = "\n".join(f"{r[0]} ({r.n})" if r.n > 1 else str(r[0]) for r in told)
+        raise ValueError(f"{text}: {total} findings, all of them in {path}\n{quoted}")
 
 
 def _collections(features: DataFrame, groups: list[str], order: list[str], head: str, tails: DataFrame | None) -> DataFrame:
@@ -160,9 +172,10 @@ def write_annotations(
     lines.write.mode("overwrite").partitionBy("section").text(path)
 
 
-def write_annotations_by_role(features: DataFrame, findings: DataFrame, path: str) -> None:
-    """One FeatureCollection per section and role, under the role's fixed file stem."""
-    _refuse(findings.filter("severity = 'error'"), "message", "annotations are invalid")
+def write_annotations_by_role(features: DataFrame, findings: DataFrame, path: str, allow_invalid: bool = False) -> None:
+    """One FeatureCollection per section and role, under the role's fixed file stem; refused as the combined one is."""
+    if not allow_invalid:
+        _refuse(findings.filter("severity = 'error'"), "message", "annotations are invalid")
     stems = F.create_map(*[F.lit(v) for pair in FILE_STEMS.items() for v in pair])
     named = features.withColumn("stem", stems[F.col("role")])
     lines = _collections(named, ["section", "stem"], ["ord_piece", "ord_role"], _HEAD, None)

@@ -75,12 +75,12 @@ def test_failures(spark, tmp_path):
     usable, merged, found, errors, _ = judged(drawn(spark, side=[U], wm=[("a", [[30, 0], [30, 100]])]))
     assert errors == {"wm_without_pia"}
     features = n.annotation_features(usable, merged)
-    with pytest.raises(ValueError, match="gray/white boundary but no pial boundary"):
+    with pytest.raises(ValueError, match="a has a wm line without a pia line"):
         files.write_annotations(features, found, str(tmp_path / "no"))
     files.write_annotations(features, found, str(tmp_path / "forced"), allow_invalid=True, include_validation_report=True)
     (one,) = (tmp_path / "forced" / "section=s").glob("part-*")
     report = json.loads(one.read_text())["validation"]
-    assert report["ok"] is False and "no pial boundary" in report["errors"][0]
+    assert report["ok"] is False and "without a pia line" in report["errors"][0]
 
     two = drawn(spark, side=[[[0, 0], [50, 0]], [[0, 100], [50, 100]]], pia=[[[10, 0], [10, 100]]])
     assert "multiple_edges" in judged(two)[3]
@@ -117,7 +117,7 @@ def test_explicit_ribbon_skips_edge_checks(spark):
 def test_gap_message(spark):
     df = n.canonical(drawn(spark, side=[U], pia=[("a", [[10, 27], [10, 100]])]))
     (row,) = n.endpoint_gap_findings(n.endpoint_gaps(df)).collect()
-    assert row.message.startswith("a: pial boundary start point is not on the tissue edge (distance 27)")
+    assert row.message == "a: the start of the pia does not lie on the tissue edge; it is this far off: 27"
 
 
 def test_snap(spark):
