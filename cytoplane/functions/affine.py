@@ -39,8 +39,12 @@ def apply(t: dict[str, Column], px: Column, py: Column) -> tuple[Column, Column]
 
 
 def invert(t: dict[str, Column]) -> dict[str, Column]:
-    """Closed-form inverse. A singular transform gives nulls, which callers reject."""
+    """Closed-form inverse. A singular or non-finite transform is an error when its row is used."""
     det = t["a"] * t["e"] - t["b"] * t["d"]
+    usable = (det != 0) & (F.abs(det) < float("inf"))
+    for name in ("c", "f"):
+        usable = usable & (F.abs(t[name]) < float("inf"))
+    det = F.when(F.coalesce(usable, F.lit(False)), det).otherwise(F.raise_error(F.lit("a transform cannot be inverted")).cast("double"))
     a, b = F.try_divide(t["e"], det), F.try_divide(-t["b"], det)
     d, e = F.try_divide(-t["d"], det), F.try_divide(t["a"], det)
     return {

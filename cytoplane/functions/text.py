@@ -65,7 +65,7 @@ def normalize_cell_key(value: Column | str, exact: bool = True) -> Column:
     """One text per cell id, whatever type the id was stored in.
 
     Null and non-finite values become ``''``; whole numbers become plain integer text; other
-    numbers their shortest text; anything else is trimmed. With ``exact`` (the default) digit
+    numbers their shortest text; anything else, and numbers of more than 38 digits, is trimmed. With ``exact`` (the default) digit
     strings never pass through a double, so 19-digit ids stay distinct; without it they do, and
     lose their low digits.
     """
@@ -73,12 +73,12 @@ def normalize_cell_key(value: Column | str, exact: bool = True) -> Column:
     number = F.replace(text, F.lit("_"), F.lit("")).try_cast("double")
     finite = ~F.isnan(number) & (F.abs(number) < F.lit(float("inf")))
     whole = F.when(F.abs(number) < F.lit(2.0**63), number.try_cast("bigint").cast("string")).otherwise(
-        number.try_cast("decimal(38,0)").cast("string")
+        F.coalesce(number.try_cast("decimal(38,0)").cast("string"), text)
     )
     from_double = F.when(~finite, F.lit("")).when(F.rint(number) == number, whole).otherwise(_short_float(number))
     key = F.when(text.isNull() | text.rlike(_NON_FINITE), F.lit(""))
     if exact:
-        key = key.when(text.rlike(_DIGITS), text.try_cast("decimal(38,0)").cast("string"))
+        key = key.when(text.rlike(_DIGITS), F.coalesce(text.try_cast("decimal(38,0)").cast("string"), text))
     return key.when(text.rlike(_NUMBER), from_double).otherwise(text)
 
 

@@ -9,7 +9,7 @@ from cytoplane.functions import affine
 from cytoplane.functions import geometry as g
 from cytoplane.operators import celltypes
 from cytoplane.operators.grid import place_boxes, place_points
-from cytoplane.operators.transcripts import assigned_points, cell_gene_counts, ranked_genes
+from cytoplane.operators.transcripts import assigned_points, cell_gene_counts, cell_key, ranked_genes
 
 TILE = 1024
 
@@ -139,9 +139,11 @@ def tile_candidates(
 
 def transcript_links(points: DataFrame, cells: DataFrame, exact: bool = True) -> DataFrame:
     """A segment from each transcript of the given cells to the cell's centroid."""
-    centres = cell_geometry(cells).select("cell_id", "cx", "cy")
-    return assigned_points(points, exact).join(centres, "cell_id").select(
-        "cell_id", "gene", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("cx").alias("x2"), F.col("cy").alias("y2")
+    kept = assigned_points(points, exact)
+    key = cell_key(kept, cells)
+    centres = cell_geometry(cells).select(*key, "cx", "cy")
+    return kept.join(centres, key).select(
+        *key, "gene", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("cx").alias("x2"), F.col("cy").alias("y2")
     )
 
 
@@ -153,13 +155,14 @@ def cell_summary(
     The lists hold one entry per gene of the panel or per channel, never per transcript.
     """
     ranked = ranked_genes(cell_gene_counts(points, exact))
-    genes = ranked.groupBy("cell_id").agg(
+    by_gene, by_channel = cell_key(ranked, cells), cell_key(intensities, cells)
+    genes = ranked.groupBy(*by_gene).agg(
         F.sum("n").alias("total"),
         F.sort_array(F.collect_list(F.struct("rank", "gene", "n"))).alias("genes"),
     )
-    channels = intensities.groupBy("cell_id").agg(
-        F.sort_array(F.collect_list(F.struct("channel", "mean"))).alias("channels")
-    )
-    measured = cell_geometry(cells.drop("area")).select("cell_id", "area", "cx", "cy")
-    joined = measured.join(genes, "cell_id", "left").join(channels, "cell_id", "left")
+    # An image's key, where there is one, stands before its channel.
+    told = [c for c in ("key", "channel", "mean") if c in intensities.columns]
+    channels = intensities.groupBy(*by_channel).agg(F.sort_array(F.collect_list(F.struct(*told))).alias("channels"))
+    measured = cell_geometry(cells.drop("area")).select(*cell_key(cells), "area", "cx", "cy")
+    joined = measured.join(genes, by_gene, "left").join(channels, by_channel, "left")
     return celltypes.annotate_cells(joined.fillna(0, ["total"]), types, exact)

@@ -32,10 +32,11 @@ def enabled_cell_types(cells: DataFrame, enabled: DataFrame | None, level: str =
 
 
 def annotate_cells(cells: DataFrame, types: DataFrame, exact: bool = True) -> DataFrame:
-    """Broad and fine label of each cell, matched on the normalised id."""
-    labels = types.select(normalize_cell_key("cell_id", exact).alias("_key"), "broad", "fine")
+    """Broad and fine label of each cell, matched on the normalised id and what else both tables tell cells apart by."""
+    on = [c for c in ("section", "seg_key") if c in cells.columns and c in types.columns]
+    labels = types.select(*on, normalize_cell_key("cell_id", exact).alias("_key"), "broad", "fine")
     keyed = cells.withColumn("_key", normalize_cell_key("cell_id", exact))
-    return keyed.join(labels, "_key", "left").select(
+    return keyed.join(labels, [*on, "_key"], "left").select(
         *cells.columns,
         F.coalesce("broad", F.lit(UNANNOTATED)).alias("broad"),
         F.coalesce("fine", F.lit(UNANNOTATED)).alias("fine"),

@@ -56,7 +56,8 @@ def meeting_boxes(left: DataFrame, right: DataFrame, on: list[str], condition: C
     """Pairs of boxes that overlap (closed) and satisfy ``condition``, each pair once.
 
     Columns other than ``on`` are prefixed ``l_`` and ``r_``; ``condition`` uses those names. A pair
-    meets on the coarser of its two levels: the coarser box at home, the finer one as a guest. It is
+    meets on the coarser of its two levels: the coarser box at home, the finer one as a guest. Guests are
+    joined to hosts only, never to each other, so small boxes do not meet on a large box's level. A pair is
     kept only in the grid cell of its overlap's lower corner, so no distinct is needed.
     """
     box = ("xmin", "ymin", "xmax", "ymax")
@@ -66,15 +67,22 @@ def meeting_boxes(left: DataFrame, right: DataFrame, on: list[str], condition: C
         return named.withColumn(f"_{tag}_level", _level(*(F.col(f"{tag}_{c}") for c in box)))
 
     a, b = prefixed(left, "l"), prefixed(right, "r")
-    used = a.select(F.col("_l_level").alias("_level")).union(b.select(F.col("_r_level").alias("_level")))
 
     def spread(df: DataFrame, tag: str) -> DataFrame:
-        every = df.withColumn("_levels", _levels_in_use(used)).withColumn("_level", F.explode("_levels"))
-        coarse = every.drop("_levels").filter(F.col("_level") >= F.col(f"_{tag}_level"))
         for axis in ("x", "y"):
             span = _span(F.col(f"{tag}_{axis}min"), F.col(f"{tag}_{axis}max"), F.col("_level"))
-            coarse = coarse.withColumn(f"_g{axis}", F.explode(span))
-        return coarse
+            df = df.withColumn(f"_g{axis}", F.explode(span))
+        return df
+
+    def at_home(df: DataFrame, tag: str) -> DataFrame:
+        return spread(df.withColumn("_level", F.col(f"_{tag}_level")), tag)
+
+    def guests(df: DataFrame, tag: str, hosts: DataFrame, host: str, own: bool) -> DataFrame:
+        """On every level of a host that is coarser than the box's own, or the same if ``own``."""
+        levels = _levels_in_use(hosts.select(F.col(f"_{host}_level").alias("_level")))
+        every = df.withColumn("_levels", levels).withColumn("_level", F.explode("_levels")).drop("_levels")
+        mine = F.col(f"_{tag}_level")
+        return spread(every.filter(F.col("_level") >= mine if own else F.col("_level") > mine), tag)
 
     overlap = (
         (F.col("l_xmin") <= F.col("r_xmax"))
@@ -82,10 +90,11 @@ def meeting_boxes(left: DataFrame, right: DataFrame, on: list[str], condition: C
         & (F.col("l_ymin") <= F.col("r_ymax"))
         & (F.col("r_ymin") <= F.col("l_ymax"))
     )
-    home = F.col("_level") == F.greatest("_l_level", "_r_level")
     corner = (F.floor(F.greatest("l_xmin", "r_xmin") / _side(F.col("_level"))) == F.col("_gx")) & (
         F.floor(F.greatest("l_ymin", "r_ymin") / _side(F.col("_level"))) == F.col("_gy")
     )
     keys = [*on, "_level", "_gx", "_gy"]
-    pairs = spread(a, "l").join(spread(b, "r"), keys).filter(home & overlap & corner & condition)
-    return pairs.drop("_level", "_gx", "_gy", "_l_level", "_r_level")
+    met = guests(a, "l", b, "r", own=True).join(at_home(b, "r"), keys).unionByName(
+        at_home(a, "l").join(guests(b, "r", a, "l", own=False), keys)
+    )
+    return met.filter(overlap & corner & condition).drop("_level", "_gx", "_gy", "_l_level", "_r_level")

@@ -274,15 +274,26 @@ def density_pyramid(
 
 
 def complete_pyramid(
-    stored: DataFrame, last_level: int, min_size: int = MIN_SIZE, max_levels: int = MAX_LEVELS
+    stored: DataFrame, last_level: int | None = None, min_size: int = MIN_SIZE, max_levels: int = MAX_LEVELS
 ) -> DataFrame:
-    """Append coarse levels to a shallow stored pyramid, starting from its last level."""
-    room = max_levels - (last_level + 1)
-    if room <= 0:
-        return stored
-    last = stored.filter(F.col("level") == last_level).drop("level")
+    """Append coarse levels to shallow stored pyramids, each from its own last level.
+
+    ``last_level`` starts all of them from that level instead.
+    """
     whole = dict(stored.dtypes)["value"] not in ("double", "float")
-    return stored.unionByName(_pyramid(last, 2, "mean", min_size, room, whole, last_level + 1))
+    if last_level is None:
+        raster = [c for c in ("section", "key", "channel") if c in stored.columns]
+        ends = materialize(stored.groupBy(*raster).agg(F.max("level").alias("_last")))
+        lasts = [r[0] for r in ends.select("_last").distinct().collect()]  # at most max_levels numbers
+        tops = [(n, stored.join(ends.filter(F.col("_last") == n).drop("_last"), raster, "left_semi")) for n in sorted(lasts)]
+    else:
+        tops = [(last_level, stored)]
+    out = stored
+    for n, some in tops:
+        if max_levels > n + 1:
+            last = some.filter(F.col("level") == n).drop("level")
+            out = out.unionByName(_pyramid(last, 2, "mean", min_size, max_levels - (n + 1), whole, n + 1))
+    return out
 
 
 def value_overlay(labels: DataFrame, bins: DataFrame, on: list[str] | None = None) -> DataFrame:
@@ -419,21 +430,27 @@ def rasterize_cells(
 def cell_channel_intensity(
     cells: DataFrame, pixels: DataFrame, height, width, transform: dict[str, Column], tile: int = TILE
 ) -> DataFrame:
-    """Mean of the non-NaN pixels in each cell per channel; cells without pixels are null.
+    """Mean of the non-NaN pixels in each cell per image and channel; cells without pixels are null.
 
     Cells do not take pixels from each other. Cell pixels join image pixels on (section, row, col),
     which spreads a crowded tile over many keys, and sums are merged before their shuffle.
     """
+    image = ["section", *(c for c in ("key",) if c in pixels.columns), "channel"]
     runs = _pixel_runs(cells.withColumn("label_id", F.lit(1)), height, width, transform, tile)
     mine = runs.filter("value = 1").withColumn("col", F.explode(F.sequence("col0", "col1"))).select(
         "section", "cell_id", "row", "col"
     )
     usable = pixels.filter(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")))
-    sums = mine.join(usable, ["section", "row", "col"]).groupBy("section", "cell_id", "channel").agg(
+    sums = mine.join(usable, ["section", "row", "col"]).groupBy(*image, "cell_id").agg(
         F.sum(F.col("value").cast("double")).alias("_sum"), F.count(F.lit(1)).alias("_n")
     )
-    channels = pixels.select("section", "channel").distinct()
-    every = cells.select("section", F.col("cell_id").cast("string").alias("cell_id")).join(channels, "section")
-    return every.join(sums, ["section", "cell_id", "channel"], "left").select(
-        "section", "cell_id", "channel", (F.col("_sum") / F.col("_n")).alias("mean"), F.coalesce("_n", F.lit(0)).alias("n")
+    # Channels of each section as one small map, so that cells are not joined on a key that all of a section share.
+    names = pixels.groupBy("section").agg(F.array_sort(F.collect_set(F.struct(*image[1:]))).alias("_all"))
+    listed = names.agg(F.map_from_entries(F.collect_list(F.struct("section", "_all")))).scalar()
+    each = cells.select("section", F.col("cell_id").cast("string").alias("cell_id")).withColumn("_channels", listed)
+    every = each.select("section", "cell_id", F.explode(F.try_element_at("_channels", F.col("section"))).alias("_c")).select(
+        "section", "cell_id", "_c.*"
+    )
+    return every.join(sums, [*image, "cell_id"], "left").select(
+        "section", "cell_id", *image[1:], (F.col("_sum") / F.col("_n")).alias("mean"), F.coalesce("_n", F.lit(0)).alias("n")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cytoplane.session import dimension, materialize
+from cytoplane.session import materialize
 
 _STEP = 16
 _COPIES = 100_000
@@ -99,6 +99,6 @@ def clustered_layout(points: DataFrame, codes: DataFrame) -> DataFrame:
     Range bounds include the coordinates, so a gene that holds a large share of all points is split
     over many partitions and the files stay even.
     """
-    coded = points.join(dimension(codes), "gene")
+    coded = points.join(codes, "gene")
     order = ["marker_group", "gene_code", "background", "x", "y"]
     return coded.repartitionByRange(*order).sortWithinPartitions(*order)

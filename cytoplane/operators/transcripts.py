@@ -9,9 +9,9 @@ from pyspark.sql import types as T
 from cytoplane.functions.geometry import finite
 from cytoplane.functions.text import is_assigned, is_control_gene, normalize_cell_key
 from cytoplane.operators.ordering import global_index, running_total
-from cytoplane.session import dimension
 
 MARKER_GROUPS = 14
+CELL_KEY = ("section", "seg_key", "cell_id")
 
 
 def valid_points(points: DataFrame) -> DataFrame:
@@ -27,9 +27,9 @@ def assigned_flag(points: DataFrame) -> Column:
 
 
 def background_flag(points: DataFrame) -> Column:
-    """The background column if there is one, else "not assigned", else false."""
+    """The background column if there is one (null: false), else "not assigned", else false."""
     if "background" in points.columns:
-        return F.col("background").cast("boolean")
+        return F.coalesce(F.col("background").cast("boolean"), F.lit(False))
     if "assignment" in points.columns:
         return ~assigned_flag(points)
     return F.lit(False)
@@ -39,6 +39,11 @@ def with_background(points: DataFrame) -> DataFrame:
     return points.withColumn("background", background_flag(points))
 
 
+def cell_key(*tables: DataFrame) -> list[str]:
+    """The columns that tell cells apart: the id, with section and segmentation where every table has them."""
+    return [c for c in CELL_KEY if c == "cell_id" or all(c in t.columns for t in tables)]
+
+
 def assigned_points(points: DataFrame, exact: bool = True) -> DataFrame:
     """Valid assigned points keyed by normalised cell id; blank keys are dropped."""
     kept = valid_points(points).filter(assigned_flag(points))
@@ -65,7 +70,7 @@ def visible_transcripts(
     genes = enabled.select("gene").distinct()
     if not show_controls:
         shown = shown.filter(~is_control_gene("gene"))
-    return shown.join(dimension(genes), "gene", "left_semi")
+    return shown.join(genes, "gene", "left_semi")
 
 
 def gene_counts(points: DataFrame) -> DataFrame:
@@ -82,7 +87,8 @@ def point_totals(points: DataFrame, max_points: int | None = None) -> DataFrame:
 
 
 def cell_counts(points: DataFrame, exact: bool = True) -> DataFrame:
-    return assigned_points(points, exact).groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = assigned_points(points, exact)
+    return kept.groupBy(*cell_key(kept)).agg(F.count(F.lit(1)).alias("n"))
 
 
 def gene_fg_bg_counts(points: DataFrame) -> DataFrame:
@@ -94,7 +100,8 @@ def gene_fg_bg_counts(points: DataFrame) -> DataFrame:
 
 
 def cell_gene_counts(points: DataFrame, exact: bool = True) -> DataFrame:
-    return assigned_points(points, exact).groupBy("cell_id", "gene").agg(F.count(F.lit(1)).alias("n"))
+    kept = assigned_points(points, exact)
+    return kept.groupBy(*cell_key(kept), "gene").agg(F.count(F.lit(1)).alias("n"))
 
 
 def cell_transcripts(points: DataFrame, exact: bool = True) -> DataFrame:
@@ -104,21 +111,29 @@ def cell_transcripts(points: DataFrame, exact: bool = True) -> DataFrame:
     spread over several partitions instead of becoming one array; a look-up of one cell prunes to the
     row groups that hold it.
     """
-    keyed = assigned_points(points, exact).select("cell_id", "y", "x", "gene")
-    order = ["cell_id", "y", "x", "gene"]
+    kept = assigned_points(points, exact)
+    order = [*cell_key(kept), "y", "x", "gene"]
+    keyed = kept.select(*order)
     return keyed.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def cell_slices(points: DataFrame, exact: bool = True) -> DataFrame:
     """Where each cell starts and ends in the order of :func:`cell_transcripts`."""
-    placed = running_total(cell_counts(points, exact), ["cell_id"], "n", "start")
-    return placed.select("cell_id", "start", (F.col("start") + F.col("n")).alias("end"))
+    counts = cell_counts(points, exact)
+    key = cell_key(counts)
+    placed = running_total(counts, key, "n", "start")
+    return placed.select(*key, "start", (F.col("start") + F.col("n")).alias("end"))
 
 
 def transcripts_for_cells(points: DataFrame, requested: DataFrame, exact: bool = True) -> DataFrame:
-    """Assigned points of the requested cells; unknown cells give no rows."""
-    wanted = requested.select(normalize_cell_key("cell_id", exact).alias("cell_id")).distinct()
-    return assigned_points(points, exact).select("cell_id", "y", "x", "gene").join(wanted, "cell_id", "left_semi")
+    """Assigned points of the requested cells; unknown cells give no rows.
+
+    Cells are asked for by section and segmentation too, where both tables have these.
+    """
+    kept = assigned_points(points, exact)
+    key = cell_key(kept, requested)
+    wanted = requested.withColumn("cell_id", normalize_cell_key("cell_id", exact)).select(*key).distinct()
+    return kept.select(*cell_key(kept), "y", "x", "gene").join(wanted, key, "left_semi")
 
 
 def gene_codes(points: DataFrame) -> DataFrame:
@@ -137,11 +152,15 @@ def gene_offsets(counts: DataFrame, groups: DataFrame) -> DataFrame:
     ``counts`` has one row per gene (fg, bg) and ``groups`` its marker group; the running sums are
     over genes, never over points.
     """
+    return _placed(counts, groups).select("gene", "marker_group", "fg_start", "fg_end", "bg_end")
+
+
+def _placed(counts: DataFrame, groups: DataFrame) -> DataFrame:
     sized = counts.join(groups.select("gene", "marker_group"), "gene").withColumn("n", F.col("fg") + F.col("bg"))
     before = Window.partitionBy("marker_group").orderBy("gene").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("n").over(before), F.lit(0))
     return sized.withColumn("fg_start", start).select(
-        "gene",
+        *counts.columns,
         "marker_group",
         "fg_start",
         (F.col("fg_start") + F.col("fg")).alias("fg_end"),
@@ -151,14 +170,14 @@ def gene_offsets(counts: DataFrame, groups: DataFrame) -> DataFrame:
 
 def ranked_genes(counts: DataFrame, top: int | None = None) -> DataFrame:
     """Genes of each cell by count, then name. Rows are (cell, gene) counts, not points."""
-    order = Window.partitionBy("cell_id").orderBy(F.desc("n"), F.asc("gene"))
+    order = Window.partitionBy(*cell_key(counts)).orderBy(F.desc("n"), F.asc("gene"))
     ranked = counts.withColumn("rank", F.row_number().over(order).cast("bigint"))
     return ranked if top is None else ranked.filter(F.col("rank") <= top)
 
 
 def gene_share(counts: DataFrame) -> DataFrame:
     """Part of each gene in its cell's transcripts."""
-    total = F.sum("n").over(Window.partitionBy("cell_id"))
+    total = F.sum("n").over(Window.partitionBy(*cell_key(counts)))
     return counts.withColumn("share", F.col("n") / total.cast("double"))
 
 
@@ -176,10 +195,6 @@ def enabled_genes(points: DataFrame, show_controls: bool = False) -> DataFrame:
     return genes if show_controls else genes.exceptAll(genes.filter(is_control_gene("gene")))
 
 
-def gene_panel(points: DataFrame, broad_of_gene: DataFrame) -> DataFrame:
-    """The panel report: counts, control flag, marker group and offsets of every gene."""
-    counts = gene_fg_bg_counts(points)
-    offsets = gene_offsets(counts, broad_of_gene)
-    return counts.join(offsets, "gene").withColumn("is_control", is_control_gene("gene")).orderBy(
-        "marker_group", "gene"
-    )
+def gene_panel(counts: DataFrame, groups: DataFrame) -> DataFrame:
+    """The panel report from the counts of its genes: control flag, marker group and offsets."""
+    return _placed(counts, groups).withColumn("is_control", is_control_gene("gene")).orderBy("marker_group", "gene")

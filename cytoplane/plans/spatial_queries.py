@@ -155,7 +155,7 @@ def cell_summary(spark, sf):
     rows = c.cell_summary(a.cells(spark, sf), a.transcripts(spark, sf), _intensity(spark, sf), _types(spark, sf))
     genes = F.array_join(F.transform("genes", lambda g: F.concat(g["gene"], F.lit(":"), g["n"].cast("string"))), "|")
     flat = rows.withColumn("genes", F.coalesce(genes, F.lit(""))).withColumn("intensity", F.col("channels")[0]["mean"])
-    return _round(flat.drop("channels"), "area", "cx", "cy", "intensity")
+    return _round(flat.drop("channels", "section"), "area", "cx", "cy", "intensity")
 
 
 @query(oracle("""

@@ -11,6 +11,7 @@ from cytoplane.operators import transcripts as t
 from cytoplane.plans import adapters as a
 from cytoplane.plans.adapters import oracle
 from cytoplane.plans.registry import query
+from cytoplane.session import materialize
 from cytoplane.sources.transcripts import ROW_KEY, canonical_transcripts, union_sections
 
 SAMPLE = 5000
@@ -28,9 +29,9 @@ def scan_transcripts(spark, sf):
     return canonical_transcripts(a.transcripts(spark, sf)).select("gene", "x", "y")
 
 
-@query(oracle("SELECT x, y, gene, assignment, background FROM transcripts_v WHERE platform = 'O'", "transcripts_v"))
+@query(oracle("SELECT x, y, gene, assignment, background FROM transcripts_v", "transcripts_v"))
 def resolve_columns(spark, sf):
-    raw = a.transcripts(spark, sf).filter("platform = 'O'").select(
+    raw = a.transcripts(spark, sf).select(
         F.col("gene").alias("feature_name"), F.col("x").alias("global_x"), F.col("y").alias("global_y"),
         F.col("assignment").alias("cell"), "background", "platform",
     )
@@ -39,7 +40,7 @@ def resolve_columns(spark, sf):
 
 @query(oracle("""
     SELECT CASE platform WHEN 'O' THEN 'MERSCOPE' ELSE 'XENIUM' END AS section, x, y, gene,
-           CAST(assignment AS VARCHAR) AS assignment, CASE WHEN platform <> 'O' THEN background END AS background
+           CAST(assignment AS VARCHAR) AS assignment, CASE WHEN platform <> 'O' THEN coalesce(background, false) ELSE NOT (assignment > 0) END AS background
     FROM transcripts_v""", "transcripts_v"), name="union_sections")
 def union_of_sections(spark, sf):
     raw = a.transcripts(spark, sf)
@@ -51,6 +52,34 @@ def union_of_sections(spark, sf):
     return union_sections({"MERSCOPE": merscope, "XENIUM": xenium})
 
 
+def _two_sections(spark, sf):
+    """The same cell ids in two sections, one of them without a background column."""
+    raw = a.transcripts(spark, sf)
+    plain = raw.filter("platform = 'O'").select("gene", "x", "y", "assignment")
+    marked = raw.filter("platform <> 'O'").select("gene", "x", "y", "assignment", F.when(F.col("x") < 900, F.col("background")).alias("background"))
+    return union_sections({"M": plain, "X": marked})
+
+
+_SECTIONS = """
+    SELECT CASE platform WHEN 'O' THEN 'M' ELSE 'X' END AS section, gene, x, y, CAST(assignment AS VARCHAR) AS cell_id, assignment > 0 AS assigned,
+           CASE WHEN platform = 'O' THEN NOT (assignment > 0) ELSE x < 900 AND background END AS background
+    FROM transcripts_v"""
+
+
+@query(oracle("""
+    SELECT section, gene, count(*) FILTER (WHERE NOT background) AS fg, count(*) FILTER (WHERE background) AS bg
+    FROM sections_v GROUP BY ALL""", "transcripts_v", sections_v=_SECTIONS))
+def union_fg_bg(spark, sf):
+    both = _two_sections(spark, sf)
+    out = [t.gene_fg_bg_counts(both.filter(F.col("section") == s)).select(F.lit(s).alias("section"), "gene", "fg", "bg") for s in ("M", "X")]
+    return out[0].union(out[1])
+
+
+@query(oracle("SELECT section, cell_id, gene, count(*) AS n FROM sections_v WHERE assigned GROUP BY ALL", "transcripts_v", sections_v=_SECTIONS))
+def cell_gene_counts_by_section(spark, sf):
+    return t.cell_gene_counts(_two_sections(spark, sf))
+
+
 @query(oracle("""
     SELECT gene, x, y FROM dirty_v
     WHERE NOT isnan(x) AND abs(x) < CAST('Infinity' AS DOUBLE) AND NOT isnan(y)
@@ -247,9 +276,9 @@ def gene_offsets(spark, sf):
 
 @query(oracle("""
     SELECT cell_id, gene, n, row_number() OVER (PARTITION BY cell_id ORDER BY n DESC, gene) AS rank
-    FROM (SELECT cell_id, gene, count(*) AS n FROM assigned_v GROUP BY ALL) AS q QUALIFY rank <= 10""", "assigned_v"))
+    FROM (SELECT cell_id, gene, count(*) AS n FROM assigned_v GROUP BY ALL) AS q""", "assigned_v"))
 def ranked_genes(spark, sf):
-    return t.ranked_genes(t.cell_gene_counts(a.transcripts(spark, sf)), top=10)
+    return t.ranked_genes(t.cell_gene_counts(a.transcripts(spark, sf)))
 
 
 @query(oracle("""
@@ -320,9 +349,9 @@ def enabled_genes(spark, sf):
     FROM ({_OFFSETS}) AS o JOIN gene_fg_bg_v AS c ON c.gene = o.gene""", "gene_fg_bg_v", "annotated_genes_v", groups_v=_BY_BROAD))
 def gene_panel(spark, sf):
     """Flagship: the gene panel with counts, marker groups and offsets."""
-    raw = a.transcripts(spark, sf)
-    groups = p.marker_group_by_broad(p.annotate_genes(t.panel(raw), a.marker_reference(spark, sf)))
-    return t.gene_panel(raw, groups)
+    counts = materialize(t.gene_fg_bg_counts(a.transcripts(spark, sf)))
+    groups = p.marker_group_by_broad(p.annotate_genes(counts.select("gene"), a.marker_reference(spark, sf)))
+    return t.gene_panel(counts, groups)
 
 
 _KEY_TEXT = """CASE s_suppkey % 12 WHEN 0 THEN CAST(s_suppkey AS VARCHAR(20)) || '.0' WHEN 1 THEN '  ' || CAST(s_suppkey AS VARCHAR(20)) || ' '

@@ -1,14 +1,10 @@
-"""Session helpers: where lineage is cut, and when a table is small enough to broadcast."""
+"""Session helpers: where lineage is cut."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Rows above which a materialised dimension is joined by shuffle instead of broadcast.
-BROADCAST_ROWS = 500_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -33,13 +29,3 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage through reliable storage, so later steps see one fixed set of rows."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def dimension(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Materialise an aggregated side table once, then broadcast it only if it is small.
-
-    The size is counted, not estimated. A larger table comes back without a hint, and the join
-    falls to a shuffled one that adaptive execution splits where a key is hot.
-    """
-    fixed = materialize(df)
-    return F.broadcast(fixed) if fixed.count() <= max_rows else fixed

@@ -10,7 +10,7 @@ from cytoplane.operators.cells import cell_geometry, with_bounds
 
 
 def scan_cells(df: DataFrame, id_column: str = "cell_id", section: str | None = None) -> DataFrame:
-    """Cells with text ids, nested parts, bounds and area; empty geometries are dropped.
+    """Cells with text ids, nested parts, bounds and area; empty geometries and ones with a non-finite vertex are dropped.
 
     Bounds are stored next to the vertices, so that box filters prune on Parquet statistics.
     """
@@ -23,6 +23,7 @@ def scan_cells(df: DataFrame, id_column: str = "cell_id", section: str | None =
         F.col("shape_ord").cast("bigint").alias("shape_ord"),
         F.col("parts").cast(g.PARTS).alias("parts"),
     ).filter(F.size(F.filter("parts", lambda p: F.size(p["exterior"]) >= 3)) > 0)
+    cells = cells.filter(F.expr(g.all_finite(f"flatten(transform(parts, fp -> flatten({g.rings_of_part('fp')})))")))
     return cell_geometry(with_bounds(cells)).drop("cx", "cy")
 
 

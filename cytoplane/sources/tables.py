@@ -116,16 +116,21 @@ def transforms_from_spec(texts: DataFrame) -> DataFrame:
     )
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def scan_pixel_transform(spark: SparkSession, section: str, path: str | None = None) -> DataFrame:
     """The one-row pixel-to-micron transform of a section.
 
     MERSCOPE stores the micron-to-pixel matrix as text, which is inverted; XENIUM a JSON file with
-    ``pixel_size``. Without a file both fall back to their usual pixel size.
+    ``pixel_size``. Without a path, or where nothing is there, both fall back to their usual pixel size.
     """
     name = section.upper()
     if name not in FALLBACK_PIXEL_SIZE:
         raise ValueError(f"unknown section kind: {section}")
-    if path is None:
+    if path is None or not _exists(spark, path):
         size = FALLBACK_PIXEL_SIZE[name]
         fixed = affine.literal(a=size, e=size)
         return spark.range(1).select(F.lit(name).alias("section"), *[c.alias(k) for k, c in fixed.items()])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cytoplane.operators.transcripts import with_background
+
 # Names a column may have, the first one present wins.
 X_NAMES = ("x", "x_micron", "global_x", "x_location", "observed_x")
 Y_NAMES = ("y", "y_micron", "global_y", "y_location", "observed_y")
@@ -66,7 +68,8 @@ def union_sections(sections: dict[str, DataFrame]) -> DataFrame:
     """Several sections in one table. Ids are text, because platforms type them differently."""
     out = None
     for name, df in sections.items():
-        one = canonical_transcripts(df, name)
+        # Each section says itself what background is, by its own columns.
+        one = with_background(canonical_transcripts(df, name))
         if "assignment" in one.columns:
             one = one.withColumn("assignment", F.col("assignment").cast("string"))
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
