@@ -124,7 +124,7 @@ class Scorer:
         logs = self.model.log_words(list(words))
         each = np.fromiter((words[w] for x in split for w in x), np.int64)
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        sums = segment_sum(logs[each].reshape(-1, logs.shape[1]), offsets_of(counts))
+        sums = segment_sum(logs[each], offsets_of(counts))
         self.rows = np.concatenate([self.rows, np.column_stack([sums, counts])])
         self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new))))
         at = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(parts)), np.int64)
@@ -208,7 +208,7 @@ def fit(training: DataFrame, path: str | None = None, fit_docs: int = FIT_DOCS,
 
 
 def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without rows of unknown language (null texts, texts without a letter); a null language gets the predicted one."""
+    """``docs`` without rows whose language cannot be told (null texts, texts without a letter); a null language gets the predicted one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +219,7 @@ def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text", la
                 at = part.schema.get_field_index(lang_col)
                 lang = [x if x is not None else new for x, new in zip(part.column(at).to_pylist(), names)]
                 part = part.set_column(at, part.schema.field(at), pa.array(lang, part.schema.field(at).type))
-                yield part.filter(pa.array([x != UNKNOWN for x in names], pa.bool_()))
+                yield part.filter(pa.array([bool(_LETTERS.search(x)) for x in texts], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 

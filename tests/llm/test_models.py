@@ -32,7 +32,7 @@ def test_segments_against_all_segments():
 
 
 def test_toxicity_on_held_out_rows(spark):
-    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     rows = toxicity.predict_toxicity(docs, labels).join(labels, "doc_id", "left").collect()
     assert len(rows) == docs.count()
     assert all(r.held_out == (crc(r.doc_id, 4) == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
