@@ -17,12 +17,13 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoplane.llm.common import offsets_of, segment_sum, slices, stored
@@ -71,6 +72,36 @@ class Automaton:
     space: np.ndarray  # log10 probability of a space and of the end mark in each state
     end: np.ndarray
 
+    def __post_init__(self):
+        # Arcs by open addressing: at most a quarter of the slots is taken, so most look-ups end at once.
+        self.bits = max(8, (4 * len(self.keys)).bit_length())
+        self.slot_key = np.full(1 << self.bits, -1, np.int64)
+        self.slot_arc = np.zeros(1 << self.bits, np.int32)
+        at, todo = self._slot(self.keys), np.arange(len(self.keys))
+        while len(todo):
+            free = todo[self.slot_key[at[todo]] < 0]
+            slots, first = np.unique(at[free], return_index=True)
+            self.slot_key[slots], self.slot_arc[slots] = self.keys[free[first]], free[first]
+            todo = todo[self.slot_key[at[todo]] != self.keys[todo]]
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def arcs(self, keys: np.ndarray) -> np.ndarray:
+        """The arc of each key, or -1."""
+        at = self._slot(keys)
+        got = self.slot_key[at]
+        out = np.where(got == keys, self.slot_arc[at], -1)
+        todo = np.flatnonzero((got != keys) & (got >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+            got = self.slot_key[at[todo]]
+            hit = got == keys[todo]
+            out[todo[hit]] = self.slot_arc[at[todo[hit]]]
+            todo = todo[~hit & (got >= 0)]
+        return out
+
     def read(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the texts in a row: log10 probability of each symbol, the state before it, and where texts start."""
         symbols, starts = stream(docs)
@@ -88,9 +119,8 @@ class Automaton:
                 states[:, step - warm] = state
             todo, now = np.arange(lanes), state.copy()
             while len(todo):
-                key = now * 256 + symbol[todo]
-                k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                hit = self.keys[k] == key
+                k = self.arcs(now * 256 + symbol[todo])
+                hit = k >= 0
                 found = todo[hit]
                 gained[found] += self.cost[k[hit]]
                 state[found] = self.to[k[hit]]
@@ -216,12 +246,9 @@ def _blocks(docs: DataFrame) -> DataFrame:
                     words = words_of(x)
                     joined.append(b" ".join(words))
                     n.append(len(words) + 1)
-                    if out:
-                        counts.update(dict.fromkeys(words, 0))
-                    else:
-                        counts.update(words)
-                        counts[b""] += 1  # the end, which no word equals
-                counts[b""] += 0
+                    counts.update(dict.fromkeys(words, 0) if out else words)
+                # Words in the order in which they are met, then the end, which no word equals.
+                counts[b""] = len(held) - sum(held)
                 yield pa.RecordBatch.from_arrays(
                     [pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), part.column("doc_id")), pa.array([held], pa.list_(pa.bool_())),
                      pa.array([n], pa.list_(pa.int64())), pa.array([zstandard.ZstdCompressor(level=3).compress(b"\n".join(joined))], pa.binary()),
@@ -296,25 +323,30 @@ def score_documents(docs: DataFrame, held_out: Column, share: float = SHARE, id_
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held_out.alias("held_out"))
     blocks = stored(_blocks(rows).withColumn("block", F.monotonically_increasing_id()), "lm-blocks")
     words = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts"))).select("block", "pos", "col.words", "col.counts")
-    counts = stored(words.groupBy("words").agg(F.sum("counts").alias("c")), "lm-words")
-    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    # A word has one row per block that holds it, so the commonest has as many rows as there are blocks, not documents.
+    same = Window.partitionBy("words")
+    summed = words.select(
+        "block", "pos", "counts", F.sum("counts").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("once")
+    )
+    counts = stored(summed, "lm-words")
+    totals = counts.agg(F.coalesce(F.sum("counts"), F.lit(0)).alias("n"), F.count(F.when(F.col("once") & (F.col("c") > 0), 1)).alias("v")).first()
     model = fit(blocks, share)
     shared = docs.sparkSession.sparkContext.broadcast((model, totals.n, totals.v))  # at most ORDER / share n-grams
 
     # Each block gets the counts of its own words back, in their order.
-    back = words.select("block", "pos", "words").join(counts, "words").groupBy("block").agg(F.collect_list(F.struct("pos", "c")).alias("found"))
-    whole = blocks.join(back.select(F.col("block"), F.transform(F.array_sort("found"), lambda x: x["c"]).alias("c")), "block")
+    back = counts.groupBy("block").agg(F.collect_list(F.struct("pos", "c")).alias("found"))
+    whole = blocks.select("block", "doc_id", "held_out", "n", "data").join(back.select(F.col("block"), F.transform(F.array_sort("found"), lambda x: x["c"]).alias("c")), "block")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, n, v = shared.value
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k].as_py() for c in ("n", "data", "words", "c")}
+                row = {c: batch.column(c)[k].as_py() for c in ("n", "data", "c")}
                 texts = _texts(row)
                 c = np.array(row["c"], np.float64)
                 base = np.log10((c + 1) / (n + v + 1))
-                at = {w: i for i, w in enumerate(row["words"])}
-                each = np.fromiter((at[w] for d in texts for w in (*d.split(), b"")), np.int64, sum(row["n"]))
+                order = {w: i for i, w in enumerate([*dict.fromkeys(chain.from_iterable(d.split() for d in texts)), b""])}
+                each = np.fromiter((order[w] for d in texts for w in (*d.split(), b"")), np.int64, sum(row["n"]))
                 spelled = np.concatenate([automaton.spell(texts[a:b]) for a, b in _runs(texts)])
                 # A word's own arc next to the arcs that spell it, with fixed weights (Jelinek-Mercer).
                 share = WORD_WEIGHT if n else 0.0
@@ -329,6 +361,6 @@ def score_documents(docs: DataFrame, held_out: Column, share: float = SHARE, id_
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return whole.select("doc_id", "held_out", "n", "data", "words", "c").mapInArrow(
+    return whole.select("doc_id", "held_out", "n", "data", "c").mapInArrow(
         score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
