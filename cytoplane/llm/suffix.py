@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,39 +70,66 @@ def _positions(texts: DataFrame, gram: int, window: int) -> DataFrame:
             for part, some in slices(batch):
                 words = [chunks(x) for x in some]
                 at, hashes = [], []
+                left = [x.find(w[0]) if w else 0 for x, w in zip(some, words)]
+                right = [x.rfind(w[-1]) + len(w[-1]) if w else 0 for x, w in zip(some, words)]
                 for h in grams.hashes(words):
                     k = minimisers(h, window)
                     at.append(k.astype(np.int32))
                     hashes.append(h[k].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in ("doc_id", "t1", "t2")), pa.array(map(len, words), pa.int64()),
-                     pa.array(at, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))],
-                    ["doc_id", "t1", "t2", "n", "at", "h"],
+                     pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))],
+                    ["doc_id", "t1", "t2", "n", "first", "last", "at", "h"],
                 )
 
     kind = dict(texts.dtypes)["doc_id"]
-    return texts.mapInArrow(find, f"doc_id {kind}, t1 long, t2 long, n long, at array<int>, h array<long>")
+    return texts.mapInArrow(find, f"doc_id {kind}, t1 long, t2 long, n long, first long, last long, at array<int>, h array<long>")
+
+
+def _packed(texts: DataFrame) -> DataFrame:
+    """``texts`` with ``data``, the compressed text, in place of ``text``: what the join below has to move."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for part, some in slices(batch):
+                data = pa.array([press.compress(x.encode("utf-8", "surrogatepass")) for x in some], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "t1", "t2")), data], ["doc_id", "t1", "t2", "data"])
+
+    kind = dict(texts.dtypes)["doc_id"]
+    return texts.select("doc_id", "t1", "t2", "text").mapInArrow(pack, f"doc_id {kind}, t1 long, t2 long, data binary")
 
 
 def _contexts(texts: DataFrame, min_words: int, gram: int) -> DataFrame:
-    """node, at, h, after, before of every position in ``at``; ``before`` has its words in reverse."""
+    """Per text: its node, code-point bounds of its words (``gaps``, ``sizes``), and the context of each position in ``at``.
+
+    ``after`` begins at the position; ``before`` has the words before it in reverse.
+    """
+    kind = "node long, gaps array<int>, sizes array<int>, places array<struct<at:int,h:long,after:string,before:string>>"
+    places = pa.list_(pa.struct([("at", pa.int32()), ("h", pa.int64()), ("after", pa.string()), ("before", pa.string())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
         for batch in batches:
-            for part, some in slices(batch, chars=1_000_000):
-                node, at, h, after, before = [], [], [], [], []
-                for x, one, places, hashes in zip(some, *(part.column(c).to_pylist() for c in ("node", "at", "h"))):
-                    words = chunks(x)
-                    for k, value in zip(places, hashes):
-                        node.append(one), at.append(k), h.append(value)
-                        after.append(" ".join(words[k : k + min_words]))
-                        before.append(" ".join(words[max(0, k - min_words + gram) : k][::-1]))
+            for k in range(0, batch.num_rows, 50):
+                part = batch.slice(k, 50)
+                gaps, sizes, found = [], [], []
+                for data, at, h in zip(*(part.column(c).to_pylist() for c in ("data", "at", "h"))):
+                    text = press.decompress(data).decode("utf-8", "surrogatepass")
+                    bounds = np.array([m.span() for m in _word_spans(text)])
+                    gaps.append(np.diff(bounds[:, 0], prepend=0).astype(np.int32))
+                    sizes.append((bounds[:, 1] - bounds[:, 0]).astype(np.int32))
+                    words = [text[a:b] for a, b in bounds.tolist()]
+                    found.append([
+                        {"at": p, "h": v, "after": " ".join(words[p : p + min_words]), "before": " ".join(words[max(0, p - min_words + gram) : p][::-1])}
+                        for p, v in zip(at, h)
+                    ])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node, pa.int64()), pa.array(at, pa.int32()), pa.array(h, pa.int64()), pa.array(after), pa.array(before)],
-                    ["node", "at", "h", "after", "before"],
+                    [part.column("node"), pa.array(gaps, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())), pa.array(found, places)],
+                    ["node", "gaps", "sizes", "places"],
                 )
 
-    return texts.mapInArrow(cut, "node long, at int, h long, after string, before string")
+    return texts.select("node", "at", "h", "data").mapInArrow(cut, kind)
 
 
 def _common(a: str, b: str) -> int:
@@ -195,26 +223,20 @@ def _merge(spans):
     )
 
 
-def _offsets(texts: DataFrame) -> DataFrame:
-    """Code-point offsets of word spans."""
+def _bounds(spans: DataFrame) -> DataFrame:
+    """Word spans of texts with their code-point bounds."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, some in slices(batch):
-                row, out = [], []
-                for k, (x, spans) in enumerate(zip(some, part.column("spans").to_pylist())):
-                    ends = [m.span() for m in _word_spans(x)]
-                    for s in spans:
-                        row.append(k)
-                        out.append((ends[s["a"]][0], ends[s["b"] - 1][1], s["a"], s["b"]))
-                columns = list(zip(*out)) if out else [[]] * 4
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(c, pa.int64()) for c in columns)],
-                    ["doc_id", "start", "end", "start_word", "end_word"],
-                )
+            out = []
+            for row in batch.to_pylist():
+                starts = np.cumsum(row["gaps"])
+                ends = starts + np.array(row["sizes"])
+                out.append([{"start": int(starts[x["a"]]), "end": int(ends[x["b"] - 1]), "start_word": x["a"], "end_word": x["b"]} for x in row["spans"]])
+            kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "end", "start_word", "end_word")]))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, kind)], ["node", "spans"])
 
-    kind = dict(texts.dtypes)["doc_id"]
-    return texts.mapInArrow(place, f"doc_id {kind}, start long, end long, start_word long, end_word long")
+    return spans.mapInArrow(place, "node long, spans array<struct<start:long,end:long,start_word:long,end_word:long>>")
 
 
 def _word_spans(text: str):
@@ -236,7 +258,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
     # Equal texts are one node: the whole text is repeated, and one copy of it stands for all in the sort.
     nodes = stored(
         rows.groupBy("t1", "t2").agg(
-            F.min(F.struct("doc_id", "n", "at", "h")).alias("one"), F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"),
+            F.min(F.struct("doc_id", "n", "first", "last", "at", "h")).alias("one"), F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"),
             F.max(F.col("doc_id").isNull()).alias("_null"),
         ).select("t1", "t2", "one.*", (F.coalesce(F.col("_lo") != F.col("_hi"), F.lit(False)) | (F.col("_null") & F.col("_lo").isNotNull())).alias("copied"),
                  F.monotonically_increasing_id().alias("node")),
@@ -249,26 +271,31 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
         alive.join(nodes.select("node", "t1", "t2", "doc_id"), "node").select("node", "t1", "t2", F.col("doc_id").alias("_id"), F.col("s.at").alias("at"), F.col("s.h").alias("h")),
         "suffix-wanted",
     )
-    same = (source["t1"] == wanted["t1"]) & (source["t2"] == wanted["t2"]) & source["doc_id"].eqNullSafe(wanted["_id"])
-    cut = _contexts(source.join(wanted, same).select("text", "node", "at", "h"), min_words, gram).dropDuplicates(["node", "at"])
-    digest = {"c1": F.xxhash64("h", "after", "before"), "c2": F.xxhash64(F.lit(7), "before", "h", "after")}
-    places = stored(cut.withColumns(digest), "suffix-places")
-    contexts = places.groupBy("c1", "c2", "h", "after", "before").agg(F.count(F.lit(1)).alias("times"))
+    packed = _packed(_once(source, rows))
+    same = (packed["t1"] == wanted["t1"]) & (packed["t2"] == wanted["t2"]) & packed["doc_id"].eqNullSafe(wanted["_id"])
+    texts = stored(_contexts(packed.join(wanted, same), min_words, gram), "suffix-texts")
+    places = texts.select("node", F.explode("places").alias("p")).select("node", "p.*")
+    places = places.withColumns({"c1": F.xxhash64("h", "after", "before"), "c2": F.xxhash64(F.lit(7), "before", "h", "after")})
+    contexts = stored(places.groupBy("c1", "c2", "h", "after", "before").agg(F.count(F.lit(1)).alias("times")), "suffix-contexts")
     words = lambda c: F.when(F.col(c) == "", 0).otherwise(F.size(F.split(c, " ")))
     whole = contexts.filter("times > 1").select("c1", "c2", words("before").alias("lefts"), words("after").alias("rights")).filter(
         F.col("lefts") + F.col("rights") >= min_words
     )
-    distinct = stored(contexts.drop("times"), "suffix-contexts")
+    distinct = contexts.drop("times")
     found = _neighbours(distinct, ["h", "after", "before"], min_words).union(_neighbours(distinct, ["h", "before", "after"], min_words)).union(whole)
     best = materialize(found.groupBy("c1", "c2").agg(F.max("lefts").alias("lefts"), F.max("rights").alias("rights")))
     spans = places.select("node", "at", "c1", "c2").join(best, ["c1", "c2"]).select(
         "node", F.struct((F.col("at") - F.col("lefts")).alias("a"), (F.col("at") + F.col("rights")).alias("b")).alias("span")
     )
     by_node = spans.groupBy("node").agg(_merge(F.collect_list("span")).alias("spans"))
-    marked = nodes.select("t1", "t2", "n", "copied", "node").join(by_node, "node", "left").filter("copied OR spans IS NOT NULL").select(
-        "t1", "t2", F.when(F.col("copied"), F.array(F.struct(F.lit(0).alias("a"), F.col("n").cast("int").alias("b")))).otherwise(F.col("spans")).alias("spans")
+    bounded = _bounds(texts.select("node", "gaps", "sizes").join(by_node, "node"))
+    everything = F.struct(
+        F.col("first").alias("start"), F.col("last").alias("end"), F.lit(0).cast("long").alias("start_word"), F.col("n").alias("end_word")
     )
-    return _offsets(_once(source, rows).join(materialize(marked), ["t1", "t2"]).select("doc_id", "text", "spans"))
+    marked = nodes.select("t1", "t2", "n", "first", "last", "copied", "node").join(bounded, "node", "left").filter("copied OR spans IS NOT NULL")
+    marked = materialize(marked.select("t1", "t2", F.when(F.col("copied"), F.array(everything)).otherwise(F.col("spans")).alias("spans")))
+    once = rows.select("doc_id", "t1", "t2").distinct()
+    return once.join(marked, ["t1", "t2"]).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
 
 
 def _once(source: DataFrame, rows: DataFrame) -> DataFrame:
