@@ -26,6 +26,8 @@ from cytoplane.llm.common import Memo, chunks, slices, stored
 from cytoplane.session import materialize
 
 MIN_WORDS, GRAM = 50, 8
+#: Text that a task looks at together, and words that it remembers.
+TASK_CHARS, MEMO_WORDS = 1_000_000, 150_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,7 +46,7 @@ class Grams:
 
     def __init__(self, gram: int):
         self.gram = gram
-        self.memo = Memo(xxhash.xxh64_intdigest)
+        self.memo = Memo(xxhash.xxh64_intdigest, entries=MEMO_WORDS)
 
     def hashes(self, parts: list[list[str]]) -> Iterator[np.ndarray]:
         self.memo.trim()
@@ -67,7 +69,7 @@ def _positions(texts: DataFrame, gram: int, window: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(gram)
         for batch in batches:
-            for part, some in slices(batch):
+            for part, some in slices(batch, chars=TASK_CHARS):
                 words = [chunks(x) for x in some]
                 at, hashes = [], []
                 left = [x.find(w[0]) if w else 0 for x, w in zip(some, words)]
@@ -92,7 +94,7 @@ def _packed(texts: DataFrame) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for part, some in slices(batch):
+            for part, some in slices(batch, chars=TASK_CHARS):
                 data = pa.array([press.compress(x.encode("utf-8", "surrogatepass")) for x in some], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "t1", "t2")), data], ["doc_id", "t1", "t2", "data"])
 
@@ -111,8 +113,8 @@ def _contexts(texts: DataFrame, min_words: int, gram: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
         for batch in batches:
-            for k in range(0, batch.num_rows, 50):
-                part = batch.slice(k, 50)
+            for k in range(0, batch.num_rows, 20):
+                part = batch.slice(k, 20)
                 gaps, sizes, found = [], [], []
                 for data, at, h in zip(*(part.column(c).to_pylist() for c in ("data", "at", "h"))):
                     text = press.decompress(data).decode("utf-8", "surrogatepass")
