@@ -8,8 +8,8 @@ context and adds the backoff weight. A share bounds the automaton (at most 1 / S
 the same at every size. The traversal goes once from left to right; a text is read as many slices in step, each of
 which starts ``ORDER - 1`` symbols early, after which it is in the state that the traversal carries there.
 
-Word arcs are not bounded by anything, so they are not broadcast: every block of documents gets back the counts of the
-words it holds.
+Words and pairs of words are not bounded by anything, so they are not broadcast: all of them are counted, and every block
+of documents gets back the counts of those it holds. Automaton and word counts are the shorter context of the pairs.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,10 @@ from pyspark.sql import functions as F
 from cytoplane.llm.common import offsets_of, segment_sum, slices, stored
 
 ORDER, SHARE, WORD_WEIGHT = 6, 1e-6, 0.1
+#: What a context's counts may weigh next to the shorter context; chosen by how often the context was met (powers of two).
+WEIGHTS, LEVELS = np.array([0, 0.003, 0.01, 0.03, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.97]), 40
+#: Groups that pairs are dealt into; more where there are more blocks.
+GROUPS = 1024
 END = 10  # the byte that ends a text; words never hold it
 #: Text of a block, and symbols of a slice.
 BLOCK_CHARS, SLICE, READ_CHARS = 12_000_000, 256, 2_000_000
@@ -232,6 +237,33 @@ def build(grams: pd.DataFrame, single: np.ndarray) -> Automaton:
     return Automaton(np.array(keys)[order], np.array(cost)[order], np.array(to)[order], fail, weight, space, end)
 
 
+def contexts(times: np.ndarray, texts: float) -> np.ndarray:
+    """How often the token before each token was met in training; before the first of a text stands an end."""
+    return np.concatenate([[texts], times])[:-1].astype(np.int64)
+
+
+def _level(context: np.ndarray) -> np.ndarray:
+    return np.frexp(context.astype(np.float64))[1]
+
+
+def left_out(train: np.ndarray, times: np.ndarray, n: int, v: int, before: np.ndarray, met: np.ndarray) -> np.ndarray:
+    """By level and weight: log-probability of the training tokens, each from the counts of all the others."""
+    out = np.zeros((LEVELS, len(WEIGHTS)))
+    at = np.flatnonzero(train & (before > 1))
+    context = before[at] - 1
+    hit, level, alone = (met[at] - 1) / context, _level(context), times[at] / (n + v)
+    for k, w in enumerate(WEIGHTS):
+        out[:, k] = np.bincount(level, np.log(w * hit + (1 - w) * alone), LEVELS)
+    return out
+
+
+def in_context(alone: np.ndarray, weights: np.ndarray, before: np.ndarray, met: np.ndarray) -> np.ndarray:
+    """Natural log-probabilities of tokens after the one before them, from those of the tokens ``alone``."""
+    w = np.where(before > 0, weights[_level(before)], 0)
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(w * met / np.maximum(before, 1)), np.log(1 - w) + alone)
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
     """One row per block of documents: their ids, compressed texts, whether held out, and its words with training counts."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -272,6 +304,73 @@ def _runs(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def _tokens(row: dict, texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """Words in the order in which they are met, then the end, and the number of each token."""
+    words = [*dict.fromkeys(chain.from_iterable(d.split() for d in texts)), b""]
+    order = {w: i for i, w in enumerate(words)}
+    return words, np.fromiter((order[w] for d in texts for w in (*d.split(), b"")), np.int64, sum(row["n"]))
+
+
+def pairs_of(words: list[bytes], each: np.ndarray) -> np.ndarray:
+    """Digests of the pair that ends in each token. The end of a text stands before the next one."""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    x = np.concatenate([h[-1:], h[each[:-1]]]) * np.uint64(0x9E3779B97F4A7C15) + h[each]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers of 64 bits byte by byte, so that high bytes that are zero lie together and compress."""
+    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def _pair_counts(blocks: DataFrame) -> DataFrame:
+    """block, found: the training counts of the block's different pairs of words in the order of their digests.
+
+    Digests are dealt by their highest bits into groups, each of which is added up at once; a row is all that a block has
+    in a group, so the commonest pair weighs no more than any other.
+    """
+    bits = (max(GROUPS, 2 * blocks.count()) - 1).bit_length()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k].as_py() for c in ("block", "held_out", "n", "data")}
+                words, each = _tokens(row, _texts(row))
+                train = np.repeat(~np.array(row["held_out"], bool), row["n"])
+                keys, where = np.unique(pairs_of(words, each), return_inverse=True)
+                n = np.bincount(where, train, len(keys)).astype(np.int64)
+                cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
+                full = np.flatnonzero(np.diff(cuts))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(full), row["block"])), pa.array(full),
+                     pa.array([_planes(np.diff(keys[cuts[g] : cuts[g + 1]], prepend=np.uint64(0))) for g in full.tolist()], pa.binary()),
+                     pa.array([_planes(n[cuts[g] : cuts[g + 1]]) for g in full.tolist()], pa.binary())],
+                    ["block", "part", "keys", "counts"],
+                )
+
+    def add(group: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.cumsum(_numbers(x, np.uint64), dtype=np.uint64) for x in group.column("keys").to_pylist()])
+        counts = np.concatenate([_numbers(x, np.int64) for x in group.column("counts").to_pylist()])
+        _, where = np.unique(keys, return_inverse=True)
+        total = np.bincount(where, counts).astype(np.int64)[where]
+        ends = np.cumsum([len(x) // 8 for x in group.column("keys").to_pylist()])
+        return pa.table({
+            "block": group.column("block"), "part": group.column("part"),
+            "c": pa.array([_planes(x) for x in np.split(total, ends[:-1])], pa.binary()),
+        })
+
+    dealt = blocks.select("block", "held_out", "n", "data").mapInArrow(deal, "block long, part long, keys binary, counts binary")
+    added = dealt.groupBy("part").applyInArrow(add, "block long, part long, c binary")
+    found = added.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "c"))).alias("found"))
+    return found.select("block", F.transform("found", lambda x: x["c"]).alias("found"))
+
+
 def _grams(blocks: DataFrame) -> DataFrame:
     """gram, n over training texts, merged within a task first."""
 
@@ -330,30 +429,63 @@ def score_documents(docs: DataFrame, held_out: Column, share: float = SHARE, id_
     )
     counts = stored(summed, "lm-words")
     totals = counts.agg(F.coalesce(F.sum("counts"), F.lit(0)).alias("n"), F.count(F.when(F.col("once") & (F.col("c") > 0), 1)).alias("v")).first()
-    model = fit(blocks, share)
-    shared = docs.sparkSession.sparkContext.broadcast((model, totals.n, totals.v))  # at most ORDER / share n-grams
+    n, v = totals.n, totals.v
 
     # Each block gets the counts of its own words back, in their order.
     back = counts.groupBy("block").agg(F.collect_list(F.struct("pos", "c")).alias("found"))
-    whole = blocks.select("block", "doc_id", "held_out", "n", "data").join(back.select(F.col("block"), F.transform(F.array_sort("found"), lambda x: x["c"]).alias("c")), "block")
+    back = back.select(F.col("block"), F.transform(F.array_sort("found"), lambda x: x["c"]).alias("c"))
+    whole = blocks.select("block", "doc_id", "held_out", "n", "data").join(back, "block").join(_pair_counts(blocks), "block")
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {x: batch.column(x)[k].as_py() for x in ("held_out", "n", "data", "c", "found")}
+                words, each = _tokens(row, _texts(row))
+                c = np.array(row["c"], np.int64)
+                _, where = np.unique(pairs_of(words, each), return_inverse=True)
+                met = np.concatenate([_numbers(x, np.int64) for x in row["found"]])[where]
+                train = np.repeat(~np.array(row["held_out"], bool), row["n"])
+                sums = left_out(train, c[each], n, v, contexts(c[each], c[-1]), met)
+                packed = pa.array([press.compress(_planes(met))], pa.binary())
+                columns = ("doc_id", "held_out", "n", "data", "c")
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(x).slice(k, 1) for x in columns), packed, pa.array([sums.ravel()], pa.list_(pa.float64()))],
+                    [*columns, "pairs", "sums"],
+                )
+
+    whole = stored(
+        whole.mapInArrow(
+            align,
+            f"doc_id array<{kind}>, held_out array<boolean>, n array<long>, data binary, c array<long>, pairs binary, sums array<double>",
+        ),
+        "lm-pairs",
+    )
+    likely = np.zeros(LEVELS * len(WEIGHTS))
+    for r in whole.select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect():
+        likely[r.k] = r.x
+    weights = WEIGHTS[likely.reshape(LEVELS, len(WEIGHTS)).argmax(axis=1)]
+    model = fit(blocks, share)
+    shared = docs.sparkSession.sparkContext.broadcast((model, weights))  # at most ORDER / share n-grams
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, n, v = shared.value
+        automaton, weights = shared.value
+        press = zstandard.ZstdDecompressor()
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k].as_py() for c in ("n", "data", "c")}
+                row = {c: batch.column(c)[k].as_py() for c in ("n", "data", "c", "pairs")}
                 texts = _texts(row)
                 c = np.array(row["c"], np.float64)
                 base = np.log10((c + 1) / (n + v + 1))
-                order = {w: i for i, w in enumerate([*dict.fromkeys(chain.from_iterable(d.split() for d in texts)), b""])}
-                each = np.fromiter((order[w] for d in texts for w in (*d.split(), b"")), np.int64, sum(row["n"]))
+                _, each = _tokens(row, texts)
                 spelled = np.concatenate([automaton.spell(texts[a:b]) for a, b in _runs(texts)])
                 # A word's own arc next to the arcs that spell it, with fixed weights (Jelinek-Mercer).
                 share = WORD_WEIGHT if n else 0.0
                 with np.errstate(divide="ignore"):
                     own = np.log(c[each] * share / max(n, 1))
-                spelled = np.logaddexp(own, np.log(1 - share) + spelled * _LN10)
-                sums = segment_sum(np.column_stack([base[each], c[each] > 0, spelled / _LN10]), offsets_of(row["n"]))
+                scores = np.logaddexp(own, np.log(1 - share) + spelled * _LN10)
+                scores = in_context(scores, weights, contexts(c[each], c[-1]), _numbers(press.decompress(row["pairs"]), np.int64))
+                sums = segment_sum(np.column_stack([base[each], c[each] > 0, scores / _LN10]), offsets_of(row["n"]))
                 ids = batch.column("doc_id")[k].values
                 yield pa.RecordBatch.from_arrays(
                     [ids, batch.column("held_out")[k].values, pa.array(row["n"], pa.int64()), pa.array(np.rint(sums[:, 1]).astype(np.int64)),
@@ -361,6 +493,6 @@ def score_documents(docs: DataFrame, held_out: Column, share: float = SHARE, id_
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return whole.select("doc_id", "held_out", "n", "data", "c").mapInArrow(
+    return whole.drop("sums").mapInArrow(
         score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

@@ -143,3 +143,34 @@ def test_scores(make, spark):
     assert empty.count() == 0
     alone = lm.score_documents(make(["a b"]), F.lit(True)).first()
     assert (alone.n_known, alone.train_tokens) == (0, 0) and math.isfinite(alone.score)
+
+
+def test_pairs_raise_scores(make, monkeypatch):
+    """Words that begin and end alike: bytes at their borders tell nothing of the order in which the words stood."""
+    monkeypatch.setattr(lm, "BLOCK_CHARS", 300)  # several blocks
+    w = [f"qqqqqq{c}qqqqqq" for c in "abcdefgh"]
+    train = [" ".join([w[0], w[1], w[2]])] * 9 + [" ".join([w[k], w[(3 * k + 2) % 8]]) for k in range(8)] * 2
+    texts = [*train, " ".join([w[0], w[1], w[2]]), " ".join([w[1], w[0], w[2]])]
+    held = F.col("doc_id") >= len(train)
+    rows = {r.doc_id: r for r in lm.score_documents(make(texts), held).collect()}
+    seen, other = rows[len(train)], rows[len(train) + 1]
+    assert math.isclose(seen.base_score, other.base_score)
+    assert seen.score > other.score + 0.2
+
+
+def test_pairs_are_counted_whole(make, monkeypatch):
+    """The counts that blocks get back are those of all pairs in all training texts, also of the rarest."""
+    monkeypatch.setattr(lm, "BLOCK_CHARS", 300)
+    draw = np.random.default_rng(8)
+    texts = [" ".join(draw.choice([f"w{k}" for k in range(40)], draw.integers(0, 30)).tolist()) for _ in range(120)]
+    docs = make(texts).select("doc_id", "text", (F.col("doc_id") % 7 == 2).alias("held_out"))
+    blocks = lm.stored(lm._blocks(docs).withColumn("block", F.monotonically_increasing_id()), "test-lm")
+    assert blocks.count() > 3
+    want = Counter(x for i, t in enumerate(texts) if i % 7 != 2 for x in zip(["", *t.split()], [*t.split(), ""]))
+    for r in blocks.join(lm._pair_counts(blocks), "block").collect():
+        words, each = lm._tokens({"n": r.n}, lm._texts({"data": r.data, "n": r.n}))
+        pair = lm.pairs_of(words, each)
+        found = np.concatenate([lm._numbers(x, np.int64) for x in r.found])
+        at = dict(zip(np.unique(pair).tolist(), found.tolist(), strict=True))
+        flat = ["", *(words[k].decode() for k in each)]
+        assert all(at[int(x)] == want[flat[k], flat[k + 1]] for k, x in enumerate(pair))
