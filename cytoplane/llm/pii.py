@@ -85,7 +85,12 @@ _LOOKALIKES = dict(zip(
 _DIGIT_WORDS = {w: str(k) for k, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 _SIGN_WORDS = {"plus": "+"}
 # Top-level domains that may end an address in words ("at the dot" is ordinary prose).
-_TOP_LEVEL = "com|org|net|edu|gov|mil|int|info|biz|io|co|uk|us|de|fr|es|it|nl|eu|ch|ca|au|jp|ru|cn|in|br"
+_TOP_LEVEL = (
+    "com|org|net|edu|gov|mil|int|info|biz|name|pro|mobi|app|dev|xyz|online|site|tech|store|shop|blog|cloud|eu|"
+    "a[cdefgilmoqrtuwxz]|b[abdefghijmnorstvwyz]|c[acdfghiklmnoruvwxyz]|d[ejkmoz]|e[cegrst]|f[ijkmor]|g[abdefghilmnpqrstuwy]|"
+    "h[kmnrtu]|i[delmnoqrst]|j[emop]|k[eghimnprwyz]|l[abcikrstuvy]|m[acdeghklmnopqrstuvwxyz]|n[acefgilopruz]|om|p[aefghklmnrstwy]|"
+    "qa|r[eosuw]|s[abcdeghiklmnorstuvxyz]|t[cdfghjklmnortvwz]|u[agksyz]|v[aceginu]|w[fs]|y[et]|z[amw]"
+)
 #: What may be rewritten at all; texts without it need no second look.
 _HIDDEN_SIGN = regex.compile(
     r"(?:(?<!\s)\s++)?[\[({<]\s*(?:(?P<at>at|@)|(?P<dot>dot|punkt|punto|point|\.))\s*[\])}>]\s*"
@@ -93,6 +98,10 @@ _HIDDEN_SIGN = regex.compile(
     regex.I,
 )
 _SPELLED = regex.compile(r"\b(?:(?:plus|oh|zero|one|two|three|four|five|six|seven|eight|nine|dot|point)\b[\x20,-]*){4,}", regex.I)
+# Spelled and written digits in one run, which counts if it holds both and digits enough for an identifier.
+_DIGITS = r"(?:(?:plus|oh|zero|one|two|three|four|five|six|seven|eight|nine|dot|point)\b|\+?[0-9]++(?![A-Za-z_]))"
+_MIXED = regex.compile(rf"(?<![A-Za-z0-9_]){_DIGITS}(?:[\x20,.()-]*+(?<![A-Za-z_]){_DIGITS})++", regex.I)
+_MIXED_TOKEN = regex.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+")
 _TOKEN = regex.compile(r"[A-Za-z]+|[^A-Za-z]+")
 _BRACKETED = regex.compile(r"[\[({<]\s*(?:at|@|dot|punkt|punto|point|\.)\s*[\])}>]", regex.I)
 _WORDED = regex.compile(
@@ -101,6 +110,7 @@ _WORDED = regex.compile(
     r"|(?<![0-9])[0-9]{1,3}(?:\s++dot\s++[0-9]{1,3}){3}(?![0-9])",
     regex.I,
 )
+_LABEL = regex.compile(r"[A-Za-z0-9._%+-]++")
 _DOT_WORD = re.compile(r"\s[dD][oO][tT]\s")
 
 
@@ -171,6 +181,25 @@ def _spelled_digits(normal: Normal) -> None:
     normal.rewrite(edits)
 
 
+def _mixed_digits(normal: Normal) -> None:
+    """Spelled digits among written ones; what stands between written digits stays."""
+    edits = []
+    for m in _MIXED.finditer(normal.text):
+        tokens = [(t.group().lower(), m.start() + t.start(), m.start() + t.end()) for t in _MIXED_TOKEN.finditer(m.group())]
+        size = sum(len(w) if w.isdigit() else w in _DIGIT_WORDS for w, _, _ in tokens)
+        ip = sum("." in w or w in ("dot", "point") for w, _, _ in tokens) >= 3
+        if not (any(w in _DIGIT_WORDS or w in _SIGN_WORDS for w, _, _ in tokens) and (size >= 9 or ip)):
+            continue
+        if sum(w in _DIGIT_WORDS for w, _, _ in tokens) < 2 and base_spans(m.group()):
+            continue  # a plain number next to a word of the sentence ("+1 415 555 0123 one of us")
+        for k, (w, a, b) in enumerate(tokens):
+            if w.isalpha():
+                edits.append((a, b, "." if w in ("dot", "point") else _DIGIT_WORDS.get(w) or _SIGN_WORDS[w]))
+            elif not w.isdigit() and "." not in w and "+" not in w and (tokens[k - 1][0].isalpha() or tokens[k + 1][0].isalpha()) and k:
+                edits.append((a, b, ""))
+    normal.rewrite(edits)
+
+
 def _signs(normal: Normal) -> None:
     text = normal.text
     edits = [(m.start(), m.end(), "@" if m["at"] or m["wat"] else ".") for m in _HIDDEN_SIGN.finditer(text)]
@@ -186,7 +215,16 @@ def _signs(normal: Normal) -> None:
         k = bisect_left(marks, a)
         return k < len(marks) and bracketed[k][1] <= b
 
-    normal.rewrite([x for x in edits if counts(x[0], x[1])])
+    # A bracketed sign licenses the bare ones of the same address: those that are one label away, and so on from there.
+    licensed = [counts(a, b) for a, b, _ in edits]
+    marked = [k < len(marks) and bracketed[k][1] <= b for (a, b, _), k in ((x, bisect_left(marks, x[0])) for x in edits)]
+    for steps in (range(1, len(edits)), range(len(edits) - 2, -1, -1)):
+        for k in steps:
+            other = k - 1 if steps.step > 0 else k + 1
+            low, high = min(k, other), max(k, other)
+            if marked[other] and not licensed[k] and edits[low][2] + edits[high][2] != "@@" and _LABEL.fullmatch(text, edits[low][1], edits[high][0]):
+                licensed[k] = marked[k] = True
+    normal.rewrite([x for x, ok in zip(edits, licensed) if ok])
 
 
 def hidden_spans(text: str) -> list[Span]:
@@ -194,11 +232,13 @@ def hidden_spans(text: str) -> list[Span]:
     odd = not text.isascii() and any(_odd(c) for c in set(text) if c >= "\x80")
     low = text.lower()
     spelled = any(w in low for w in _DIGIT_WORDS) and _SPELLED.search(text)
-    if not (odd or spelled or _BRACKETED.search(text) or _DOT_WORD.search(text) and _WORDED.search(text)):
+    mixed = any(w in low for w in _DIGIT_WORDS) and _DIGIT.search(text) and _MIXED.search(text)
+    if not (odd or spelled or mixed or _BRACKETED.search(text) or _DOT_WORD.search(text) and _WORDED.search(text)):
         return []
     normal = Normal(text)
     if odd:
         _look_alikes(normal)
+    _mixed_digits(normal)
     _spelled_digits(normal)
     _signs(normal)
     return [

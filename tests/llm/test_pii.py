@@ -52,6 +52,32 @@ def test_disguises(text, found):
     assert pii.listed(pii.find_spans(text)[1]) == found
 
 
+@pytest.mark.parametrize("text,found", [
+    ("jane [at] example dot com", "email:0:25"),
+    ("mail jane at example [dot] com now", "email:5:30"),
+    ("jane at example [dot] app", "email:0:25"),
+    ("jane at mail dot example [dot] pl", "email:0:33"),
+    ("jane [at] mail dot example dot dev", "email:0:34"),
+    ("plus one 415 five five five 0123", "phone:0:32"),
+    ("call +1 four one five 555 0123 now", "phone:5:30"),
+    ("4111 one one one one 1111 1111", "card:0:30"),
+    ("192 dot one six eight dot 1 dot 1", "ip:0:33"),
+    ("jane at example dot app", "email:0:23"),
+    ("jane at example dot pl", "email:0:22"),
+    ("jane at example dot ai", "email:0:22"),
+    ("+1 415 555 0123 one of us", "phone:0:15"),
+    ("one of 20 and two of 30", ""),
+    ("in 2019 one 415 and nine", ""),
+])
+def test_mixed_disguises(text, found):
+    assert pii.listed(pii.find_spans(text)[1]) == found
+
+
+def test_mixed_runs_take_linear_time():
+    for text in ("one 1 " * 50_000, "a at b dot " * 30_000 + "[at]", "1 one. " * 50_000, "a [at] b dot " * 30_000):
+        pii.find_spans(text)
+
+
 def test_long_runs_take_linear_time():
     for text in ("a" * 300_000, "1" * 300_000, " " * 300_000 + "[at]", "(at) " * 30_000, "+1(" * 50_000, "a@" * 50_000, "one " * 50_000):
         pii.find_spans(text)
