@@ -4,8 +4,9 @@ Suffixes begin only at minimiser positions: of any run of ``WINDOW`` word k-gram
 passage of ``WINDOW + GRAM - 1`` words has the same minimisers wherever it stands, so every repeated passage of
 ``MIN_WORDS`` holds a retained suffix in each of its places. Suffixes whose first k-gram occurs once in the corpus end
 there. The others are sorted with a bounded context on both sides, once by what follows and once by what precedes;
-each is compared with its neighbours and the match extended to the right and the left. The context is long enough to
-certify a passage of the least length; longer passages are the union of the matches at their many retained positions.
+each is compared with its neighbours and the match extended to the right and the left. A partner need not be a neighbour
+where a gram stands in more than two contexts; there, all windows of the least length that hold it are counted by their
+digests. The context is long enough to certify a passage of the least length; longer passages are the union of the matches at their many retained positions.
 """
 
 from __future__ import annotations
@@ -209,6 +210,33 @@ def _neighbours(contexts: DataFrame, by: list[str], min_words: int) -> DataFrame
     return plain.union(pairs.mapInArrow(across, "c1 long, c2 long, lefts int, rights int"))
 
 
+def _windows(contexts: DataFrame, min_words: int, gram: int) -> DataFrame:
+    """c1, c2, lefts, rights: what the windows of ``min_words`` around the gram that another context holds too cover together."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part, rows = batch.slice(k, 500), []
+                for at, (after, before) in enumerate(zip(part.column("after").to_pylist(), part.column("before").to_pylist())):
+                    right, left = after.split(" "), before.split(" ")[::-1] if before else []
+                    words = left + right
+                    for i in range(max(0, min_words - len(right)), min(len(left), min_words - gram) + 1):
+                        start = len(left) - i
+                        rows.append((at, i, xxhash.xxh64_intdigest(f"{i} {' '.join(words[start : start + min_words])}".encode("utf-8", "surrogatepass"))))
+                where, lefts, digests = (np.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 3, (np.int64, np.int32, np.uint64)))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c).take(pa.array(where)) for c in ("c1", "c2", "h")), pa.array(lefts), pa.array(digests.view(np.int64))],
+                    ["c1", "c2", "h", "lefts", "w"],
+                )
+
+    each = stored(contexts.select("c1", "c2", "h", "after", "before").mapInArrow(cut, "c1 long, c2 long, h long, lefts int, w long"), "suffix-windows")
+    often = each.groupBy("h", "w").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h", "w")
+    # All these windows hold the gram, so that together they are one run.
+    return each.join(often, ["h", "w"]).groupBy("c1", "c2").agg(
+        F.max("lefts").alias("lefts"), (F.lit(min_words) - F.min("lefts")).alias("rights")
+    )
+
+
 def _merge(spans):
     """Sorted spans with those that touch made one."""
     start = F.array_sort(spans)
@@ -286,6 +314,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
     distinct = contexts.drop("times")
     found = _neighbours(distinct, ["h", "after", "before"], min_words).union(_neighbours(distinct, ["h", "before", "after"], min_words)).union(whole)
     best = materialize(found.groupBy("c1", "c2").agg(F.max("lefts").alias("lefts"), F.max("rights").alias("rights")))
+    # What is left: grams with more than two contexts, of which some are not matched on their whole length.
+    done = best.select("c1", "c2", F.col("lefts").alias("_l"), F.col("rights").alias("_r"))
+    part = F.coalesce((F.col("_l") < words("before")) | (F.col("_r") < words("after")), F.lit(True))
+    open_grams = distinct.join(done, ["c1", "c2"], "left").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max(part).alias("open"))
+    more = _windows(distinct.join(open_grams.filter("n > 2 AND open").select("h"), "h"), min_words, gram)
+    best = materialize(best.union(more).groupBy("c1", "c2").agg(F.max("lefts").alias("lefts"), F.max("rights").alias("rights")))
     spans = places.select("node", "at", "c1", "c2").join(best, ["c1", "c2"]).select(
         "node", F.struct((F.col("at") - F.col("lefts")).alias("a"), (F.col("at") + F.col("rights")).alias("b")).alias("span")
     )

@@ -100,6 +100,32 @@ def test_passages_against_all_windows(make, texts):
     assert suffix.repeated_passages(make([])).count() == 0
 
 
+def test_passages_of_frequent_lines(spark):
+    """Two contexts share 42 words around the gram and 8 of it; in both orders others stand between them."""
+    line = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    after, before = line("a", 30), line("b", 30)  # 60 words in a row, the gram begins the last 30
+    rows = [(1, 9, f"{after} m1", f"{before} m1"), (2, 9, f"{after} m3", f"{before} m3")]
+    rows += [(3, 9, f"{after} m2", "m2"), (4, 9, "m2 x", f"{before} m2"), (5, 9, f"{after} m2 y", "m4")]
+    contexts = spark.createDataFrame([(c, -c, h, x, y) for c, h, x, y in rows], "c1 long, c2 long, h long, after string, before string").coalesce(1)
+    near = {}
+    for by in (["h", "after", "before"], ["h", "before", "after"]):
+        near |= {r.c1: r for r in suffix._neighbours(contexts, by, 50).collect()}
+    assert not near  # neighbours alone do not find it
+    got = {r.c1: (r.lefts, r.rights) for r in suffix._windows(contexts, 50, 8).collect()}
+    assert got == {1: (30, 30), 2: (30, 30)}
+
+
+def test_passages_between_frequent_lines(make):
+    draw = random.Random(5)
+    lines = [" ".join(f"{c}{k}" for k in range(20)) for c in "pqr"]
+    fresh = lambda n: " ".join(f"z{draw.randrange(10**9)}" for _ in range(n))
+    texts = [f"{fresh(60)} {' '.join(lines)} {fresh(60)}" for _ in range(2)]
+    texts += [f"{fresh(60)} {lines[1]} {lines[2]} {fresh(60)}" for _ in range(60)]
+    texts += [f"{fresh(60)} {lines[0]} {lines[1]} {fresh(60)}" for _ in range(60)]
+    rows = suffix.repeated_passages(make(texts)).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word) for r in rows) == [(0, 60, 120), (1, 60, 120)]
+
+
 def test_rows_that_repeat_are_one_document(make):
     text = " ".join(f"v{k}" for k in range(70))
     assert suffix.repeated_passages(make([text, text], ids=[5, 5])).count() == 0
