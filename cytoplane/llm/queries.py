@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cytoplane.llm import bpe, exact, jaccard, language, lm, neighbours, packing, pii, suffix, toxicity
+from cytoplane.llm import bpe, bytebpe, codes, codes_sql, exact, jaccard, language, lm, merkle, merkle_sql, neighbours, packing, pii, suffix, toxicity
 from cytoplane.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,24 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bytebpe.decode(bytebpe.encode(table(spark, sf_dir, "documents")))
+    return encoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
@@ -66,6 +84,9 @@ QUERIES: dict[str, Query] = {
     "op8_pack": op8_pack,
     "op9_pii": op9_pii,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_codes": op11_codes,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_merkle": op13_merkle,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -75,4 +96,6 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_codes": codes_sql.SQL,
+    "op13_merkle": merkle_sql.SQL,
 }
