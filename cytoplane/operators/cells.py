@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from cytoplane.functions import affine
 from cytoplane.functions import geometry as g
 from cytoplane.operators import celltypes
-from cytoplane.operators.grid import place_boxes, place_points
+from cytoplane.operators.grid import _level, common_levels, split_hot
 from cytoplane.operators.transcripts import assigned_points, cell_gene_counts, cell_key, ranked_genes
+from cytoplane.session import materialize
 
 TILE = 1024
+#: Meetings of an edge and a point that are judged at once.
+MEETINGS = 2_000_000
 
 
 def with_bounds(cells: DataFrame) -> DataFrame:
@@ -38,50 +45,118 @@ def cells_in_bbox(cells: DataFrame, xmin: float, ymin: float, xmax: float, ymax:
     return edged.filter(F.expr(g.polygon_meets_box("_edges", "_x0", "_y0", "_x1", "_y1"))).select(*cells.columns)
 
 
-def locate_cell(points: DataFrame, cells: DataFrame) -> DataFrame:
-    """The cell that strictly contains each location, or null.
-
-    One row per distinct (section, x, y) with its number of points. Where masks overlap the smallest
-    area wins, then the lowest ``shape_ord``. ``cells`` carries bounds and area.
-    """
-    places = points.groupBy("section", "x", "y").agg(F.count(F.lit(1)).alias("n"))
-    boxes = cells.select(
-        "section",
-        "cell_id",
-        "shape_ord",
-        "area",
-        "xmin",
-        "ymin",
-        "xmax",
-        "ymax",
-        F.expr(g.edges_of_parts("parts")).alias("_edges"),
-    )
-    left = place_points(places, boxes)
-    placed = place_boxes(boxes)
-    right = placed.select(*[F.col(c).alias(f"c_{c}") for c in placed.columns])
-    same = [F.col(k) == F.col(f"c_{k}") for k in ("section", "_level", "_gx", "_gy")]
-    x, y = F.col("x"), F.col("y")
-    inside = (
-        x.between(F.col("c_xmin"), F.col("c_xmax"))
-        & y.between(F.col("c_ymin"), F.col("c_ymax"))
-        & F.expr(g.contains_strictly("c__edges", "x", "y"))
-    )
-    best = F.when(F.col("c_cell_id").isNotNull(), F.struct("c_area", "c_shape_ord", "c_cell_id"))
-    return (
-        left.join(right, [*same, inside], "left")
-        .groupBy("section", "x", "y")
-        .agg(F.max("n").alias("n"), F.min(best).alias("_best"))
-        .select("section", "x", "y", "n", F.col("_best.c_cell_id").alias("cell_id"))
+def _edges_at(rows: str, box: str) -> str:
+    """Edges of a polygon that a ray to the right from a grid cell can meet, as one flat list of numbers."""
+    kept = (
+        f"filter(_edges, ke -> floor(least(ke.y1, ke.y2) / {box}) <= {rows} AND floor(greatest(ke.y1, ke.y2) / {box}) >= {rows} "
+        f"AND floor(greatest(ke.x1, ke.x2) / {box}) >= _gx)"
     )
+    return f"flatten(transform({kept}, kf -> array(kf.x1, kf.y1, kf.x2, kf.y2)))"
 
 
-def attach_cell(points: DataFrame, located: DataFrame) -> DataFrame:
-    """Put the located cell back on every point."""
-    return points.join(located.select("section", "x", "y", "cell_id"), ["section", "x", "y"], "left")
+def inside_cells(x: np.ndarray, y: np.ndarray, edges: np.ndarray, owner: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For each point the owner of lowest rank whose edges (n x 4) surround it strictly, or -1.
+
+    Points are sorted by y, so that bisection gives the slab of points which an edge spans. Each meeting of an edge and a
+    point of its slab is judged by products only: on the edge, or left of it. Owners are settled by parity.
+    """
+    order = np.argsort(y, kind="stable")
+    ys = y[order]
+    x1, y1, x2, y2 = edges.T
+    first = np.searchsorted(ys, np.minimum(y1, y2), side="left")
+    last = np.searchsorted(ys, np.maximum(y1, y2), side="right")
+    spans = last - first
+    best = np.full(len(x), len(rank), dtype=np.int64)
+    # Owners in order of rank, as many at a time as give a bounded number of meetings.
+    place = np.empty(len(rank), dtype=np.int64)
+    place[np.argsort(rank, kind="stable")] = np.arange(len(rank))
+    by_rank = np.argsort(place[owner], kind="stable")
+    ends = np.cumsum(spans[by_rank])
+    at = 0
+    while at < len(by_rank):
+        to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MEETINGS, side="right")), at + 1)
+        # An owner is never cut in two.
+        while to < len(by_rank) and owner[by_rank[to]] == owner[by_rank[to - 1]]:
+            to += 1
+        mine = by_rank[at:to]
+        at = to
+        n = spans[mine]
+        e = np.repeat(mine, n)
+        p = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[mine], n)]
+        px, py = x[p], y[p]
+        near = px <= np.maximum(x1[e], x2[e])
+        e, p, px, py = e[near], p[near], px[near], py[near]
+        cross = (x2[e] - x1[e]) * (py - y1[e]) - (px - x1[e]) * (y2[e] - y1[e])
+        on = (cross == 0) & (px >= np.minimum(x1[e], x2[e]))
+        hit = ((y1[e] > py) != (y2[e] > py)) & ((cross > 0) == (y2[e] > y1[e])) & ~on
+        low = place[owner[mine[0]]]
+        width = int(place[owner[mine[-1]]]) - int(low) + 1
+        slot = p * width + (place[owner[e]] - low)
+        odd, seen = np.unique(slot[hit], return_counts=True)
+        odd = np.setdiff1d(odd[seen % 2 == 1], slot[on], assume_unique=False)
+        np.minimum.at(best, odd // width, odd % width + low)
+    back = np.append(np.argsort(place, kind="stable"), -1)
+    return back[best]
+
+
+def locate_cell(points: DataFrame, cells: DataFrame, row_key: list[str] | None = None) -> DataFrame:
+    """Every point with the cell that strictly contains it, or null: the columns of ``points`` and ``cell_id``.
+
+    Where masks overlap the smallest area wins, then the lowest ``shape_ord``. ``cells`` carries bounds and area; with a
+    ``seg_key`` a point has one row per segmentation of its section. Points meet edges in grid cells: a point in one
+    for each level in use (most often one), an edge only in those where a ray to the right can meet it. Crowded grid
+    cells are split. ``row_key`` names columns that tell points apart; without it points are numbered where several
+    levels are in use, which stores them once. Nulls and NaN lie in no cell.
+    """
+    on = ["section", *(c for c in ("seg_key",) if c in cells.columns)]
+    levels = materialize(common_levels(cells, on))
+    several = not levels.filter("_uses > 1").isEmpty()
+    names, numbered = points.columns, False
+    if several and row_key is None:
+        points, row_key, numbered = materialize(points.withColumn("_row", F.monotonically_increasing_id())), ["_row"], True
+    side = F.pow(F.lit(2.0), F.col("_level"))
+    keys = [*on, "_level", "_gx", "_gy"]
+    placed = points.join(levels.select(*on, "_level"), "section", "left").withColumns({
+        "_gx": F.floor(F.col("x") / side), "_gy": F.floor(F.col("y") / side)})
+    own = _level(*(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")))
+    homes = cells.withColumn("_own", own).join(levels.drop("_uses"), on).filter(F.col("_level") == F.greatest("_own", "_base"))
+    spread = homes.withColumn("_edges", F.expr(g.edges_of_parts("parts"))).withColumn("_side", side)
+    for axis in ("x", "y"):
+        spread = spread.withColumn(f"_g{axis}", F.explode(F.sequence(F.floor(F.col(f"{axis}min") / side), F.floor(F.col(f"{axis}max") / side))))
+    routed = spread.select(*keys, F.col("cell_id").cast("string").alias("cell_id"), "shape_ord", "area", F.expr(_edges_at("_gy", "_side")).alias("_edges"))
+    dealt, copied = split_hot(placed, routed.filter(F.size("_edges") > 0), keys, F.xxhash64(*(row_key or names)))
+    out_names = [*points.columns, *on[1:]]
+    schema = StructType([dealt.schema[c] for c in out_names]).add("cell_id", "string").add("_area", "double").add("_ord", "long")
+    types = to_arrow_schema(schema)
+
+    def look_up(mine: pa.Table, shapes: pa.Table) -> pa.Table:
+        found = np.full(mine.num_rows, -1)
+        if shapes.num_rows and mine.num_rows:
+            lists = shapes.column("_edges").combine_chunks()
+            edges = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
+            owner = np.repeat(np.arange(shapes.num_rows), np.diff(lists.offsets.to_numpy()) // 4)
+            area, order = (shapes.column(c).to_numpy() for c in ("area", "shape_ord"))
+            rank = np.empty(shapes.num_rows, dtype=np.int64)
+            rank[np.lexsort((shapes.column("cell_id").to_numpy(zero_copy_only=False).astype(str), order, area))] = np.arange(shapes.num_rows)
+            x, y = (mine.column(c).to_numpy(zero_copy_only=False).astype(float) for c in "xy")
+            found = inside_cells(x, y, edges, owner, rank)
+        take = pa.array(found, mask=found < 0)
+        told = [shapes.column(c).combine_chunks().take(take) for c in ("cell_id", "area", "shape_ord")]
+        return pa.table([*(mine.column(c) for c in out_names), *told], names=types.names).cast(types)
+
+    dealt = dealt.select(*points.columns, *on[1:], "_level", "_gx", "_gy", "_salt")
+    group = [*keys, "_salt"]
+    met = dealt.groupBy(*group).cogroup(copied.groupBy(*group)).applyInArrow(look_up, schema)
+    if not several:
+        return met.drop("_area", "_ord")
+    best = F.min(F.when(F.col("cell_id").isNotNull(), F.struct("_area", "_ord", "cell_id"))).alias("_best")
+    rest = [c for c in names if c not in row_key]
+    one = met.groupBy(*row_key, *on[1:]).agg(best, *(F.first(c).alias(c) for c in rest))
+    return one.select(*names, *on[1:], F.col("_best.cell_id").alias("cell_id"))
 
 
 def locate_and_annotate(points: DataFrame, cells: DataFrame, types: DataFrame) -> DataFrame:
-    """Location to cell to broad and fine label."""
+    """Points with their cell and its broad and fine label."""
     return celltypes.annotate_cells(locate_cell(points, cells), types)
 
 

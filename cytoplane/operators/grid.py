@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_LEVEL = -16
+#: Rows of one group above which the group is dealt out to several tasks.
+GROUP_ROWS = 200_000
 
 
 def _side(level: Column) -> Column:
@@ -98,3 +100,36 @@ def meeting_boxes(left: DataFrame, right: DataFrame, on: list[str], condition: C
         at_home(a, "l").join(guests(b, "r", a, "l", own=False), keys)
     )
     return met.filter(overlap & corner & condition).drop("_level", "_gx", "_gy", "_l_level", "_r_level")
+
+
+def split_hot(many: DataFrame, few: DataFrame, keys: list[str], by: Column, limit: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a cogroup on ``keys`` with ``_salt``, so that no group has much more than ``limit`` rows of ``many``.
+
+    Rows of a larger group are dealt out by ``by``; its rows of ``few`` go to all parts. Only groups above the limit are
+    joined, and there is at most one of them per ``limit`` rows. Use the keys and ``_salt`` for the cogroup.
+    """
+    size = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > limit)
+    hot = size.select(*(F.col(k).alias(f"_hot_{k}") for k in keys), F.ceil(F.col("_size") / limit).cast("int").alias("_parts"))
+    names = [c for c in hot.columns if c != "_parts"]
+
+    def parts(df: DataFrame) -> DataFrame:
+        same = [df[k].eqNullSafe(hot[f"_hot_{k}"]) for k in keys]
+        return df.join(hot, same, "left").drop(*names).withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+
+    dealt = parts(many).withColumn("_salt", F.pmod(by, F.col("_parts")).cast("int")).drop("_parts")
+    copied = parts(few).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return dealt, copied
+
+
+def common_levels(boxes: DataFrame, on: list[str], share: float = 0.9) -> DataFrame:
+    """Levels to look points up on: (*on, _level, _base, _uses). Smaller boxes move up to ``_base``, the level that holds the
+    ``share`` of all boxes of a group, so that a point needs few look-ups. One row per group and level in use."""
+    level = boxes.select(*on, _level(*(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))).alias("_own"))
+    counts = level.groupBy(*on, "_own").agg(F.count(F.lit(1)).alias("_n"))
+    listed = counts.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("_own", "_n"))).alias("_all"), F.sum("_n").alias("_sum"))
+    # The first level at which the boxes so far reach the share.
+    base = F.expr(
+        f"filter(_all, (a, i) -> aggregate(slice(_all, 1, i + 1), 0L, (s, b) -> s + b._n) >= {share}D * _sum)[0]._own")
+    used = F.array_distinct(F.transform("_all", lambda a: F.greatest(a["_own"], F.col("_base"))))
+    levels = listed.withColumn("_base", base).withColumn("_used", used)
+    return levels.select(*on, "_base", F.size("_used").alias("_uses"), F.explode("_used").alias("_level"))

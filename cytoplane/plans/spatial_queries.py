@@ -61,14 +61,27 @@ _LOCATED = """
 
 @query(oracle(_LOCATED, "transcripts_v", "cells_v"))
 def locate_cell(spark, sf):
-    return c.locate_cell(a.points(spark, sf), a.cells(spark, sf)).select("x", "y", "n", "cell_id")
+    return _by_place(c.locate_cell(a.points(spark, sf).select("section", "x", "y"), a.cells(spark, sf)))
+
+
+def _by_place(located):
+    """Points at the same place are in the same cell."""
+    rest = [x for x in located.columns if x not in ("section", "x", "y")]
+    return located.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), *(F.min(x).alias(x) for x in rest))
+
+
+@query(oracle(f"""
+    SELECT p.gene, p.x, p.y, p.background, l.cell_id FROM transcripts_v AS p JOIN ({_LOCATED}) AS l ON l.x = p.x AND l.y = p.y""", "transcripts_v", "cells_v"))
+def locate_points(spark, sf):
+    """Every point as a row of its own, with what it carries."""
+    return c.locate_cell(a.points(spark, sf).select("section", "gene", "x", "y", "background"), a.cells(spark, sf)).drop("section")
 
 
 @query(oracle(f"""
     SELECT x, y, n, l.cell_id, coalesce(broad, 'Unannotated') AS broad, coalesce(fine, 'Unannotated') AS fine
     FROM ({_LOCATED}) AS l LEFT JOIN cell_types_v AS t ON CAST(t.cell_id AS VARCHAR) = l.cell_id""", "transcripts_v", "cells_v", "cell_types_v"))
 def locate_and_annotate(spark, sf):
-    return c.locate_and_annotate(a.points(spark, sf), a.cells(spark, sf), _types(spark, sf)).drop("section")
+    return _by_place(c.locate_and_annotate(a.points(spark, sf).select("section", "x", "y"), a.cells(spark, sf), _types(spark, sf)))
 
 
 # Two microns per pixel, origin at -10: 550 x 600 pixels in tiles of 64.
