@@ -173,43 +173,48 @@ def tile_candidates(
     The candidate tiles follow from the cell's own bounds, so nothing is joined; a tile without cells
     never appears. ``transform`` maps (col, row) to microns, by literals or by columns of ``cells``.
     """
+    kept = tile_windows(cells, height, width, transform, tile)
+    if exact:
+        edged = kept.withColumn("_edges", F.expr(g.edges_of_parts("parts")))
+        kept = edged.filter(F.expr(g.polygon_meets_box("_edges", "_window.xmin", "_window.ymin", "_window.xmax", "_window.ymax")))
+    return kept.select(*cells.columns, "ty", "tx")
+
+
+def tile_windows(cells: DataFrame, height: Column | int, width: Column | int, transform: dict[str, Column], tile: int) -> DataFrame:
+    """Cells and the tiles that their bounding box meets, with ``_h``, ``_w``, the tile's ``_window`` in microns and the
+    inverse transform ``_inv``.
+
+    Both transforms are columns before they are used, so that their expressions are not repeated for every corner.
+    """
     h, w = (v if isinstance(v, Column) else F.lit(v) for v in (height, width))
-    inv = affine.invert(transform)
-    corners = [affine.apply(inv, x, y) for x in (F.col("xmin"), F.col("xmax")) for y in (F.col("ymin"), F.col("ymax"))]
-    half = F.lit(tile / 2.0)
+    moved = cells.withColumns({
+        "_h": h.cast("bigint"),
+        "_w": w.cast("bigint"),
+        "_inv": F.struct(*(v.alias(k) for k, v in affine.invert(transform).items())),
+        "_fwd": F.struct(*(v.alias(k) for k, v in transform.items())),
+    })
+    box = "transform(array(named_struct('x', xmin, 'y', ymin), named_struct('x', xmin, 'y', ymax), named_struct('x', xmax, 'y', ymin), named_struct('x', xmax, 'y', ymax))"
     # A rotated tile has a wider micron window than itself; widen the pixel range by the difference.
-    reach_x = half * (F.abs(transform["a"]) + F.abs(transform["b"]))
-    reach_y = half * (F.abs(transform["d"]) + F.abs(transform["e"]))
-    slack_c = F.abs(inv["a"]) * reach_x + F.abs(inv["b"]) * reach_y - half
-    slack_r = F.abs(inv["d"]) * reach_x + F.abs(inv["e"]) * reach_y - half
-
-    def tiles(low: Column, high: Column, size: Column) -> Column:
+    half = tile / 2
+    reach_x, reach_y = f"{half}D * (abs(_fwd.a) + abs(_fwd.b))", f"{half}D * (abs(_fwd.d) + abs(_fwd.e))"
+    for axis, (p, q, r), size in (("y", "def", "_h"), ("x", "abc", "_w")):
+        at = f"{box}, v -> _inv.{p} * v.x + _inv.{q} * v.y + _inv.{r})"
+        slack = f"abs(_inv.{p}) * {reach_x} + abs(_inv.{q}) * {reach_y} - {half}D"
         # One pixel of slack: a window that only touches its neighbour still meets the cell.
-        first = F.greatest(F.floor((low - 1) / tile), F.lit(0).cast("bigint"))
-        last = F.least(F.floor((high + 1) / tile), F.ceil(size / tile) - 1)
-        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-
-    cols, rows = [c[0] for c in corners], [c[1] for c in corners]
-    spread = (
-        cells.withColumn("_h", h.cast("bigint"))
-        .withColumn("_w", w.cast("bigint"))
-        .withColumn("ty", F.explode(tiles(F.least(*rows) - slack_r, F.greatest(*rows) + slack_r, F.col("_h"))))
-        .withColumn("tx", F.explode(tiles(F.least(*cols) - slack_c, F.greatest(*cols) + slack_c, F.col("_w"))))
-    )
-    row0, col0 = F.col("ty") * tile, F.col("tx") * tile
-    row1, col1 = F.least(row0 + tile, F.col("_h")), F.least(col0 + tile, F.col("_w"))
-    b = affine.window_bounds(transform, row0, row1, col0, col1)
-    near = (
-        (F.col("xmin") <= b["xmax"])
-        & (F.col("xmax") >= b["xmin"])
-        & (F.col("ymin") <= b["ymax"])
-        & (F.col("ymax") >= b["ymin"])
-    )
-    kept = spread.filter(near)
-    if exact:
-        boxed = kept.withColumns({"_edges": F.expr(g.edges_of_parts("parts")), **{f"_b{k}": v for k, v in b.items()}})
-        kept = boxed.filter(F.expr(g.polygon_meets_box("_edges", "_bxmin", "_bymin", "_bxmax", "_bymax")))
-    return kept.select(*cells.columns, "ty", "tx")
+        moved = moved.withColumn("_at", F.expr(at)).withColumn("_slack", F.expr(slack)).withColumn("_span", F.expr(
+            f"struct(greatest(floor((array_min(_at) - _slack - 1) / {tile}), 0L) AS a, "
+            f"least(floor((array_max(_at) + _slack + 1) / {tile}), ceil({size} / {tile}) - 1) AS b)"))
+        moved = moved.withColumn(f"t{axis}", F.explode(F.expr(
+            "CASE WHEN _span.a <= _span.b THEN sequence(_span.a, _span.b) ELSE cast(array() AS array<bigint>) END")))
+    corners = F.expr(
+        f"transform(array(struct(ty * {tile} AS r, tx * {tile} AS c), struct(ty * {tile} AS r, least((tx + 1) * {tile}, _w) AS c), "
+        f"struct(least((ty + 1) * {tile}, _h) AS r, tx * {tile} AS c), struct(least((ty + 1) * {tile}, _h) AS r, least((tx + 1) * {tile}, _w) AS c)), "
+        "p -> struct(_fwd.a * p.c + _fwd.b * p.r + _fwd.c AS x, _fwd.d * p.c + _fwd.e * p.r + _fwd.f AS y))")
+    window = F.expr(
+        "struct(array_min(transform(_corners, p -> p.x)) AS xmin, array_min(transform(_corners, p -> p.y)) AS ymin, "
+        "array_max(transform(_corners, p -> p.x)) AS xmax, array_max(transform(_corners, p -> p.y)) AS ymax)")
+    seen = moved.withColumn("_corners", corners).withColumn("_window", window)
+    return seen.filter("xmin <= _window.xmax AND xmax >= _window.xmin AND ymin <= _window.ymax AND ymax >= _window.ymin")
 
 
 def transcript_links(points: DataFrame, cells: DataFrame, exact: bool = True) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cytoplane.session import materialize
+
 MIN_LEVEL = -16
 #: Rows of one group above which the group is dealt out to several tasks.
 GROUP_ROWS = 200_000
@@ -102,14 +104,19 @@ def meeting_boxes(left: DataFrame, right: DataFrame, on: list[str], condition: C
     return met.filter(overlap & corner & condition).drop("_level", "_gx", "_gy", "_l_level", "_r_level")
 
 
-def split_hot(many: DataFrame, few: DataFrame, keys: list[str], by: Column, limit: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
+def split_hot(
+    many: DataFrame, few: DataFrame, keys: list[str], by: Column, limit: int = GROUP_ROWS, counted: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Both sides of a cogroup on ``keys`` with ``_salt``, so that no group has much more than ``limit`` rows of ``many``.
 
-    Rows of a larger group are dealt out by ``by``; its rows of ``few`` go to all parts. Only groups above the limit are
-    joined, and there is at most one of them per ``limit`` rows. Use the keys and ``_salt`` for the cogroup.
+    Rows of a larger group are dealt out by ``by``; its rows of ``few`` go to all parts. Use the keys and ``_salt`` for the
+    cogroup. Groups are counted first (in ``counted``, where that has the same keys and is cheaper); those above the limit
+    are stored, at most one per ``limit`` rows, and joined only if there are any.
     """
-    size = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > limit)
-    hot = size.select(*(F.col(k).alias(f"_hot_{k}") for k in keys), F.ceil(F.col("_size") / limit).cast("int").alias("_parts"))
+    size = (many if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > limit)
+    hot = materialize(size.select(*(F.col(k).alias(f"_hot_{k}") for k in keys), F.ceil(F.col("_size") / limit).cast("int").alias("_parts")))
+    if hot.isEmpty():
+        return many.withColumn("_salt", F.lit(0)), few.withColumn("_salt", F.lit(0))
     names = [c for c in hot.columns if c != "_parts"]
 
     def parts(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytoplane.functions import geometry as g
-from cytoplane.sources.cells import scan_cells, scan_image, scan_labels
+from cytoplane.sources.cells import scan_cells, scan_image, scan_image_rows, scan_image_tiles, scan_labels
 
 SECTION = "s1"
 
@@ -229,11 +229,32 @@ def int_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image(spark, sf_dir).withColumn("value", F.floor(F.col("value") * 1000))
 
 
+def image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_image_rows(_image_rows(spark, sf_dir), "img", SECTION)
+
+
+def image_tiles(spark: SparkSession, sf_dir: str, tile: int) -> DataFrame:
+    return scan_image_tiles(_image_rows(spark, sf_dir), "img", SECTION, "float64", tile)
+
+
+def int_image_tiles(spark: SparkSession, sf_dir: str, tile: int) -> DataFrame:
+    rows = _image_rows(spark, sf_dir)
+    return scan_image_tiles(rows.withColumn("values", F.transform("values", lambda v: F.floor(v * 1000))), "img", SECTION, "int64", tile)
+
+
+def label_tiles(spark: SparkSession, sf_dir: str, tile: int) -> DataFrame:
+    return scan_image_tiles(_label_rows(spark, sf_dir), "lab", SECTION, "int64", tile)
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_labels(_label_rows(spark, sf_dir), "lab", SECTION)
+
+
+def _label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _image_rows(spark, sf_dir)
     blocks = F.transform("values", lambda _v, i: F.when(F.col("label") == 0, F.lit(0).cast("bigint")).otherwise(
         F.lit(1) + F.floor(F.col("row") / 6) * 11 + F.floor(i / 6)))
-    return scan_labels(rows.withColumn("values", blocks), "lab", SECTION)
+    return rows.withColumn("values", blocks)
 
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,7 +107,8 @@ def tile_candidates(spark, sf):
 def value_overlay(spark, sf):
     values = a.features(spark, sf)
     bins = ct.binned_values(values, ct.value_clip_range(values))
-    return r.value_overlay(a.labels(spark, sf), bins).select("row", "col", "value", "bin")
+    overlay = r.value_overlay(a.label_tiles(spark, sf, 48), bins)
+    return tiles.unpack_overlay(overlay, "bin", 48).select("row", "col", "value", "bin")
 
 
 @query(oracle("""
@@ -116,7 +117,8 @@ def value_overlay(spark, sf):
 def cell_type_overlay(spark, sf):
     types = _types(spark, sf)
     on = types.select(F.col("broad").alias("label")).filter(F.length("label") % 2 == 0)
-    return r.cell_type_overlay(a.labels(spark, sf), ct.enabled_cell_types(types, on)).select("row", "col", "value", "cell_type")
+    overlay = r.cell_type_overlay(a.label_tiles(spark, sf, 48), ct.enabled_cell_types(types, on))
+    return tiles.unpack_overlay(overlay, "cell_type", 48).select("row", "col", "value", "cell_type")
 
 
 @query(oracle("""
@@ -143,9 +145,10 @@ _INTENSITY = """
 
 
 def _intensity(spark, sf):
-    image = a.image(spark, sf)
+    image = a.image_tiles(spark, sf, 128)
     height = a.table(spark, sf, "embeddings").agg(F.max("vec_id") + 1).scalar()
-    return c_i(a.cells(spark, sf), image, height, 64, affine.literal(**_T16), 128)
+    channels = a.image_rows(spark, sf).select("section", "key", "channel")
+    return c_i(a.cells(spark, sf), image, height, 64, affine.literal(**_T16), 128, channels)
 
 
 c_i = r.cell_channel_intensity
@@ -201,13 +204,14 @@ def outline_mask_unpadded(spark, sf):
     SELECT DISTINCT i.r AS row, CAST(i.c AS BIGINT) AS col FROM outline_v AS o JOIN labels_v AS i ON abs(i.r - o.r) + abs(i.c - o.c) <= 2
        AND i.r BETWEEN o.r - 2 AND o.r + 2""", "labels_v", outline_v=_OUTLINE.format("0")))
 def outline_mask_wide(spark, sf):
-    return r.outline_mask(a.labels(spark, sf), width=3).select("row", "col")
+    mask = tiles.outline_tiles(a.label_tiles(spark, sf, 48), 3, 48)
+    return tiles.unpack_tiles(mask, "bigint", 48, keep_zero=False).select("row", "col")
 
 
 @query(oracle("SELECT r AS row, CAST(c AS BIGINT) AS col, 1 AS on_tiles FROM (" + _OUTLINE.format("0") + ") AS q", "labels_v"))
 def outline_tiles(spark, sf):
     """The tile form of the outline, with a halo between tiles."""
-    packed = tiles.pack_tiles(a.labels(spark, sf), "int64", 48)
+    packed = a.label_tiles(spark, sf, 48)
     mask = tiles.unpack_tiles(tiles.outline_tiles(packed, 1, 48), "bigint", 48, keep_zero=False)
     return mask.select("row", "col", F.lit(1).alias("on_tiles"))
 
@@ -255,14 +259,17 @@ _LABEL_BASE = "SELECT r, c, CAST(value AS BIGINT) AS value, h, w FROM labels_v,
 
 @query(oracle(_levels(6, 0), "labels_v", "raster_size_v", **_chain_sql(_LABEL_BASE, "max(value)", 2, 8, 6)))
 def max_pyramid(spark, sf):
-    return r.max_pyramid(a.labels(spark, sf), step=2, min_size=8, max_levels=7, with_base=True).select("level", "row", "col", "value")
+    base = a.label_tiles(spark, sf, 64)
+    levels = base.unionByName(tiles.tile_pyramid(base, 2, "max", 8, 6, 64))
+    return tiles.unpack_tiles(levels, "bigint", 64).select("level", "row", "col", "value")
 
 
 @query(oracle("SELECT * FROM (" + _levels(4, 0) + ") AS q WHERE value > 0", "labels_v", "raster_size_v", outline_v=_OUTLINE.format("0"),
               **_chain_sql("SELECT l.r, l.c, CASE WHEN o.r IS NULL THEN CAST(0 AS BIGINT) ELSE CAST(255 AS BIGINT) END AS value, h, w "
                            "FROM raster_size_v, labels_v AS l LEFT JOIN outline_v AS o ON o.r = l.r AND o.c = l.c", _ROUND, 2, 8, 4)))
 def outline_coverage_pyramid(spark, sf):
-    return r.outline_coverage_pyramid(a.labels(spark, sf), min_size=8, max_levels=5).select("level", "row", "col", "value")
+    levels = r.tile_coverage(a.label_tiles(spark, sf, 64), min_size=8, max_levels=5, tile=64)
+    return tiles.unpack_tiles(levels, "bigint", 64, keep_zero=False).select("level", "row", "col", "value")
 
 
 @query(oracle("SELECT level, row, col, round(value, 4) AS value FROM (" + _levels(5, 0) + ") AS q WHERE value > 0", "transcripts_v",
@@ -279,15 +286,15 @@ def density_pyramid(spark, sf):
 @query(oracle(_levels(5, 0), "int_image_v", "raster_size_v", **_chain_sql(_INT_BASE, _ROUND, 2, 16, 5)))
 def complete_pyramid(spark, sf):
     """A stored pyramid of two levels, extended from its second one."""
-    base = a.int_image(spark, sf)
-    stored = base.withColumn("level", F.lit(0).cast("bigint")).unionByName(r.mean_pyramid(base, 2, 16, 1))
-    return r.complete_pyramid(stored, 1, min_size=16, max_levels=6).select("level", "row", "col", "value")
+    base = a.int_image_tiles(spark, sf, 64)
+    stored = base.unionByName(tiles.tile_pyramid(base, 2, "mean", 16, 1, 64))
+    return tiles.unpack_tiles(r.complete_tiles(stored, 16, 6, 64), "bigint", 64).select("level", "row", "col", "value")
 
 
 @query(oracle("SELECT r AS row, CAST(c AS BIGINT) AS col, value, CAST(floor(r / 48) AS BIGINT) AS ty, CAST(floor(c / 48) AS BIGINT) AS tx FROM int_image_v", "int_image_v"))
 def retile(spark, sf):
     """Tiles of 20 merged and cut to tiles of 48; the pixels must stay where they are."""
-    packed = tiles.pack_tiles(a.int_image(spark, sf), "int64", 20)
+    packed = a.int_image_tiles(spark, sf, 20)
     pixels = tiles.unpack_tiles(tiles.retile(packed, 20, 48), "bigint", 48)
     return pixels.select("row", "col", "value", F.floor(F.col("row") / 48).alias("ty"), F.floor(F.col("col") / 48).alias("tx"))
 
@@ -295,7 +302,7 @@ def retile(spark, sf):
 @query(oracle("SELECT level, row, col, value FROM (" + _levels(2) + ") AS q", "int_image_v", "raster_size_v", **_chain_sql(_INT_BASE, _ROUND, 2, 8, 2)))
 def mean_pyramid_tiles(spark, sf):
     """The tile form of the mean pyramid: two levels without a shuffle between them."""
-    one = tiles.reduce_tiles(tiles.pack_tiles(a.int_image(spark, sf), "int64", 48), 2, "mean", 48)
+    one = tiles.reduce_tiles(a.int_image_tiles(spark, sf, 48), 2, "mean", 48)
     two = tiles.reduce_tiles(one, 2, "mean", 24)
     out = tiles.unpack_tiles(one, "bigint", 24).unionByName(tiles.unpack_tiles(two, "bigint", 12))
     return out.select("level", "row", "col", "value")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytoplane.functions import geometry as g
-from cytoplane.operators.cells import cell_geometry, with_bounds
+from cytoplane.operators.cells import TILE, cell_geometry, with_bounds
+from cytoplane.operators.tiles import tiles_from_rows
 
 
 def scan_cells(df: DataFrame, id_column: str = "cell_id", section: str | None = None) -> DataFrame:
@@ -27,8 +28,8 @@ def scan_cells(df: DataFrame, id_column: str = "cell_id", section: str | None =
     return cell_geometry(with_bounds(cells)).drop("cx", "cy")
 
 
-def scan_image(df: DataFrame, key: str, section: str) -> DataFrame:
-    """Image rows to pixels ``(section, key, channel, row, col, value, height, width)``.
+def scan_image_rows(df: DataFrame, key: str, section: str) -> DataFrame:
+    """Image rows under canonical names: ``(section, key, channel, row, values, height, width)``.
 
     ``df`` has one row per (channel, row) with its values as an array, and optionally ``channel``,
     ``z`` and ``channel_index``. A second z plane is an error; an unnamed channel is ``c{i}``; an image
@@ -46,10 +47,22 @@ def scan_image(df: DataFrame, key: str, section: str) -> DataFrame:
         F.lit(key).alias("key"),
         channel.alias("channel"),
         F.col("row").cast("bigint").alias("row"),
-        F.posexplode("values").alias("col", "value"),
-        "height",
+        "values",
+        F.col("height").cast("bigint").alias("height"),
         F.size("values").cast("bigint").alias("width"),
-    ).withColumn("col", F.col("col").cast("bigint"))
+    )
+
+
+def scan_image(df: DataFrame, key: str, section: str) -> DataFrame:
+    """Image rows to pixels ``(section, key, channel, row, col, value, height, width)``."""
+    rows = scan_image_rows(df, key, section)
+    return rows.select("section", "key", "channel", "row", F.posexplode("values").alias("col", "value"), "height", "width").withColumn(
+        "col", F.col("col").cast("bigint"))
+
+
+def scan_image_tiles(df: DataFrame, key: str, section: str, dtype: str, tile: int = TILE) -> DataFrame:
+    """Image rows to tiles, without a row per pixel."""
+    return tiles_from_rows(scan_image_rows(df, key, section), dtype, tile)
 
 
 def scan_labels(df: DataFrame, key: str, section: str) -> DataFrame:
