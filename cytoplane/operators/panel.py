@@ -35,6 +35,12 @@ def has_reference_genes(panel: DataFrame, reference: DataFrame) -> bool:
     return not panel.join(reference.select("gene"), "gene", "left_semi").limit(1).isEmpty()
 
 
+def plain_if_unknown(annotated: DataFrame) -> DataFrame:
+    """Annotated genes, in the one group "Genes" if the reference knows none of them."""
+    known = annotated.agg(F.max(F.col("broad") != CONTROL_GROUP)).scalar()
+    return annotated.withColumn("broad", F.when(known, F.col("broad")).otherwise(F.lit(PLAIN_GROUP)))
+
+
 def marker_group_by_broad(annotated: DataFrame) -> DataFrame:
     """Genes cycling through the marker groups inside their broad type."""
     rank = F.row_number().over(Window.partitionBy("broad").orderBy("gene")) - 1
@@ -48,7 +54,11 @@ def gene_groups(annotated: DataFrame, fine: bool = False) -> DataFrame:
 
 
 def panel_grouped(annotated: DataFrame, fine: bool = False) -> DataFrame:
-    """Header and member rows in display order: types alphabetical, control group last."""
+    """Header and member rows in display order: types alphabetical, control group last.
+
+    Where the reference knows none of the genes, all of them are members of the one group "Genes".
+    """
+    annotated = plain_if_unknown(annotated)
     control = F.col("broad") == CONTROL_GROUP
     named = annotated.withColumn("is_control_group", control)
     if fine:

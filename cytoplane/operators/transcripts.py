@@ -104,8 +104,8 @@ def cell_gene_counts(points: DataFrame, exact: bool = True) -> DataFrame:
     return kept.groupBy(*cell_key(kept), "gene").agg(F.count(F.lit(1)).alias("n"))
 
 
-def cell_transcripts(points: DataFrame, exact: bool = True) -> DataFrame:
-    """The per-cell index: every assigned point, physically ordered by cell.
+def cell_transcripts(points: DataFrame, exact: bool = True, partitions: int | None = None) -> DataFrame:
+    """The per-cell index: every assigned point, physically ordered by cell, in ``partitions`` or as many as Spark finds good.
 
     Rows stay rows. Range bounds include the coordinates, so a cell with very many transcripts is
     spread over several partitions instead of becoming one array; a look-up of one cell prunes to the
@@ -114,7 +114,7 @@ def cell_transcripts(points: DataFrame, exact: bool = True) -> DataFrame:
     kept = assigned_points(points, exact)
     order = [*cell_key(kept), "y", "x", "gene"]
     keyed = kept.select(*order)
-    return keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    return keyed.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
 
 
 def cell_slices(points: DataFrame, exact: bool = True) -> DataFrame:

@@ -11,6 +11,7 @@ from cytoplane.plans.adapters import oracle
 from cytoplane.plans.registry import query, scratch
 from cytoplane.sources import annotations as files
 from cytoplane.streaming import counts as st
+from cytoplane.streaming.versions import Versions, read_versions, write_versions
 
 
 def _shapes(spark, sf):
@@ -424,6 +425,22 @@ def _arriving(spark, sf):
         F.col("value").alias("x_location"), (F.col("event_id") % 1000).cast("double").alias("y_location"))
 
 
+def _batches(spark, sf, count=3):
+    """The same in several files, one for each batch."""
+    path = scratch(spark, "arriving")
+    a.table(spark, sf, "events").repartition(count, "event_id").write.parquet(path)
+    raw = st.read_arriving(spark, path, a.table(spark, sf, "events").schema, max_files=1)
+    return raw.select(
+        F.col("event_type").alias("gene"), F.col("user_id").alias("assignment"),
+        F.col("value").alias("x"), (F.col("event_id") % 1000).cast("double").alias("y"))
+
+
+def _versions(spark, counts, key, name):
+    path = scratch(spark, name)
+    write_versions(counts, key, f"{path}/table", f"{path}/checkpoint", merge_after=2).awaitTermination()
+    return f"{path}/table"
+
+
 def _canonical(spark, sf):
     from cytoplane.sources.transcripts import canonical_transcripts
 
@@ -435,16 +452,24 @@ _EVENTS_VALID = "value IS NOT NULL AND NOT isnan(value) AND abs(value) < CAST('I
 
 @query(f"SELECT event_type AS gene, count(*) AS n FROM events WHERE {_EVENTS_VALID} GROUP BY event_type")
 def stream_gene_counts(spark, sf):
-    path = scratch(spark, "gene-counts")
-    st.write_batches(st.stream_gene_counts(_canonical(spark, sf)), f"{path}/table", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/table")
+    return read_versions(spark, _versions(spark, st.stream_gene_counts(_batches(spark, sf)), ["gene"], "gene-counts"))
 
 
 @query(f"SELECT CAST(user_id AS VARCHAR) AS cell_id, event_type AS gene, count(*) AS n FROM events WHERE {_EVENTS_VALID} AND user_id > 0 GROUP BY ALL")
 def stream_cell_gene_counts(spark, sf):
-    path = scratch(spark, "cell-counts")
-    st.write_batches(st.stream_cell_gene_counts(_canonical(spark, sf)), f"{path}/table", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/table")
+    counts = st.stream_cell_gene_counts(_batches(spark, sf))
+    return read_versions(spark, _versions(spark, counts, ["cell_id", "gene"], "cell-counts"))
+
+
+@query(f"""
+    SELECT CAST(3 AS BIGINT) AS batches, true AS merged, count(*) AS pairs, CAST(sum(n) AS BIGINT) AS points FROM
+      (SELECT user_id, event_type, count(*) AS n FROM events WHERE {_EVENTS_VALID} AND user_id > 0 GROUP BY ALL) AS q""")
+def stream_cell_gene_versions(spark, sf):
+    """Three batches make three versions, the second of which is merged into a base."""
+    path = _versions(spark, st.stream_cell_gene_counts(_batches(spark, sf)), ["cell_id", "gene"], "cell-versions")
+    now = Versions(spark, path).current()
+    told = read_versions(spark, path).agg(F.count(F.lit(1)).alias("pairs"), F.sum("n").alias("points"))
+    return told.select(F.lit(now["version"]).cast("bigint").alias("batches"), F.lit(now["base"] is not None).alias("merged"), "pairs", "points")
 
 
 @query(f"SELECT CAST(user_id AS VARCHAR) AS cell_id, event_type AS gene, count(*) AS n FROM events WHERE {_EVENTS_VALID} AND user_id > 0 GROUP BY ALL")

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from cytoplane.functions import affine
 from cytoplane.operators import cells as c
 from cytoplane.operators import celltypes as ct
+from cytoplane.operators import layout, tiles
 from cytoplane.operators import raster as r
-from cytoplane.operators import tiles
 from cytoplane.plans import adapters as a
 from cytoplane.plans.adapters import SECTION, oracle
-from cytoplane.plans.registry import query
+from cytoplane.plans.registry import ORACLES, query, scratch
+from cytoplane.sources import cells as stored_cells
 from cytoplane.sources import tables
 
 
@@ -52,6 +53,17 @@ def cells_in_bbox(spark, sf):
     return c.cells_in_bbox(a.cells(spark, sf), *_BOX).select("cell_id")
 
 
+_IN_BOX = ORACLES["cells_in_bbox"]
+
+
+@query(_IN_BOX)
+def cells_in_bbox_stored(spark, sf):
+    """The same from cells stored along a Hilbert curve."""
+    path = scratch(spark, "hilbert-cells")
+    layout.write_cells(a.cells(spark, sf), path, 1 << 16)
+    return c.cells_in_bbox(spark.read.parquet(path), *_BOX).select("cell_id")
+
+
 _LOCATED = """
     SELECT p.x, p.y, p.n, arg_min(CAST(cell_id AS VARCHAR), (CASE WHEN sq THEN 4*w*w ELSE 2*w*w END, cell_id)) AS cell_id
     FROM (SELECT x, y, count(*) AS n FROM transcripts_v GROUP BY x, y) AS p
@@ -291,6 +303,18 @@ def complete_pyramid(spark, sf):
     return tiles.unpack_tiles(r.complete_tiles(stored, 16, 6, 64), "bigint", 64).select("level", "row", "col", "value")
 
 
+@query(oracle("SELECT level, row, col, value FROM (" + _levels(2) + ") AS q WHERE level = 2", "int_image_v", "raster_size_v", **_chain_sql(_INT_BASE, _ROUND, 2, 8, 2)))
+def scan_image_level(spark, sf):
+    """Of three stored levels the coarsest with at most five finest pixels a pixel."""
+    path = scratch(spark, "image-levels")
+    base = a.int_image_tiles(spark, sf, 64)
+    coarse = tiles.tile_pyramid(base, 2, "mean", 8, 2, 64)
+    named = {"scale10": coarse.filter("level = 2"), "scale2": coarse.filter("level = 1"), "scale0": base}
+    stored_cells.write_image_levels(named, path)
+    chosen = stored_cells.scan_image_level(spark, path, SECTION, "img", 5)
+    return tiles.unpack_tiles(chosen, "bigint", 64).select("level", "row", "col", "value")
+
+
 @query(oracle("SELECT r AS row, CAST(c AS BIGINT) AS col, value, CAST(floor(r / 48) AS BIGINT) AS ty, CAST(floor(c / 48) AS BIGINT) AS tx FROM int_image_v", "int_image_v"))
 def retile(spark, sf):
     """Tiles of 20 merged and cut to tiles of 48; the pixels must stay where they are."""

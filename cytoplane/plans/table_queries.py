@@ -57,6 +57,25 @@ def scan_marker_reference(spark, sf):
     return tables.scan_marker_reference(ref.select(text.alias("text")))
 
 
+@query(oracle("""
+    SELECT 'json' AS section, gene, broad, fine FROM marker_reference_v
+    UNION ALL SELECT 'columns', gene, upper(broad), CASE WHEN length(gene) % 3 = 0 THEN '' ELSE fine END
+    FROM marker_reference_v WHERE length(gene) % 5 <> 0""", "marker_reference_v"))
+def resolve_marker_reference(spark, sf):
+    """Three sections: one with JSON and columns, one with text that is no JSON and columns, one with neither."""
+    ref = a.marker_reference(spark, sf)
+    text = F.to_json(F.map_from_arrays(F.array("gene"), F.array(F.struct("broad", "fine"))))
+    texts = ref.select(F.lit("json").alias("section"), text.alias("text"))
+    for section in ("columns", "none"):
+        texts = texts.union(ref.limit(1).select(F.lit(section), F.lit("{ not json")))
+    var = ref.select(
+        F.explode(F.array(F.lit("json"), F.lit("columns"))).alias("section"), "gene",
+        F.when(F.length("gene") % 5 == 0, "NaN").otherwise(F.upper("broad")).alias("broad_cell_type"),
+        F.when(F.length("gene") % 3 == 0, "None").otherwise(F.col("fine")).alias("fine_cell_type"), F.lit(1).alias("var_ord"))
+    older = var.withColumns({"broad_cell_type": F.lit("zz older"), "var_ord": F.lit(0)}).filter(F.length("gene") % 5 != 0)
+    return tables.resolve_marker_reference(texts, var.union(older))
+
+
 @query("""
     SELECT n_name AS section, CAST(0.5 AS DOUBLE) AS a, round(-0.0625 * k, 6) + 0 AS b, round(-5 + 0.0625 * k * k, 6) AS c,
            CAST(0 AS DOUBLE) AS d, CAST(0.25 AS DOUBLE) AS e, round(-0.25 * k, 6) + 0 AS f

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cytoplane.functions.text import is_control_gene, is_assigned, normalize_cell_key
+from cytoplane.operators import layout, sampling
 from cytoplane.operators import panel as p
-from cytoplane.operators import sampling
 from cytoplane.operators import transcripts as t
 from cytoplane.plans import adapters as a
 from cytoplane.plans.adapters import oracle
-from cytoplane.plans.registry import query
+from cytoplane.plans.registry import query, scratch
 from cytoplane.session import materialize
+from cytoplane.sources import tables
 from cytoplane.sources.transcripts import ROW_KEY, canonical_transcripts, union_sections
 
 SAMPLE = 5000
@@ -153,6 +154,23 @@ def search_panel(spark, sf):
     return p.search_panel(_members(spark, sf, True).select("title", "gene"), " AL ")
 
 
+@query(oracle("""
+    SELECT title, label, lower(label) LIKE '%ic%' AS shown, max(lower(label) LIKE '%ic%') OVER (PARTITION BY title) AS group_shown
+    FROM (SELECT DISTINCT broad AS title, fine AS label FROM cell_types_v) AS q""", "cell_types_v"))
+def search_labels(spark, sf):
+    types = tables.scan_cell_types(a.cell_types_raw(spark, sf))
+    return p.search_labels(types.select(F.col("broad").alias("title"), F.col("fine").alias("label")).distinct(), "IC ")
+
+
+@query(oracle("""
+    SELECT false AS is_control_group, 'Genes' AS broad, 'Genes' AS title, gene FROM
+      (SELECT DISTINCT gene FROM transcripts_v UNION ALL SELECT CAST(NULL AS VARCHAR)) AS q""", "transcripts_v"))
+def panel_grouped_plain(spark, sf):
+    """A reference of other genes: the panel is one group."""
+    other = a.marker_reference(spark, sf).withColumn("gene", F.concat(F.lit("other "), "gene"))
+    return p.panel_grouped(p.annotate_genes(t.panel(a.transcripts(spark, sf)), other))
+
+
 def _annotated(spark, sf):
     return p.annotate_genes(t.panel(a.transcripts(spark, sf)), a.marker_reference(spark, sf))
 
@@ -184,6 +202,17 @@ def transcripts_for_cells(spark, sf):
     return t.transcripts_for_cells(a.transcripts(spark, sf), wanted.union(unknown)).select("cell_id", "gene", "x", "y")
 
 
+@query(oracle("""
+    SELECT a.cell_id, a.gene, a.x, a.y FROM assigned_v AS a
+    JOIN supplier ON CAST(s_suppkey AS VARCHAR) = a.cell_id WHERE s_nationkey = 3""", "assigned_v"))
+def look_up_cells(spark, sf):
+    """The same from the stored index, opening only the files that hold a requested cell."""
+    path = scratch(spark, "cell-index")
+    layout.write_cell_index(a.transcripts(spark, sf), path)
+    wanted = a.table(spark, sf, "supplier").filter("s_nationkey = 3").select(F.col("s_suppkey").alias("cell_id"))
+    return layout.look_up_cells(spark, path, wanted).select("cell_id", "gene", "x", "y")
+
+
 @query(oracle("SELECT gene, count(*) AS n FROM transcripts_v GROUP BY gene", "transcripts_v"))
 def gene_counts(spark, sf):
     return t.gene_counts(a.transcripts(spark, sf))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytoplane.functions import geometry as g
@@ -76,6 +76,49 @@ def scale_number(name: str) -> tuple[int, int, str]:
     return (0, int(digits), "") if digits else (1, 0, name)
 
 
+def write_image_levels(levels: dict[str, DataFrame], path: str) -> None:
+    """Store the levels of images as tiles, one folder per section, key and level, and what each level is like.
+
+    ``levels`` maps names to tile tables. Names that begin with ``scale`` are ordered by their number and become levels
+    0, 1, … in that order; with none of these, the single table given is level 0. ``levels`` beside the tiles has one
+    row per image and level with its size and how many times finer the finest level is, up to rounding.
+    """
+    scales = sorted((n for n in levels if n.startswith("scale")), key=scale_number) or list(levels)[:1]
+    for number, name in enumerate(scales):
+        tiles = levels[name].withColumn("level", F.lit(number).cast("bigint"))
+        tiles.write.mode("append").partitionBy("section", "key", "level").parquet(f"{path}/tiles")
+    spark = next(iter(levels.values())).sparkSession
+    stored = spark.read.parquet(f"{path}/tiles")
+    sizes = stored.groupBy("section", "key", "level").agg(F.max("height").alias("height"), F.max("width").alias("width"))
+    finest = sizes.filter("level = 0").select("section", "key", F.greatest("height", "width").alias("_side"))
+    named = F.element_at(F.array(*map(F.lit, scales)), F.col("level").cast("int") + 1)
+    sizes.join(finest, ["section", "key"]).select(
+        "section", "key", F.col("level").cast("bigint").alias("level"), named.alias("scale"), "height", "width",
+        F.round(F.col("_side") / F.greatest("height", "width")).cast("bigint").alias("factor"),
+    ).coalesce(1).write.parquet(f"{path}/levels")
+
+
+def image_levels(spark: SparkSession, path: str) -> DataFrame:
+    """(section, key, level, scale, height, width, factor) of stored images."""
+    return spark.read.parquet(f"{path}/levels")
+
+
+def scan_image_level(spark: SparkSession, path: str, section: str, key: str, factor: float = 1.0) -> DataFrame:
+    """Tiles of the coarsest level that is not coarser than ``factor`` finest pixels a pixel; the finest if none is.
+
+    The level is chosen from the few rows that describe the image and becomes a partition filter, so nothing of other
+    levels is read.
+    """
+    known = image_levels(spark, path).filter((F.col("section") == section) & (F.col("key") == key)).select("level", "factor").collect()
+    if not known:
+        raise KeyError(f"no image {key} in section {section}")
+    enough = [x.level for x in known if x.factor <= factor]
+    level = max(enough) if enough else min(x.level for x in known)
+    tiles = spark.read.parquet(f"{path}/tiles")
+    return tiles.filter((F.col("section") == section) & (F.col("key") == key) & (F.col("level") == level)).withColumn(
+        "level", F.col("level").cast("bigint"))
+
+
 def drop_derived_elements(catalog: DataFrame, prefix: str) -> DataFrame:
     """Elements that are not private products of this library."""
     return catalog.filter(~F.startswith(F.col("key"), F.lit(prefix)))

@@ -62,19 +62,23 @@ def scan_cell_types(df: DataFrame, declared: str | None = None, index_column: st
     return drop_missing_labels(df.select(number.alias("cell_id"), broad.alias("broad"), fine.alias("fine")))
 
 
-def _reference_rows(entries: DataFrame) -> DataFrame:
-    return entries.filter(F.col("broad").isNotNull()).select("gene", "broad", F.coalesce("fine", F.lit("")).alias("fine"))
+def _reference_rows(entries: DataFrame, keep: list[str]) -> DataFrame:
+    return entries.filter(F.col("broad").isNotNull()).select(*keep, "gene", "broad", F.coalesce("fine", F.lit("")).alias("fine"))
 
 
-def scan_marker_reference(texts: DataFrame, column: str = "text") -> DataFrame:
+def scan_marker_reference(texts: DataFrame, column: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Marker reference from JSON text, one document per row.
 
+    ``keep`` names columns of ``texts`` that stay; then ``_ord`` tells each entry's place in its text.
+
     Takes ``{gene: {broad, fine}}``, the same under ``genes``, long key names, and ``[broad, fine]`` pairs.
     Text that is not JSON gives no rows.
     """
     outer = F.from_json(F.col(column), "map<string,string>")
     body = F.when(F.map_contains_key(outer, "genes"), F.from_json(outer["genes"], "map<string,string>")).otherwise(outer)
-    each = texts.select(F.explode(body).alias("gene", "info"))
+    kept = list(keep or [])
+    each = texts.select(*kept, F.posexplode(body).alias("_ord", "gene", "info")).withColumn("_ord", F.col("_ord").cast("bigint"))
+    kept += ["_ord"] if keep else []
     named = F.from_json("info", "struct<broad:string,fine:string,broad_cell_type:string,fine_cell_type:string>")
     pair = F.from_json("info", "array<string>")
     is_pair = F.startswith(F.ltrim("info"), F.lit("["))
@@ -84,22 +88,39 @@ def scan_marker_reference(texts: DataFrame, column: str = "text") -> DataFrame:
         return F.coalesce(F.when(named[short] != "", named[short]), named[long])
 
     return _reference_rows(each.select(
+        *kept,
         "gene",
         F.when(is_pair, F.get(pair, 0)).otherwise(alias("broad", "broad_cell_type")).alias("broad"),
         F.when(is_pair, F.get(pair, 1)).otherwise(alias("fine", "fine_cell_type")).alias("fine"),
         (is_pair & (F.size(pair) < 2)).alias("_short"),
-    ).filter(~F.col("_short")))
+    ).filter(~F.col("_short")), kept)
 
 
-def marker_reference_from_columns(var: DataFrame) -> DataFrame:
-    """Marker reference from ``gene, broad_cell_type[, fine_cell_type]`` columns."""
+def marker_reference_from_columns(var: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Marker reference from ``gene, broad_cell_type[, fine_cell_type]`` columns; columns in ``keep`` stay."""
     broad = strip("broad_cell_type")
     fine = F.coalesce("fine_cell_type", F.lit("")) if "fine_cell_type" in var.columns else F.lit("")
     return var.filter(broad.isNotNull() & ~F.lower(broad).isin("", "nan", "none")).select(
-        "gene", broad.alias("broad"), F.when(F.lower(fine).isin("nan", "none"), F.lit("")).otherwise(fine).alias("fine")
+        *(keep or []), "gene", broad.alias("broad"), F.when(F.lower(fine).isin("nan", "none"), F.lit("")).otherwise(fine).alias("fine")
     )
 
 
+def resolve_marker_reference(texts: DataFrame, var: DataFrame, column: str = "text") -> DataFrame:
+    """The marker reference of each section (section, gene, broad, fine), one row per gene.
+
+    The JSON text of a section counts, if it gives any row; else its columns ``gene, broad_cell_type[, fine_cell_type]``; else
+    the section has none. Of several entries for a gene the last one counts: by the order of the text, or by
+    ``var_ord`` of the columns where there is one (else the greatest types).
+    """
+    order = F.col("var_ord") if "var_ord" in var.columns else F.lit(0)
+    by_text = scan_marker_reference(texts, column, ["section"]).withColumn("_from", F.lit(0))
+    by_column = marker_reference_from_columns(var.withColumn("_ord", order.cast("bigint")), ["section", "_ord"]).withColumn("_from", F.lit(1))
+    entries = by_text.unionByName(by_column)
+    last = entries.groupBy("section", "_from", "gene").agg(F.max(F.struct("_ord", "broad", "fine")).alias("_e"))
+    first = entries.groupBy("section").agg(F.min("_from").alias("_from"))
+    return last.join(first, ["section", "_from"]).select("section", "gene", "_e.broad", "_e.fine")
+
+
 def transforms_from_matrix(texts: DataFrame) -> DataFrame:
     """Transforms from micron-to-pixel matrices ``(section, text)``: nine numbers, which are inverted."""
     n = F.transform(F.split(strip("text"), r"\s+"), lambda v: v.cast("double"))
