@@ -109,22 +109,23 @@ def locate_cell(points: DataFrame, cells: DataFrame, row_key: list[str] | None =
     levels are in use, which stores them once. Nulls and NaN lie in no cell.
     """
     on = ["section", *(c for c in ("seg_key",) if c in cells.columns)]
-    levels = materialize(common_levels(cells, on))
-    several = not levels.filter("_uses > 1").isEmpty()
-    names, numbered = points.columns, False
+    base, levels = common_levels(cells)
+    several = len(levels) > 1
+    names = points.columns
     if several and row_key is None:
-        points, row_key, numbered = materialize(points.withColumn("_row", F.monotonically_increasing_id())), ["_row"], True
+        points, row_key = materialize(points.withColumn("_row", F.monotonically_increasing_id())), ["_row"]
     side = F.pow(F.lit(2.0), F.col("_level"))
     keys = [*on, "_level", "_gx", "_gy"]
-    placed = points.join(levels.select(*on, "_level"), "section", "left").withColumns({
-        "_gx": F.floor(F.col("x") / side), "_gy": F.floor(F.col("y") / side)})
+    asked = points if len(on) == 1 else points.join(materialize(cells.select(*on).distinct()), "section", "left")
+    each = F.explode(F.array(*map(F.lit, levels))) if several else F.lit(levels[0])
+    placed = asked.withColumn("_level", each).withColumns({"_gx": F.floor(F.col("x") / side), "_gy": F.floor(F.col("y") / side)})
     own = _level(*(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")))
-    homes = cells.withColumn("_own", own).join(levels.drop("_uses"), on).filter(F.col("_level") == F.greatest("_own", "_base"))
+    homes = cells.withColumn("_level", F.greatest(own, F.lit(base)))
     spread = homes.withColumn("_edges", F.expr(g.edges_of_parts("parts"))).withColumn("_side", side)
     for axis in ("x", "y"):
         spread = spread.withColumn(f"_g{axis}", F.explode(F.sequence(F.floor(F.col(f"{axis}min") / side), F.floor(F.col(f"{axis}max") / side))))
     routed = spread.select(*keys, F.col("cell_id").cast("string").alias("cell_id"), "shape_ord", "area", F.expr(_edges_at("_gy", "_side")).alias("_edges"))
-    dealt, copied = split_hot(placed, routed.filter(F.size("_edges") > 0), keys, F.xxhash64(*(row_key or names)))
+    dealt, copied = split_hot(placed, routed.filter(F.size("_edges") > 0), keys, F.xxhash64(*row_key) if row_key else None)
     out_names = [*points.columns, *on[1:]]
     schema = StructType([dealt.schema[c] for c in out_names]).add("cell_id", "string").add("_area", "double").add("_ord", "long")
     types = to_arrow_schema(schema)

@@ -105,11 +105,11 @@ def meeting_boxes(left: DataFrame, right: DataFrame, on: list[str], condition: C
 
 
 def split_hot(
-    many: DataFrame, few: DataFrame, keys: list[str], by: Column, limit: int = GROUP_ROWS, counted: DataFrame | None = None
+    many: DataFrame, few: DataFrame, keys: list[str], by: Column | None, limit: int = GROUP_ROWS, counted: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Both sides of a cogroup on ``keys`` with ``_salt``, so that no group has much more than ``limit`` rows of ``many``.
 
-    Rows of a larger group are dealt out by ``by``; its rows of ``few`` go to all parts. Use the keys and ``_salt`` for the
+    Rows of a larger group are dealt out by ``by``, or by a number that each row is stored with; its rows of ``few`` go to all parts. Use the keys and ``_salt`` for the
     cogroup. Groups are counted first (in ``counted``, where that has the same keys and is cheaper); those above the limit
     are stored, at most one per ``limit`` rows, and joined only if there are any.
     """
@@ -118,25 +118,30 @@ def split_hot(
     if hot.isEmpty():
         return many.withColumn("_salt", F.lit(0)), few.withColumn("_salt", F.lit(0))
     names = [c for c in hot.columns if c != "_parts"]
+    if by is None:
+        many, by = materialize(many.withColumn("_number", F.monotonically_increasing_id())), F.col("_number")
 
     def parts(df: DataFrame) -> DataFrame:
         same = [df[k].eqNullSafe(hot[f"_hot_{k}"]) for k in keys]
         return df.join(hot, same, "left").drop(*names).withColumn("_parts", F.coalesce("_parts", F.lit(1)))
 
-    dealt = parts(many).withColumn("_salt", F.pmod(by, F.col("_parts")).cast("int")).drop("_parts")
+    dealt = parts(many).withColumn("_salt", F.pmod(by, F.col("_parts")).cast("int")).drop("_parts", "_number")
     copied = parts(few).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
     return dealt, copied
 
 
-def common_levels(boxes: DataFrame, on: list[str], share: float = 0.9) -> DataFrame:
-    """Levels to look points up on: (*on, _level, _base, _uses). Smaller boxes move up to ``_base``, the level that holds the
-    ``share`` of all boxes of a group, so that a point needs few look-ups. One row per group and level in use."""
-    level = boxes.select(*on, _level(*(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))).alias("_own"))
-    counts = level.groupBy(*on, "_own").agg(F.count(F.lit(1)).alias("_n"))
-    listed = counts.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("_own", "_n"))).alias("_all"), F.sum("_n").alias("_sum"))
-    # The first level at which the boxes so far reach the share.
-    base = F.expr(
-        f"filter(_all, (a, i) -> aggregate(slice(_all, 1, i + 1), 0L, (s, b) -> s + b._n) >= {share}D * _sum)[0]._own")
-    used = F.array_distinct(F.transform("_all", lambda a: F.greatest(a["_own"], F.col("_base"))))
-    levels = listed.withColumn("_base", base).withColumn("_used", used)
-    return levels.select(*on, "_base", F.size("_used").alias("_uses"), F.explode("_used").alias("_level"))
+def common_levels(boxes: DataFrame, share: float = 0.9) -> tuple[int, list[int]]:
+    """Levels to look points up on: a base, and the levels in use, at most a few dozen numbers.
+
+    Boxes smaller than those of the base move up to it, the level that holds the ``share`` of all boxes together with
+    the finer ones; so a point needs few look-ups.
+    """
+    own = boxes.select(_level(*(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))).alias("_own"))
+    counts = own.groupBy("_own").agg(F.count(F.lit(1)).alias("_n")).orderBy("_own").collect()  # one row per level
+    seen, total, base = 0, sum(r["_n"] for r in counts), MIN_LEVEL
+    for row in counts:
+        seen += row["_n"]
+        if seen >= share * total:
+            base = row["_own"]
+            break
+    return base, sorted({max(r["_own"], base) for r in counts}) or [base]
