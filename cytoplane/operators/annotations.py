@@ -7,9 +7,6 @@ rows ``(section, piece, role, shape_ord, severity, rule, message)``, each once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -207,46 +204,48 @@ def usable_shapes(shapes: DataFrame, errors: DataFrame) -> DataFrame:
 # Lines of a piece
 # ---------------------------------------------------------------------------------------------
 
-_CHAIN = f"section string, role string, piece string, parts bigint, vertices {g.VERTICES}"
-
-
-def _chain_lines(lines: list[list[tuple[float, float]]]) -> list[tuple[float, float]] | None:
-    """Join segments end to end; None if they fall into several chains."""
-    at: dict[tuple[float, float], list[int]] = {}
-    for k, line in enumerate(lines):
-        for end in (line[0], line[-1]):
-            at.setdefault(end, []).append(k)
-    free = [k for k, line in enumerate(lines) if len(at[line[0]]) == 1 or len(at[line[-1]]) == 1]
-    start = free[0] if free else 0
-    path = list(lines[start]) if len(at[lines[start][0]]) == 1 or not free else lines[start][::-1]
-    used = {start}
-    while True:
-        following = [k for k in at[path[-1]] if k not in used]
-        if not following:
-            break
-        k = following[0]
-        used.add(k)
-        path += (lines[k] if lines[k][0] == path[-1] else lines[k][::-1])[1:]
-    return path if len(used) == len(lines) else None
-
-
-def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for rec in pdf.itertuples(index=False):
-            segments = [[(float(v["x"]), float(v["y"])) for v in s["vertices"]] for s in rec.segments]
-            path = _chain_lines(segments)
-            if path is not None:
-                rows.append([rec.section, rec.role, rec.piece, len(segments), [{"x": x, "y": y} for x, y in path]])
-        yield pd.DataFrame(rows, columns=["section", "role", "piece", "parts", "vertices"])
+def _ranked(lines: DataFrame, key: list[str], longest: int) -> DataFrame:
+    """Segments of paths in order: (*key, parts, place, vertices as walked); pieces of several paths are left out.
+
+    Each segment can be walked either way, and each way knows the one that goes on at its last vertex, if any. By pointer
+    doubling every way learns how many follow it and which is the last: each round joins a way with the one it points at,
+    and so doubles its reach. ``longest`` is the largest number of segments of a piece.
+    """
+    segments = materialize(lines.withColumn("_id", F.monotonically_increasing_id()))
+    ends = segments.select(*key, "_id", F.posexplode(F.array(F.element_at("vertices", 1), F.element_at("vertices", -1))).alias("_side", "_v"))
+    met = ends.groupBy(*key, "_v").agg(F.collect_list(F.struct("_id", "_side")).alias("_e"))  # at most two
+    # A way is twice the segment's number, plus one if it is walked from its last vertex to its first.
+    links = met.filter(F.size("_e") == 2).select(*key, F.explode(F.array(
+        F.struct(F.col("_e")[0].alias("a"), F.col("_e")[1].alias("b")), F.struct(F.col("_e")[1].alias("a"), F.col("_e")[0].alias("b")))).alias("_l"))
+    links = links.select((F.col("_l.a._id") * 2 + 1 - F.col("_l.a._side")).alias("way"), (F.col("_l.b._id") * 2 + F.col("_l.b._side")).alias("next"))
+    # A path starts at the loose end of its first segment that has one; a ring at the first vertex of its first segment.
+    loose = met.filter(F.size("_e") == 1).select(*key, F.col("_e")[0]["_id"].alias("_id"), F.col("_e")[0]["_side"].alias("_side"))
+    first = segments.join(loose, [*key, "_id"], "left").groupBy(*key).agg(
+        F.min(F.struct(F.col("_side").isNull().alias("_no"), "shape_ord", "_id", "_side")).alias("_f"), F.countDistinct("_id").alias("parts"))
+    first = first.select(*key, "parts", (F.col("_f._id") * 2 + F.coalesce("_f._side", F.lit(0))).alias("_start"))
+    ways = segments.select(*key, F.explode(F.array(F.col("_id") * 2, F.col("_id") * 2 + 1)).alias("way")).join(links, "way", "left")
+    # Nothing goes on to the start, so that a ring ends before it.
+    cut = ways.join(first, key).withColumn("next", F.when(F.col("next") != F.col("_start"), F.col("next")))
+    ranks = materialize(cut.select("way", "next", F.when(F.col("next").isNull(), 0).otherwise(1).cast("bigint").alias("left"), F.coalesce("next", "way").alias("last")))
+    for _ in range(max(longest - 1, 1).bit_length()):
+        ahead = ranks.select(F.col("way").alias("next"), F.col("next").alias("_next"), F.col("left").alias("_left"), F.col("last").alias("_last"))
+        ranks = materialize(ranks.join(ahead, "next", "left").select(
+            "way", F.col("_next").alias("next"), (F.col("left") + F.coalesce("_left", F.lit(0))).alias("left"), F.coalesce("_last", "last").alias("last")))
+    ended = ranks.filter(F.col("next").isNull()).select("way", "left", "last")
+    whole = first.join(ended.select(F.col("way").alias("_start"), F.col("left").alias("_all"), F.col("last").alias("_last")), "_start")
+    whole = whole.filter(F.col("_all") == F.col("parts") - 1)
+    walked = segments.join(whole, key).join(
+        ended.select(F.floor(F.col("way") / 2).alias("_id"), (F.col("way") % 2 == 1).alias("_turned"), "left", F.col("last").alias("_last")), ["_id", "_last"])
+    vertices = F.when(F.col("_turned"), F.reverse("vertices")).otherwise(F.col("vertices"))
+    return walked.select(*key, "parts", (F.col("_all") - F.col("left")).alias("place"), vertices.alias("vertices"))
 
 
 def merge_piece_lines(shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One line per (section, piece, role) and the findings about it.
 
     Single segments pass through. Several segments are chained only where their end points can form
-    one path (all shared by two segments, but for two loose ends or none); that is settled by
-    aggregation, so a group in Python is never larger than the line it yields.
+    one path (all shared by two segments, but for two loose ends or none) and do form one: their order comes from
+    list ranking in a number of joins that grows with the logarithm of the largest piece.
     """
     key = ["section", "role", "piece"]
     lines = shapes.filter(F.col("role").isin("pia", "wm"))
@@ -257,12 +256,15 @@ def merge_piece_lines(shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
     chains = degree.groupBy(*key).agg(F.max("d").alias("top"), F.count_if(F.col("d") == 1).alias("loose"))
     ready = chains.filter((F.col("top") == 2) & F.col("loose").isin(0, 2)).select(*key)
     several = counts.filter("parts > 1")
-    chained = materialize(
-        lines.join(several.join(ready, key, "left_semi").select(*key), key, "left_semi")
-        .groupBy(*key)
-        .agg(F.sort_array(F.collect_list(F.struct("shape_ord", "vertices"))).alias("segments"))
-        .mapInPandas(_chain, _CHAIN)
-    )
+    candidates = several.join(ready, key, "left_semi")
+    longest = candidates.agg(F.max("parts")).first()[0] or 1
+    ordered = None
+    if longest > 1:
+        ordered = _ranked(lines.join(candidates.select(*key), key, "left_semi").select(*key, "shape_ord", "vertices"), key, longest)
+    walk = F.array_sort(F.collect_list(F.struct("place", "vertices")))
+    chained = single.limit(0) if ordered is None else materialize(ordered.groupBy(*key, "parts").agg(walk.alias("_walk")).select(*key, "parts", F.expr(
+        "flatten(transform(_walk, (w, i) -> CASE WHEN i = 0 THEN w.vertices ELSE slice(w.vertices, 2, greatest(size(w.vertices) - 1, 0)) END))"
+    ).alias("vertices")))
     merged = single.unionByName(chained.select(*single.columns))
     what = F.concat("piece", F.lit(" "), "role")
     warned = _finding(chained, "warning", "merged_segments", F.concat(

@@ -211,3 +211,24 @@ def test_streams_equal_batch(spark, tmp_path):
     for _ in range(2):  # a second run finds nothing new and must not count twice
         st.merge_cell_gene_counts(stream, str(tmp_path / "merge"), str(tmp_path / "merge-cp")).awaitTermination()
     assert sorted(map(tuple, st.merged_totals(spark, str(tmp_path / "merge")).collect())) == sorted(map(tuple, t.cell_gene_counts(batch).collect()))
+
+
+def test_long_chains_are_merged(spark):
+    """A piece of 100,000 segments in any order and direction; a ring; a path with a ring beside it."""
+    n_parts = 100_000
+    path = spark.range(n_parts).select(
+        F.lit("s").alias("section"), F.lit("pia").alias("role"), F.lit("long").alias("piece"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("shape_ord"),
+        F.array(F.col("id"), F.col("id") + 1).alias("ends"))
+    square = spark.createDataFrame([("ring", k, [k, (k + 1) % 4]) for k in range(4)] + [("two", k, [k, k + 1]) for k in range(3)] +
+                                   [("two", 10 + k, [10 + k, 10 + (k + 1) % 3]) for k in range(3)], "piece string, shape_ord long, ends array<long>")
+    rows = path.unionByName(square.select(F.lit("s").alias("section"), F.lit("pia").alias("role"), "*"))
+    turned = F.when(F.xxhash64("ends") % 2 == 0, F.reverse("ends")).otherwise(F.col("ends"))
+    shapes = rows.withColumn("vertices", F.transform(turned, lambda v: F.struct(v.cast("double").alias("x"), F.lit(1.0).alias("y")))).drop("ends").repartition(8)
+    merged, found = n.merge_piece_lines(shapes)
+    got = {r.piece: r for r in merged.collect()}
+    assert set(got) == {"long", "ring"} and got["long"].parts == n_parts
+    xs = [v.x for v in got["long"].vertices]
+    assert xs in (list(map(float, range(n_parts + 1))), list(map(float, range(n_parts, -1, -1))))
+    ring = [v.x for v in got["ring"].vertices]
+    assert len(ring) == 5 and ring[0] == ring[-1] and sorted(ring[:4]) == [0.0, 1.0, 2.0, 3.0]
+    assert {(r.piece, r.rule) for r in found.collect()} == {("long", "merged_segments"), ("ring", "merged_segments"), ("two", "unmergeable_segments")}
