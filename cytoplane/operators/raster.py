@@ -599,7 +599,8 @@ def cell_channel_intensity(
             yield pd.DataFrame(out, columns=names)
 
     lead = "".join(f"{k} string, " for k in ("section", *seg, "cell_id"))
-    placed = _placed(cells, height, width, transform, tile)
+    # Stored, as cells are counted by tile before they are drawn.
+    placed = materialize(_placed(cells, height, width, transform, tile))
     runs = placed.mapInPandas(draw, lead + "ty bigint, tx bigint, runs binary")
     keys = ["section", "ty", "tx"]
     dealt, copied = split_hot(runs, image.select("section", "key", "channel", "ty", "tx", "h", "w", "dtype", "data"), keys, F.xxhash64("cell_id"), CELLS, placed.select(*keys))
