@@ -104,10 +104,15 @@ _MIXED = regex.compile(rf"(?<![A-Za-z0-9_]){_DIGITS}(?:[\x20,.()-]*+(?<![A-Za-z_
 _MIXED_TOKEN = regex.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+")
 _TOKEN = regex.compile(r"[A-Za-z]+|[^A-Za-z]+")
 _BRACKETED = regex.compile(r"[\[({<]\s*(?:at|@|dot|punkt|punto|point|\.)\s*[\])}>]", regex.I)
+# Top-level domains that are words, which end an address only where no other word follows, and words that
+# stand before a place or a numbered part of a text.
+_ALSO_WORDS = "am|as|at|be|by|do|in|info|is|it|me|my|name|net|no|online|shop|site|so|store|to|us"
+_DETERMINERS = "a|an|her|his|its|my|our|that|the|their|this|your"
+_NUMBERED = "appendix|article|chapter|clause|figure|item|paragraph|part|release|rule|section|step|table|version"
+_END = rf"\s++dot\s++(?!(?:{_ALSO_WORDS})\s++[A-Za-z])(?:{_TOP_LEVEL})(?![A-Za-z0-9-])"
 _WORDED = regex.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\s++at\s++[A-Za-z0-9-]++(?:\s++dot\s++[A-Za-z0-9-]++)*"
-    rf"\s++dot\s++(?:{_TOP_LEVEL})(?![A-Za-z0-9-])"
-    r"|(?<![0-9])[0-9]{1,3}(?:\s++dot\s++[0-9]{1,3}){3}(?![0-9])",
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\s++at\s++(?!(?:{_DETERMINERS})\s)|@)[A-Za-z0-9-]++(?:\s++dot\s++[A-Za-z0-9-]++)*{_END}"
+    rf"|(?<![0-9])(?<!\b(?:{_NUMBERED})\s)[0-9]{{1,3}}(?:\s++dot\s++[0-9]{{1,3}}){{3}}(?![0-9])",
     regex.I,
 )
 _LABEL = regex.compile(r"[A-Za-z0-9._%+-]++")
@@ -151,18 +156,31 @@ def _plain_letter(c: str) -> str:
 
 
 _PLAIN_CACHE: dict[str, str] = {}
+#: Characters of identifiers, within which format characters are left out.
+_IN_WORD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789.@_%+-")
 
 
 def _look_alikes(normal: Normal) -> None:
-    """Homoglyphs, one character for one."""
-    edits = []
-    for k, c in enumerate(normal.chars):
+    """Homoglyphs, one character for one; invisible format characters within a word are left out.
+
+    What follows such a character counts as rewritten, so that the identifier around it does.
+    """
+    edits, chars, k = [], normal.chars, 0
+    while k < len(chars):
+        c, end = chars[k], k + 1
         if c >= "\x80":
-            new = _PLAIN_CACHE.get(c)
-            if new is None:
-                new = _PLAIN_CACHE[c] = _plain_letter(c)
-            if new != c:
-                edits.append((k, k + 1, new))
+            while end < len(chars) and unicodedata.category(chars[end - 1]) == "Cf":
+                end += 1
+            if end > k + 1 and k and chars[end - 1] in _IN_WORD and chars[k - 1] in _IN_WORD:
+                edits.append((k, end, chars[end - 1]))
+            else:
+                end = k + 1
+                new = _PLAIN_CACHE.get(c)
+                if new is None:
+                    new = _PLAIN_CACHE[c] = _plain_letter(c)
+                if new != c:
+                    edits.append((k, end, new))
+        k = end
     normal.rewrite(edits)
 
 
@@ -252,13 +270,21 @@ def _odd(c: str) -> bool:
     new = _PLAIN_CACHE.get(c)
     if new is None:
         new = _PLAIN_CACHE[c] = _plain_letter(c)
-    return new != c
+    return new != c or unicodedata.category(c) == "Cf"
 
 
 def find_spans(text: str) -> tuple[list[Span], list[Span]]:
     """Plain spans, and all spans: a disguised one is added unless a plain one of its kind covers it."""
     base = base_spans(text)
-    more = [x for x in hidden_spans(text) if not any(x[2] == y[2] and y[0] <= x[0] and x[1] <= y[1] for y in base)]
+    # Plain spans of a kind lie apart and in order, so the last one that begins no later is the only one that can cover.
+    plain = [[x for x in base if x[2] == k] for k in range(len(KINDS))]
+    starts = [[a for a, _, _ in spans] for spans in plain]
+
+    def covered(a: int, b: int, kind: int) -> bool:
+        at = bisect_right(starts[kind], a) - 1
+        return at >= 0 and b <= plain[kind][at][1]
+
+    more = [x for x in hidden_spans(text) if not covered(*x)]
     return base, sorted({*base, *more}, key=lambda x: (x[0], x[2], x[1]))
 
 

@@ -43,6 +43,16 @@ def test_plain_spans_are_those_of_the_patterns(text):
     ("one nine two dot one six eight dot zero dot one", "ip:0:47"),
     ("call plus four four two zero seven nine four six zero nine five eight", "phone:5:69"),
     ("4111 1111 1111 111１ ok", "card:0:19"),
+    ("he was at work dot it was fun", ""),
+    ("sat at desk dot in pen", ""),
+    ("look at the dot com crash", ""),
+    ("meet me at the dot com bubble", ""),
+    ("see section 4 dot 1 dot 2 dot 3", ""),
+    ("jane@example dot com", "email:0:20"),
+    ("mail jane at example dot it, please", "email:5:27"),
+    ("jan\u200be@exam\u00adple.com", "email:0:18"),
+    ("so \u200djane@example.com", "email:4:20"),
+    ("\u200b jane \u2060 at", ""),
     ("look at the dot and see", ""),
     ("we met at noon dot", ""),
     ("one two three four steps", ""),
@@ -92,3 +102,15 @@ def test_rows(make, odd):
     assert hidden[10].text == "<EMAIL> and <PHONE>" and hidden[10].n_chars == 19
     assert hidden[0].text is None and hidden[3].text == "a" and hidden[10].row == "clash"
     assert pii.find_pii(make([])).count() == 0 and pii.redact(make([])).count() == 0
+
+
+def test_plain_and_disguised_together_take_linear_time():
+    from time import perf_counter
+
+    text = "jane@example.com and jane [at] example [dot] com; "
+    start = perf_counter()
+    pii.find_spans(text * 2_000)
+    small = perf_counter() - start
+    start = perf_counter()
+    assert [len(x) for x in pii.find_spans(text * 20_000)] == [20_000, 40_000]
+    assert perf_counter() - start < 25 * small + 1
