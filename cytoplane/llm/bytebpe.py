@@ -182,7 +182,7 @@ class Pieces:
 class ByteIds:
     """Ids of texts as little-endian unsigned 32-bit bytes, with bounded memos of chunks and of pieces."""
 
-    def __init__(self, path: str, entries: int = MEMO_ENTRIES // 2):
+    def __init__(self, path: str, entries: int = MEMO_ENTRIES * 3 // 4):
         self.coder, self.pieces = Backtracker(read_ranks(path), entries), Pieces()
         self.by_piece = Memo(self._piece, entries)
         self.by_chunk = Memo(self._chunk, entries)
