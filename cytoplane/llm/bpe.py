@@ -157,33 +157,47 @@ class Lexicon:
 
 
 class Coder:
-    """Encodes and decodes texts; memo of chunks, lexicon, then merges."""
+    """Encodes and decodes texts; memo of chunks, lexicon, then merges.
+
+    Memos hold the ids of a word or chunk as decimal numbers and as tokens, each with a space behind it.
+    """
 
     def __init__(self, path: str, lexicon: bytes | None = None):
         self.merger = Merger(path)
         self.words = Words(self.merger.added, path)
         self.lexicon = Lexicon(lexicon) if lexicon else None
-        self.by_word = Memo(self.merger.ids)
-        self.memo: dict[str, tuple[int, bytes, bytes]] = {}
+        self.by_word = Memo(lambda w: self._texts(self.merger.ids(w.encode())))
+        self.ids: dict[str, str] = {}
+        self.names: dict[str, str] = {}
+
+    def _texts(self, ids: list[int]) -> tuple[str, str]:
+        name = self.merger.strings
+        return "".join([f"{i} " for i in ids]), "".join([f"{name[i]} " for i in ids])
 
     def prepare(self, parts: Iterable[list[str]]) -> None:
         """Ids of all chunks that the memo lacks; a full memo keeps what these parts use."""
         used = set().union(*parts)
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo = {k: self.memo[k] for k in used & self.memo.keys()}
-        new = list(used - self.memo.keys())
-        split = [self.words(x) for x in new]
+        if len(self.ids) > MEMO_ENTRIES:
+            kept = used & self.ids.keys()
+            self.ids, self.names = {k: self.ids[k] for k in kept}, {k: self.names[k] for k in kept}
         self.by_word.trim()
-        if self.lexicon:
-            words = {w for x in split for w in x if isinstance(w, bytes)}
-            todo = [w for w in words if w not in self.by_word and w not in self.by_word.old]
-            self.by_word.update((w, ids) for w, ids in zip(todo, self.lexicon.look_up(todo), strict=True) if ids is not None)
-        name = self.merger.strings
-        for key, words in zip(new, split, strict=True):
-            ids: list[int] = []
-            for w in words:
-                ids += [w] if isinstance(w, int) else self.by_word[w]
-            self.memo[key] = (len(ids), " ".join(map(str, ids)).encode(), " ".join([name[i] for i in ids]).encode())
+        plain, words, rest = self.words.many(used - self.ids.keys())
+        distinct = set(words) - {"\n"}
+        new = self.by_word.missing(distinct)
+        coded = [w.encode() for w in new]
+        ids = self.lexicon.look_up(coded) if self.lexicon else [None] * len(new)
+        unseen = [k for k, x in enumerate(ids) if x is None]
+        for k, x in zip(unseen, self.merger.many([coded[k] for k in unseen]), strict=True):
+            ids[k] = x
+        self.by_word.update(zip(new, map(self._texts, ids), strict=True))
+        if plain:
+            found = [(w, *self.by_word[w]) for w in distinct]
+            for memo, k in ((self.ids, 1), (self.names, 2)):
+                of = {x[0]: x[k] for x in found} | {"\n": "\n"}
+                memo.update(zip(plain, "".join(map(of.__getitem__, words)).split("\n"), strict=True))
+        for key in rest:
+            each = [self._texts([w]) if isinstance(w, int) else self.by_word[w.decode()] for w in self.words(key)]
+            self.ids[key], self.names[key] = "".join([x for x, _ in each]), "".join([x for _, x in each])
 
     def digests(self, texts: list[str]) -> tuple[list[int], list[str], list[str]]:
         """Number of ids, and the digests of ids and of the decoded text."""
@@ -191,17 +205,16 @@ class Coder:
         self.prepare(parts)
         n, ids, decoded = [], [], []
         for part in parts:
-            # A chunk has a character that is no white space, so it has an id.
-            sizes, some, names = zip(*map(self.memo.__getitem__, part)) if part else ((), (), ())
-            n.append(sum(sizes))
-            ids.append(hashlib.sha256(b" ".join(some)).hexdigest())
-            decoded.append(hashlib.sha256(b" ".join(names)).hexdigest())
+            numbers = "".join(map(self.ids.__getitem__, part))
+            n.append(numbers.count(" "))
+            ids.append(hashlib.sha256(numbers[:-1].encode()).hexdigest())
+            decoded.append(hashlib.sha256("".join(map(self.names.__getitem__, part))[:-1].encode()).hexdigest())
         return n, ids, decoded
 
     def encode(self, text: str) -> list[int]:
         parts = chunks(text)
         self.prepare([parts])
-        return [int(i) for x in parts for i in self.memo[x][1].split()]
+        return [int(i) for x in parts for i in self.ids[x].split()]
 
     def decode(self, ids: Iterable[int]) -> str:
         """As the file's library joins tokens without a decoder: by single spaces."""
@@ -217,12 +230,16 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
 
         def flush() -> pa.RecordBatch:
             by_word: Counter = Counter()
-            for chunk, n in found.items():
-                for w in words(chunk):
-                    if len(w) <= WORD_BYTES:
-                        by_word[w] += n
+            many = iter(found.values())
+            n = next(many, 0)
+            for w in words.many(found)[1]:
+                if w == "\n":
+                    n = next(many)
+                else:
+                    by_word[w] += n
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(by_word.keys(), pa.binary()), pa.array(by_word.values(), pa.int64())], ["word", "n"])
+            short = {k: n for w, n in by_word.items() if len(k := w.encode()) <= WORD_BYTES}
+            return pa.RecordBatch.from_arrays([pa.array(short.keys(), pa.binary()), pa.array(short.values(), pa.int64())], ["word", "n"])
 
         for batch in batches:
             for _, texts in slices(batch):

@@ -51,6 +51,13 @@ class Memo(dict):
         self[key] = value
         return value
 
+    def missing(self, keys: set) -> list:
+        """Those of the keys whose values are in neither turn; values of the last turn are taken over."""
+        keys = keys - self.keys()
+        again = keys & self.old.keys()
+        self.update((k, self.old[k]) for k in again)
+        return list(keys - again)
+
     def trim(self) -> None:
         if len(self) > self.entries // 2:
             self.old = dict(self)

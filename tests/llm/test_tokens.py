@@ -46,6 +46,24 @@ def test_any_text(text):
     same(text)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.text("abnthe", max_size=50), st.text(max_size=6)), max_size=30))
+def test_merges_of_many_words(words):
+    words = [w.encode() for w in words]
+    assert MERGER.many(words) == [MERGER.ids(w) if w else [] for w in words]
+
+
+def test_many_texts_through_small_memos():
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abehnt'.,1éΣ", k=rng.randint(1, 5))) for _ in range(60)) for _ in range(40)]
+    texts += ["the <|endoftext|>x 👍🏽y the", "", "the"]
+    coder = ChunkIds(vocabulary_path(), 100)
+    for at in range(0, len(texts), 3):
+        want = [library(x) for x in texts[at : at + 3]]
+        assert coder.encode(texts[at : at + 3]) == [struct.pack(f"<{len(x)}I", *x) for x in want]
+        assert CODERS[0].digests(texts[at : at + 3])[0] == [len(x) for x in want]
+
+
 def test_lexicon_shares_and_refuses():
     lexicon = bpe.Lexicon(LEXICON)
     assert lexicon.look_up(WORDS) == [MERGER.ids(w) for w in WORDS]
