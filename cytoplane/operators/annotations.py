@@ -491,13 +491,15 @@ def _with_ends(line: str, first: str, last: str) -> str:
     return f"transform({line}, (v, i) -> CASE WHEN i = 0 THEN {moved('v', first)} WHEN i = size({line}) - 1 THEN {moved('v', last)} ELSE v END)"
 
 
-def _ribbon_rings(ready: DataFrame) -> DataFrame:
+def _ribbon_rings(pieces: DataFrame, measured: DataFrame) -> DataFrame:
     """Candidate rings as rows (section, piece, candidate, vertices, area, cx, cy).
 
     The ring leaves the pia at its last vertex, walks the edge to one end of the wm, follows the wm, and walks the edge
     back to the pia's first vertex; without a wm it walks back at once. Either end of the wm may come first, and on a
-    closed edge each walk may take either way.
+    closed edge each walk may take either way. What is stored of a piece are places on its edge; the edge itself is kept
+    once a section and looked at again when the walks are cut from it.
     """
+    ready = pieces.join(measured, "section")
     closed = F.expr("size(edge) > 2 AND hypot(edge[0].x - get(edge, size(edge) - 1).x, edge[0].y - get(edge, size(edge) - 1).y) <= 1e-9D")
     ways = F.when(closed, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     has_wm = F.col("wm").isNotNull()
@@ -511,12 +513,17 @@ def _ribbon_rings(ready: DataFrame) -> DataFrame:
     # Ends within the tolerance of an end-point gap count as being on the edge.
     size = F.greatest(F.expr(g.line_length("pia")), F.coalesce(F.expr(g.line_length("wm")), F.lit(0.0)))
     turned = turned.withColumn("_tolerance", F.greatest(F.lit(1e-6), size * 0.02))
-    both = materialize(turned.withColumns({
-        "pia": F.expr(_with_ends("pia", "_start", "_end")), "_line": F.expr(_with_ends("_line", "_near", "_far"))
-    })).withColumn("_out", F.explode(ways)).withColumn("_back", F.explode(F.when(has_wm, ways).otherwise(F.array(F.lit(0)))))
+    placed = materialize(turned.select(
+        "section", "piece", "wm", "_turn", "_start", "_end", "_near", "_far", ways.alias("_ways"),
+        F.expr(_with_ends("pia", "_start", "_end")).alias("pia"), F.expr(_with_ends("_line", "_near", "_far")).alias("_line"),
+    ))
+    both = placed.withColumn("_out", F.explode("_ways")).withColumn(
+        "_back", F.explode(F.when(has_wm, F.col("_ways")).otherwise(F.array(F.lit(0))))
+    )
     apart = lambda a, b: F.abs(F.col(f"{a}.s") - F.col(f"{b}.s")) > 1e-9
     first = F.when(has_wm, apart("_end", "_near")).otherwise(apart("_end", "_start"))
     both = both.filter(((F.col("_out") == 0) | first) & ((F.col("_back") == 0) | apart("_far", "_start")))
+    both = both.join(measured.select("section", "_v"), "section")
     ring = F.when(has_wm, F.expr(f"concat(pia, {_walk('_end', '_near', '_out')}, _line, {_walk('_far', '_start', '_back')})")).otherwise(
         F.expr(f"concat(pia, {_walk('_end', '_start', '_out')})")
     )
@@ -542,9 +549,9 @@ def ribbon_from_edge(merged: DataFrame, shapes: DataFrame) -> tuple[DataFrame, D
     explicit = shapes.filter(F.col("role") == "ribbon").select(*key)
     pia = merged.filter(F.col("role") == "pia").select(*key, F.col("vertices").alias("pia"))
     wm = merged.filter(F.col("role") == "wm").select(*key, F.col("vertices").alias("wm"))
-    ready = pia.join(explicit, key, "left_anti").join(wm, key, "left").join(_measured_edges(shapes), "section")
-    ready = materialize(ready)
-    rings = materialize(_ribbon_rings(ready))
+    measured = materialize(_measured_edges(shapes))
+    ready = materialize(pia.join(explicit, key, "left_anti").join(wm, key, "left").join(measured.select("section"), "section"))
+    rings = materialize(_ribbon_rings(ready, measured))
     simple = rings.join(_self_touching(rings, [*key, "candidate"]), [*key, "candidate"], "left_anti")
     same = [F.round(c, 6).alias(f"_{c}") for c in ("area", "cx", "cy")]
     once = simple.groupBy(*key, *same).agg(F.min(F.struct("area", "candidate", "vertices")).alias("_r"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytoplane.functions import geometry as g
@@ -169,9 +172,14 @@ def endpoint_gaps(spark, sf):
       (SELECT CASE WHEN k % 4 < 2 THEN 'open' ELSE 'closed' END AS section, c_name AS piece,
               100 * (CASE k % 4 WHEN 0 THEN 55 WHEN 1 THEN 60 ELSE 90 END - (10 + k % 40)) AS area,
               CASE WHEN k % 4 = 3 OR k % 20 = 1 THEN 'pial_only_ribbon' END AS rule
-       FROM (SELECT c_custkey AS k, c_name FROM customer) AS c) AS q""")
+       FROM (SELECT c_custkey AS k, c_name FROM customer) AS c) AS q
+    UNION ALL
+    SELECT 'crossed', c_name, CASE WHEN told = 0 THEN CAST(2 AS BIGINT) END,
+           CASE WHEN told = 0 THEN CAST(4800 + 100 * (10 + c_custkey % 40) AS DOUBLE) END, CASE WHEN told = 1 THEN 'several_ribbons' END
+    FROM customer CROSS JOIN (VALUES (0), (1)) AS t(told) WHERE c_custkey % 10 = 0""")
 def ribbon_from_edge(spark, sf):
-    """An open and a closed edge; pieces with one ribbon, with none (the pia lies on the edge) and with two."""
+    """An open and two closed edges; pieces with one ribbon, with none (the pia lies on the edge), with two of a pia alone,
+    and with two of a pia within the edge and a wm that runs outside of it, of which the smaller is taken."""
     c = a.table(spark, sf, "customer")
     k = F.col("c_custkey")
     section, level = F.when(k % 4 < 2, F.lit("open")).otherwise(F.lit("closed")), (10 + k % 40).cast("double")
@@ -188,7 +196,14 @@ def ribbon_from_edge(spark, sf):
     pia = c.select(section.alias("section"), F.lit("pia").alias("role"), F.col("c_name").alias("piece"), line.alias("vertices"))
     low = across(F.when(k % 4 == 0, F.lit(55.0)).otherwise(F.lit(90.0)))
     wm = c.filter(k % 2 == 0).select(section.alias("section"), F.lit("wm").alias("role"), F.col("c_name").alias("piece"), low.alias("vertices"))
-    shapes = edge.unionByName(pia).unionByName(wm).withColumn("shape_ord", F.lit(0).cast("bigint"))
+    crossed = c.filter(k % 10 == 0).select(F.lit("crossed").alias("section"), F.col("c_name").alias("piece"), across(level).alias("pia"))
+    inside = crossed.select("section", F.lit("pia").alias("role"), "piece", F.col("pia").alias("vertices"))
+    around = at((50, 0), (50, -20), (120, -20), (120, 120), (50, 120), (50, 100))
+    outside = crossed.select("section", F.lit("wm").alias("role"), "piece", around.alias("vertices"))
+    square = at((0, 0), (100, 0), (100, 100), (0, 100), (0, 0))
+    rim = crossed.select("section").distinct().select("section", F.lit("side").alias("role"), F.lit(None).cast("string").alias("piece"), square.alias("vertices"))
+    parts = [pia, wm, inside, outside, rim]
+    shapes = reduce(DataFrame.unionByName, parts, edge).withColumn("shape_ord", F.lit(0).cast("bigint"))
     merged, _ = n.merge_piece_lines(shapes)
     ribbons, found = n.ribbon_from_edge(merged, shapes)
     told = found.select("section", "piece", F.lit(None).cast("bigint").alias("candidates"), F.lit(None).cast("double").alias("area"), "rule")

@@ -108,6 +108,26 @@ def test_closed_edge_gives_two_ways(spark):
     assert [r.rule for r in found.collect()] == ["pial_only_ribbon"] and ribbons.count() == 0
 
 
+def test_two_ribbons_of_a_piece_and_the_smaller_one(spark):
+    square = [[0, 0], [100, 0], [100, 100], [0, 100], [0, 0]]
+    around = [[50, 0], [50, -20], [120, -20], [120, 120], [50, 120], [50, 100]]
+    df = n.canonical(drawn(spark, side=[square], pia=[[[0, 30], [100, 30]]], wm=[around]))
+    merged, _ = n.merge_piece_lines(df)
+    ribbons, found = n.ribbon_from_edge(merged, df)
+    assert [(r.rule, r.severity) for r in found.collect()] == [("several_ribbons", "warning")]
+    row = ribbons.first()
+    assert row.candidates == 2 and abs(row.area - 7800) < 1e-6 and row.ring[0] == row.ring[-1]
+
+
+def test_ribbons_store_no_edge_per_piece(spark, monkeypatch):
+    stored = []
+    keep = n.materialize
+    monkeypatch.setattr(n, "materialize", lambda df: stored.append(df.columns) or keep(df))
+    test_closed_edge_gives_two_ways(spark)
+    assert sum("_v" in c or "edge" in c for c in stored) == 1
+    assert all("piece" not in c for c in stored if "_v" in c or "edge" in c)
+
+
 def test_explicit_ribbon_skips_edge_checks(spark):
     df = drawn(spark, side=[U], pia=[("a", [[30, 20], [30, 60]])], ribbon=[("a", [[30, 20], [30, 60], [40, 60], [40, 20]])])
     _u, _m, _f, errors, warnings = judged(df)
