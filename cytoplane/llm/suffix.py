@@ -16,20 +16,21 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytoplane.llm.common import Memo, chunks, slices, stored
-from cytoplane.session import materialize
+from cytoplane.llm.common import Memo, Shelf, chunks, offsets_of, shuffles_released, slices
 
 MIN_WORDS, GRAM = 50, 8
 #: Text that a task looks at together, and words that it remembers.
 TASK_CHARS, MEMO_WORDS = 1_000_000, 150_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: White space that parts words, by code point: what ``chunks`` splits at.
+_SPACE = np.array([chr(c).isspace() and not 0x1C <= c <= 0x1F for c in range(0x3002)])
 
 
 def minimisers(h: np.ndarray, window: int) -> np.ndarray:
@@ -119,10 +120,10 @@ def _contexts(texts: DataFrame, min_words: int, gram: int) -> DataFrame:
                 gaps, sizes, found = [], [], []
                 for data, at, h in zip(*(part.column(c).to_pylist() for c in ("data", "at", "h"))):
                     text = press.decompress(data).decode("utf-8", "surrogatepass")
-                    bounds = np.array([m.span() for m in _word_spans(text)])
+                    bounds = word_bounds(text)
                     gaps.append(np.diff(bounds[:, 0], prepend=0).astype(np.int32))
                     sizes.append((bounds[:, 1] - bounds[:, 0]).astype(np.int32))
-                    words = [text[a:b] for a, b in bounds.tolist()]
+                    words = chunks(text)
                     found.append([
                         {"at": p, "h": v, "after": " ".join(words[p : p + min_words]), "before": " ".join(words[max(0, p - min_words + gram) : p][::-1])}
                         for p, v in zip(at, h)
@@ -156,7 +157,7 @@ def match(x: tuple, y: tuple, min_words: int) -> tuple[int, int]:
     return (left, right) if left + right >= min_words else (0, 0)
 
 
-def _neighbours(contexts: DataFrame, by: list[str], min_words: int) -> DataFrame:
+def _neighbours(contexts: DataFrame, by: list[str], min_words: int, shelf: Shelf) -> DataFrame:
     """h, after, before (as digests c1, c2), lefts, rights: the best matches with the neighbours in the order of ``by``."""
     kinds = "c1 long, c2 long, lefts int, rights int, part int, side int, h long, after string, before string"
 
@@ -186,7 +187,7 @@ def _neighbours(contexts: DataFrame, by: list[str], min_words: int) -> DataFrame
             yield rows([(last_id, best)] if best != (0, 0) else [], [(last_id, last, 1)])
 
     ordered = contexts.repartitionByRange(*by).sortWithinPartitions(*by)
-    found = materialize(ordered.select("c1", "c2", "h", "after", "before").mapInArrow(compare, kinds))
+    found = shelf.put(ordered.select("c1", "c2", "h", "after", "before").mapInArrow(compare, kinds), f"suffix-by-{by[1]}")
     # The last suffix of a partition and the first of the next one that has any; one row of numbers per partition is
     # ordered in one task, the suffixes themselves meet by a join.
     first, end = found.filter("side = 0"), found.filter("side = 1")
@@ -210,27 +211,47 @@ def _neighbours(contexts: DataFrame, by: list[str], min_words: int) -> DataFrame
     return plain.union(pairs.mapInArrow(across, "c1 long, c2 long, lefts int, rights int"))
 
 
-def _windows(contexts: DataFrame, min_words: int, gram: int) -> DataFrame:
-    """c1, c2, lefts, rights: what the windows of ``min_words`` around the gram that another context holds too cover together."""
+def window_digests(words: list[list[str]], lefts: np.ndarray, rights: np.ndarray, min_words: int, gram: int, memo: Memo) -> tuple[np.ndarray, ...]:
+    """Of contexts (``lefts`` words before the gram, ``rights`` from it on): number of the context, words before the gram
+    and digest of each window of ``min_words`` that holds the gram."""
+    each = np.fromiter(map(memo.__getitem__, chain.from_iterable(words)), np.uint64)
+    # Sums of hash times power; dividing by the power at the window's start makes a digest the same at every place.
+    powers, backs = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(each), x)]), dtype=np.uint64) for x in (_MULTIPLIER, _INVERSE))
+    run = np.concatenate([[np.uint64(0)], np.cumsum(each * powers[:-1], dtype=np.uint64)])
+    low, high = np.maximum(0, min_words - rights), np.minimum(lefts, min_words - gram)
+    counts = np.maximum(0, high - low + 1)
+    where, ends = np.repeat(np.arange(len(words)), counts), offsets_of(counts)
+    i = low[where] + np.arange(ends[-1]) - ends[:-1][where]
+    start = offsets_of(lefts + rights)[:-1][where] + lefts[where] - i
+    x = (run[start + min_words] - run[start]) * backs[start] + i.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return where, i, x ^ (x >> np.uint64(29))
+
+
+def _windows(contexts: DataFrame, min_words: int, gram: int, shelf: Shelf) -> DataFrame:
+    """c1, c2, lefts, rights: what the windows of ``min_words`` around the gram that another context holds too cover together.
+
+    Windows are counted by digests alone, and cut again to be met with those that stand more than once: none is stored.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(xxhash.xxh64_intdigest, entries=MEMO_WORDS)
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part, rows = batch.slice(k, 500), []
-                for at, (after, before) in enumerate(zip(part.column("after").to_pylist(), part.column("before").to_pylist())):
-                    right, left = after.split(" "), before.split(" ")[::-1] if before else []
-                    words = left + right
-                    for i in range(max(0, min_words - len(right)), min(len(left), min_words - gram) + 1):
-                        start = len(left) - i
-                        rows.append((at, i, xxhash.xxh64_intdigest(f"{i} {' '.join(words[start : start + min_words])}".encode("utf-8", "surrogatepass"))))
-                where, lefts, digests = (np.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 3, (np.int64, np.int32, np.uint64)))
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                right = [x.split(" ") for x in part.column("after").to_pylist()]
+                left = [x.split(" ")[::-1] if x else [] for x in part.column("before").to_pylist()]
+                memo.trim()
+                where, lefts, digests = window_digests(
+                    [a + b for a, b in zip(left, right)], np.array([len(x) for x in left]), np.array([len(x) for x in right]), min_words, gram, memo
+                )
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(pa.array(where)) for c in ("c1", "c2", "h")), pa.array(lefts), pa.array(digests.view(np.int64))],
+                    [*(part.column(c).take(pa.array(where)) for c in ("c1", "c2", "h")), pa.array(lefts.astype(np.int32)), pa.array(digests.view(np.int64))],
                     ["c1", "c2", "h", "lefts", "w"],
                 )
 
-    each = stored(contexts.select("c1", "c2", "h", "after", "before").mapInArrow(cut, "c1 long, c2 long, h long, lefts int, w long"), "suffix-windows")
-    often = each.groupBy("h", "w").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h", "w")
+    each = contexts.select("c1", "c2", "h", "after", "before").mapInArrow(cut, "c1 long, c2 long, h long, lefts int, w long")
+    often = shelf.put(each.groupBy("h", "w").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h", "w"), "suffix-windows")
     # All these windows hold the gram, so that together they are one run.
     return each.join(often, ["h", "w"]).groupBy("c1", "c2").agg(
         F.max("lefts").alias("lefts"), (F.lit(min_words) - F.min("lefts")).alias("rights")
@@ -269,8 +290,12 @@ def _bounds(spans: DataFrame) -> DataFrame:
     return spans.mapInArrow(place, "node long, spans array<struct<start:long,end:long,start_word:long,end_word:long>>")
 
 
-def _word_spans(text: str):
-    return regex.finditer("(?:[^\\s]|[\x1c-\x1f])+", text)
+def word_bounds(text: str) -> np.ndarray:
+    """Code-point start and end of each word."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = ~_SPACE[np.minimum(points, len(_SPACE) - 1)]
+    turns = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
+    return turns.reshape(-1, 2)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,15 +303,21 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
 
     A passage is a run of at least ``min_words`` white-space separated words that stands in the corpus more than once,
     in different documents or twice in one; passages that touch or overlap are one row. Every place is listed, also
-    the first. Null and short texts have none. Rows that repeat id and text are one document.
+    the first. Null and short texts have none. Rows that repeat id and text are one document. An empty table gives no rows.
+    Tables between the steps are deleted after their last reader, and shuffle files with the job that wrote them.
     """
+    with shuffles_released(docs.sparkSession):
+        return _repeated(docs, min_words, gram, id_col, text_col, Shelf(docs.sparkSession))
+
+
+def _repeated(docs: DataFrame, min_words: int, gram: int, id_col: str, text_col: str, shelf: Shelf) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).select(
         "doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2")
     )
-    rows = stored(_positions(source, gram, min_words - gram + 1).filter(F.col("n") >= min_words), "suffix-positions")
+    rows = shelf.put(_positions(source, gram, min_words - gram + 1).filter(F.col("n") >= min_words), "suffix-positions")
     # Equal texts are one node: the whole text is repeated, and one copy of it stands for all in the sort.
-    nodes = stored(
+    nodes = shelf.put(
         rows.groupBy("t1", "t2").agg(
             F.min(F.struct("doc_id", "n", "first", "last", "at", "h")).alias("one"), F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"),
             F.max(F.col("doc_id").isNull()).alias("_null"),
@@ -294,44 +325,59 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
                  F.monotonically_increasing_id().alias("node")),
         "suffix-nodes",
     )
+    once = _once(source, rows)
+    ids = shelf.put(rows.select("doc_id", "t1", "t2").distinct(), "suffix-ids")
+    shelf.drop("suffix-positions")
     each = nodes.select("node", F.explode(F.arrays_zip("at", "h")).alias("s")).select("node", "s.at", "s.h")
-    often = stored(each.groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h"), "suffix-grams")
+    often = shelf.put(each.groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h"), "suffix-grams")
     alive = each.join(often, "h").groupBy("node").agg(F.collect_list(F.struct("at", "h")).alias("s"))
-    wanted = stored(
+    wanted = shelf.put(
         alive.join(nodes.select("node", "t1", "t2", "doc_id"), "node").select("node", "t1", "t2", F.col("doc_id").alias("_id"), F.col("s.at").alias("at"), F.col("s.h").alias("h")),
         "suffix-wanted",
     )
-    packed = _packed(_once(source, rows))
+    heads = shelf.put(nodes.select("t1", "t2", "n", "first", "last", "copied", "node"), "suffix-heads")
+    shelf.drop("suffix-nodes", "suffix-grams")
+    packed = _packed(once)
     same = (packed["t1"] == wanted["t1"]) & (packed["t2"] == wanted["t2"]) & packed["doc_id"].eqNullSafe(wanted["_id"])
-    texts = stored(_contexts(packed.join(wanted, same), min_words, gram), "suffix-texts")
+    texts = shelf.put(_contexts(packed.join(wanted, same), min_words, gram), "suffix-texts")
+    shelf.drop("suffix-wanted")
     places = texts.select("node", F.explode("places").alias("p")).select("node", "p.*")
     places = places.withColumns({"c1": F.xxhash64("h", "after", "before"), "c2": F.xxhash64(F.lit(7), "before", "h", "after")})
-    contexts = stored(places.groupBy("c1", "c2", "h", "after", "before").agg(F.count(F.lit(1)).alias("times")), "suffix-contexts")
+    contexts = shelf.put(places.groupBy("c1", "c2", "h", "after", "before").agg(F.count(F.lit(1)).alias("times")), "suffix-contexts")
+    spots = shelf.put(places.select("node", "at", "c1", "c2"), "suffix-spots")
+    bounds = shelf.put(texts.select("node", "gaps", "sizes"), "suffix-bounds")
+    shelf.drop("suffix-texts")
     words = lambda c: F.when(F.col(c) == "", 0).otherwise(F.size(F.split(c, " ")))
     whole = contexts.filter("times > 1").select("c1", "c2", words("before").alias("lefts"), words("after").alias("rights")).filter(
         F.col("lefts") + F.col("rights") >= min_words
     )
     distinct = contexts.drop("times")
-    found = _neighbours(distinct, ["h", "after", "before"], min_words).union(_neighbours(distinct, ["h", "before", "after"], min_words)).union(whole)
-    best = materialize(found.groupBy("c1", "c2").agg(F.max("lefts").alias("lefts"), F.max("rights").alias("rights")))
+    found = whole
+    for by in (["h", "after", "before"], ["h", "before", "after"]):
+        found = found.union(_neighbours(distinct, by, min_words, shelf))
+    best = shelf.put(found.groupBy("c1", "c2").agg(F.max("lefts").alias("lefts"), F.max("rights").alias("rights")), "suffix-best")
+    shelf.drop("suffix-by-after", "suffix-by-before")
     # What is left: grams with more than two contexts, of which some are not matched on their whole length.
     done = best.select("c1", "c2", F.col("lefts").alias("_l"), F.col("rights").alias("_r"))
     part = F.coalesce((F.col("_l") < words("before")) | (F.col("_r") < words("after")), F.lit(True))
     open_grams = distinct.join(done, ["c1", "c2"], "left").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max(part).alias("open"))
-    more = _windows(distinct.join(open_grams.filter("n > 2 AND open").select("h"), "h"), min_words, gram)
-    best = materialize(best.union(more).groupBy("c1", "c2").agg(F.max("lefts").alias("lefts"), F.max("rights").alias("rights")))
-    spans = places.select("node", "at", "c1", "c2").join(best, ["c1", "c2"]).select(
+    left = shelf.put(distinct.join(open_grams.filter("n > 2 AND open").select("h"), "h"), "suffix-open")
+    shelf.drop("suffix-contexts")
+    more = _windows(left, min_words, gram, shelf)
+    best = shelf.put(best.union(more).groupBy("c1", "c2").agg(F.max("lefts").alias("lefts"), F.max("rights").alias("rights")), "suffix-matches")
+    shelf.drop("suffix-best", "suffix-open", "suffix-windows")
+    spans = spots.join(best, ["c1", "c2"]).select(
         "node", F.struct((F.col("at") - F.col("lefts")).alias("a"), (F.col("at") + F.col("rights")).alias("b")).alias("span")
     )
     by_node = spans.groupBy("node").agg(_merge(F.collect_list("span")).alias("spans"))
-    bounded = _bounds(texts.select("node", "gaps", "sizes").join(by_node, "node"))
+    bounded = _bounds(bounds.join(by_node, "node"))
     everything = F.struct(
         F.col("first").alias("start"), F.col("last").alias("end"), F.lit(0).cast("long").alias("start_word"), F.col("n").alias("end_word")
     )
-    marked = nodes.select("t1", "t2", "n", "first", "last", "copied", "node").join(bounded, "node", "left").filter("copied OR spans IS NOT NULL")
-    marked = materialize(marked.select("t1", "t2", F.when(F.col("copied"), F.array(everything)).otherwise(F.col("spans")).alias("spans")))
-    once = rows.select("doc_id", "t1", "t2").distinct()
-    return once.join(marked, ["t1", "t2"]).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+    marked = heads.join(bounded, "node", "left").filter("copied OR spans IS NOT NULL")
+    marked = shelf.put(marked.select("t1", "t2", F.when(F.col("copied"), F.array(everything)).otherwise(F.col("spans")).alias("spans")), "suffix-marked")
+    shelf.drop("suffix-spots", "suffix-matches", "suffix-bounds", "suffix-heads")
+    return ids.join(marked, ["t1", "t2"]).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
 
 
 def _once(source: DataFrame, rows: DataFrame) -> DataFrame:

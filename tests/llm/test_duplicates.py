@@ -1,10 +1,16 @@
+import glob
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+import regex
+import xxhash
 
 from cytoplane.llm import jaccard, suffix
+from cytoplane.llm.common import Memo, Shelf, chunks
 from cytoplane.llm.components import components
+from cytoplane.session import ensure_checkpoint_dir
 
 
 @pytest.fixture(scope="module")
@@ -109,9 +115,9 @@ def test_passages_of_frequent_lines(spark):
     contexts = spark.createDataFrame([(c, -c, h, x, y) for c, h, x, y in rows], "c1 long, c2 long, h long, after string, before string").coalesce(1)
     near = {}
     for by in (["h", "after", "before"], ["h", "before", "after"]):
-        near |= {r.c1: r for r in suffix._neighbours(contexts, by, 50).collect()}
+        near |= {r.c1: r for r in suffix._neighbours(contexts, by, 50, Shelf(spark)).collect()}
     assert not near  # neighbours alone do not find it
-    got = {r.c1: (r.lefts, r.rights) for r in suffix._windows(contexts, 50, 8).collect()}
+    got = {r.c1: (r.lefts, r.rights) for r in suffix._windows(contexts, 50, 8, Shelf(spark)).collect()}
     assert got == {1: (30, 30), 2: (30, 30)}
 
 
@@ -139,3 +145,44 @@ def test_common_words():
     assert suffix._common("a b", "a b c") == 2
     assert suffix._common("", "a") == 0
     assert suffix._common("x", "x") == 1
+
+
+def test_word_bounds_are_those_of_the_words():
+    spaces = "".join(chr(c) for c in range(0x11000) if chr(c).isspace())
+    for text in ("", " ", "a", f"a{spaces}b\u00a0\x1cc d\ud800 \U0001f600e ", "".join(f"{c}x" for c in spaces)):
+        spans = suffix.word_bounds(text).tolist()
+        assert [text[a:b] for a, b in spans] == chunks(text)
+        assert [tuple(x) for x in spans] == [m.span() for m in regex.finditer("(?:[^\\s]|[\x1c-\x1f])+", text)]
+
+
+def test_windows_have_one_digest_wherever_they_stand():
+    rng = random.Random(4)
+    line = [f"w{rng.randrange(5)}" for _ in range(300)]
+    cases = []
+    for _ in range(60):
+        at, lefts, rights = rng.randrange(50, 240), rng.randrange(0, 43), rng.randrange(8, 51)
+        cases.append((line[at - lefts : at + rights], lefts, rights))
+    memo = Memo(xxhash.xxh64_intdigest)
+    where, i, digest = suffix.window_digests([c[0] for c in cases], np.array([c[1] for c in cases]), np.array([c[2] for c in cases]), 50, 8, memo)
+    want = [
+        (k, j, (j, *words[lefts - j : lefts - j + 50]))
+        for k, (words, lefts, rights) in enumerate(cases)
+        for j in range(max(0, 50 - rights), min(lefts, 42) + 1)
+    ]
+    assert list(zip(where.tolist(), i.tolist())) == [x[:2] for x in want]
+    seen = {}
+    for x, d in zip(want, digest.tolist()):
+        assert seen.setdefault(x[2], d) == d
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_only_the_tables_of_the_result_are_left(make, spark):
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/cytoplane-suffix-*"))
+    passage = " ".join(f"p{k}" for k in range(70))
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(key)
+    rows = suffix.repeated_passages(make([f"a {passage} b", f"c {passage} d", "short"])).collect()
+    assert len(rows) == 2 and spark.conf.get(key) == setting
+    left = {x.rsplit("/", 1)[1].rsplit("-", 1)[0] for x in set(glob.glob(f"{folder}/cytoplane-suffix-*")) - before}
+    assert left == {"cytoplane-suffix-ids", "cytoplane-suffix-marked"}
