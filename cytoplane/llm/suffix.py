@@ -22,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytoplane.llm.common import Memo, Shelf, chunks, offsets_of, shuffles_released, slices
+from cytoplane.llm.common import Shelf, chunks, offsets_of, shuffles_released, slices
 
 MIN_WORDS, GRAM = 50, 8
-#: Text that a task looks at together, and words that it remembers.
-TASK_CHARS, MEMO_WORDS = 1_000_000, 150_000
+#: Text that a task looks at together.
+TASK_CHARS = 1_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: White space that parts words, by code point: what ``chunks`` splits at.
@@ -39,44 +39,44 @@ def minimisers(h: np.ndarray, window: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     if len(h) <= window:
         return np.array([int(h.argmin())])
-    at = np.lib.stride_tricks.sliding_window_view(h, window).argmin(axis=1) + np.arange(len(h) - window + 1)
-    return np.unique(at)
+    # Least value and its leftmost place of runs that double in length up to the window.
+    least, at, size = h, np.arange(len(h)), 1
+    while size < window:
+        step = min(size, window - size)
+        at = np.where(least[:-step] <= least[step:], at[:-step], at[step:])
+        least = np.minimum(least[:-step], least[step:])
+        size += step
+    return at[np.concatenate([[True], at[1:] != at[:-1]])]  # places of later runs are never further left
 
 
-class Grams:
-    """Hashes of the k-grams of words of each text."""
+def word_hashes(parts: list[list[str]]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(parts)), np.uint64)
+
 
-    def __init__(self, gram: int):
-        self.gram = gram
-        self.memo = Memo(xxhash.xxh64_intdigest, entries=MEMO_WORDS)
-
-    def hashes(self, parts: list[list[str]]) -> Iterator[np.ndarray]:
-        self.memo.trim()
-        each = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(parts)), np.uint64)
-        at = 0
-        for part in parts:
-            h, n = each[at : at + len(part)], len(part) - self.gram + 1
-            at += len(part)
-            if n <= 0:
-                yield h[:0]
-                continue
-            s = h[:n].copy()
-            for k in range(1, self.gram):
-                s = s * _MULTIPLIER + h[k : n + k]
-            s ^= s >> np.uint64(31)
-            yield s * _MULTIPLIER
+def gram_hashes(parts: list[list[str]], gram: int) -> Iterator[np.ndarray]:
+    """Hashes of the k-grams of words of each text."""
+    each = word_hashes(parts)
+    joined = each[: max(0, len(each) - gram + 1)].copy()
+    for k in range(1, gram):
+        joined *= _MULTIPLIER
+        joined += each[k : len(joined) + k]
+    joined ^= joined >> np.uint64(31)
+    joined *= _MULTIPLIER
+    at = 0
+    for part in parts:
+        yield joined[at : at + max(0, len(part) - gram + 1)]
+        at += len(part)
 
 
 def _positions(texts: DataFrame, gram: int, window: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams(gram)
         for batch in batches:
             for part, some in slices(batch, chars=TASK_CHARS):
                 words = [chunks(x) for x in some]
                 at, hashes = [], []
                 left = [x.find(w[0]) if w else 0 for x, w in zip(some, words)]
                 right = [x.rfind(w[-1]) + len(w[-1]) if w else 0 for x, w in zip(some, words)]
-                for h in grams.hashes(words):
+                for h in gram_hashes(words, gram):
                     k = minimisers(h, window)
                     at.append(k.astype(np.int32))
                     hashes.append(h[k].view(np.int64))
@@ -211,10 +211,10 @@ def _neighbours(contexts: DataFrame, by: list[str], min_words: int, shelf: Shelf
     return plain.union(pairs.mapInArrow(across, "c1 long, c2 long, lefts int, rights int"))
 
 
-def window_digests(words: list[list[str]], lefts: np.ndarray, rights: np.ndarray, min_words: int, gram: int, memo: Memo) -> tuple[np.ndarray, ...]:
+def window_digests(words: list[list[str]], lefts: np.ndarray, rights: np.ndarray, min_words: int, gram: int) -> tuple[np.ndarray, ...]:
     """Of contexts (``lefts`` words before the gram, ``rights`` from it on): number of the context, words before the gram
     and digest of each window of ``min_words`` that holds the gram."""
-    each = np.fromiter(map(memo.__getitem__, chain.from_iterable(words)), np.uint64)
+    each = word_hashes(words)
     # Sums of hash times power; dividing by the power at the window's start makes a digest the same at every place.
     powers, backs = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(each), x)]), dtype=np.uint64) for x in (_MULTIPLIER, _INVERSE))
     run = np.concatenate([[np.uint64(0)], np.cumsum(each * powers[:-1], dtype=np.uint64)])
@@ -235,15 +235,13 @@ def _windows(contexts: DataFrame, min_words: int, gram: int, shelf: Shelf) -> Da
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(xxhash.xxh64_intdigest, entries=MEMO_WORDS)
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 part = batch.slice(k, 2000)
                 right = [x.split(" ") for x in part.column("after").to_pylist()]
                 left = [x.split(" ")[::-1] if x else [] for x in part.column("before").to_pylist()]
-                memo.trim()
                 where, lefts, digests = window_digests(
-                    [a + b for a, b in zip(left, right)], np.array([len(x) for x in left]), np.array([len(x) for x in right]), min_words, gram, memo
+                    [a + b for a, b in zip(left, right)], np.array([len(x) for x in left]), np.array([len(x) for x in right]), min_words, gram
                 )
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c).take(pa.array(where)) for c in ("c1", "c2", "h")), pa.array(lefts.astype(np.int32)), pa.array(digests.view(np.int64))],
@@ -280,10 +278,12 @@ def _bounds(spans: DataFrame) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                starts = np.cumsum(row["gaps"])
-                ends = starts + np.array(row["sizes"])
-                out.append([{"start": int(starts[x["a"]]), "end": int(ends[x["b"] - 1]), "start_word": x["a"], "end_word": x["b"]} for x in row["spans"]])
+            for gaps, sizes, spans in zip(*(batch.column(c) for c in ("gaps", "sizes", "spans"))):
+                starts, sizes = np.cumsum(gaps.values.to_numpy(), dtype=np.int64), sizes.values
+                out.append([
+                    {"start": int(starts[x["a"]]), "end": int(starts[x["b"] - 1]) + sizes[x["b"] - 1].as_py(), "start_word": x["a"], "end_word": x["b"]}
+                    for x in spans.as_py()
+                ])
             kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "end", "start_word", "end_word")]))
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, kind)], ["node", "spans"])
 

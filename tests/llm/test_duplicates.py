@@ -5,10 +5,9 @@ from collections import Counter
 import numpy as np
 import pytest
 import regex
-import xxhash
 
 from cytoplane.llm import jaccard, suffix
-from cytoplane.llm.common import Memo, Shelf, chunks
+from cytoplane.llm.common import Shelf, chunks
 from cytoplane.llm.components import components
 from cytoplane.session import ensure_checkpoint_dir
 
@@ -162,8 +161,7 @@ def test_windows_have_one_digest_wherever_they_stand():
     for _ in range(60):
         at, lefts, rights = rng.randrange(50, 240), rng.randrange(0, 43), rng.randrange(8, 51)
         cases.append((line[at - lefts : at + rights], lefts, rights))
-    memo = Memo(xxhash.xxh64_intdigest)
-    where, i, digest = suffix.window_digests([c[0] for c in cases], np.array([c[1] for c in cases]), np.array([c[2] for c in cases]), 50, 8, memo)
+    where, i, digest = suffix.window_digests([c[0] for c in cases], np.array([c[1] for c in cases]), np.array([c[2] for c in cases]), 50, 8)
     want = [
         (k, j, (j, *words[lefts - j : lefts - j + 50]))
         for k, (words, lefts, rights) in enumerate(cases)
@@ -186,3 +184,12 @@ def test_only_the_tables_of_the_result_are_left(make, spark):
     assert len(rows) == 2 and spark.conf.get(key) == setting
     left = {x.rsplit("/", 1)[1].rsplit("-", 1)[0] for x in set(glob.glob(f"{folder}/cytoplane-suffix-*")) - before}
     assert left == {"cytoplane-suffix-ids", "cytoplane-suffix-marked"}
+
+
+@pytest.mark.parametrize("window", (1, 2, 3, 43))
+def test_minimisers_are_the_leftmost_least_of_every_run(window):
+    rng = np.random.default_rng(window)
+    for n in (0, 1, window, window + 1, 200):
+        h = rng.integers(0, 9, n).astype(np.uint64)
+        want = sorted({int(h[k : k + window].argmin()) + k for k in range(max(1, n - window + 1))}) if n else []
+        assert suffix.minimisers(h, window).tolist() == want
