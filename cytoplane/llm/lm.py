@@ -14,7 +14,6 @@ of documents gets back the counts of those it holds. Automaton and word counts a
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -24,19 +23,19 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cytoplane.llm.common import offsets_of, segment_sum, slices, stored
+from cytoplane.llm.common import Shelf, offsets_of, segment_sum, shuffles_released, slices
 
 ORDER, SHARE, WORD_WEIGHT = 6, 1e-6, 0.1
 #: What a context's counts may weigh next to the shorter context; chosen by how often the context was met (powers of two).
 WEIGHTS, LEVELS = np.array([0, 0.003, 0.01, 0.03, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.97]), 40
-#: Groups that pairs are dealt into; more where there are more blocks.
+#: Groups that words and pairs are dealt into; more where there are more blocks.
 GROUPS = 1024
 END = 10  # the byte that ends a text; words never hold it
 #: Text of a block, and symbols of a slice.
-BLOCK_CHARS, SLICE, READ_CHARS = 12_000_000, 256, 2_000_000
+BLOCK_CHARS, SLICE, READ_CHARS = 3_000_000, 256, 2_000_000
 _LN10 = np.log(10)
 
 
@@ -265,30 +264,23 @@ def in_context(alone: np.ndarray, weights: np.ndarray, before: np.ndarray, met:
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """One row per block of documents: their ids, compressed texts, whether held out, and its words with training counts."""
+    """One row per block of documents: their ids, compressed texts, numbers of tokens and whether held out."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for part, texts in slices(batch, chars=BLOCK_CHARS):
-                held = part.column("held_out").to_pylist()
-                counts: Counter = Counter()
-                joined, n = [], []
-                for x, out in zip(texts, held):
-                    words = words_of(x)
-                    joined.append(b" ".join(words))
-                    n.append(len(words) + 1)
-                    counts.update(dict.fromkeys(words, 0) if out else words)
-                # Words in the order in which they are met, then the end, which no word equals.
-                counts[b""] = len(held) - sum(held)
+                split = [words_of(x) for x in texts]
+                data = press.compress(b"\n".join(map(b" ".join, split)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), part.column("doc_id")), pa.array([held], pa.list_(pa.bool_())),
-                     pa.array([n], pa.list_(pa.int64())), pa.array([zstandard.ZstdCompressor(level=3).compress(b"\n".join(joined))], pa.binary()),
-                     pa.array([list(counts)], pa.list_(pa.binary())), pa.array([list(counts.values())], pa.list_(pa.int64()))],
-                    ["doc_id", "held_out", "n", "data", "words", "counts"],
+                    [pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), part.column("doc_id")),
+                     pa.array([part.column("held_out").to_pylist()], pa.list_(pa.bool_())),
+                     pa.array([[len(x) + 1 for x in split]], pa.list_(pa.int64())), pa.array([data], pa.binary())],
+                    ["doc_id", "held_out", "n", "data"],
                 )
 
-    return docs.mapInArrow(gather, f"doc_id array<{kind}>, held_out array<boolean>, n array<long>, data binary, words array<binary>, counts array<long>")
+    return docs.mapInArrow(gather, f"doc_id array<{kind}>, held_out array<boolean>, n array<long>, data binary")
 
 
 def _texts(row: dict) -> list[bytes]:
@@ -311,9 +303,12 @@ def _tokens(row: dict, texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return words, np.fromiter((order[w] for d in texts for w in (*d.split(), b"")), np.int64, sum(row["n"]))
 
 
-def pairs_of(words: list[bytes], each: np.ndarray) -> np.ndarray:
-    """Digests of the pair that ends in each token. The end of a text stands before the next one."""
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+def digests_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def pairs_of(h: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """Digests of the pair that ends in each token, from the words' digests. The end of a text stands before the next one."""
     x = np.concatenate([h[-1:], h[each[:-1]]]) * np.uint64(0x9E3779B97F4A7C15) + h[each]
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -329,46 +324,76 @@ def _numbers(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
-def _pair_counts(blocks: DataFrame) -> DataFrame:
-    """block, found: the training counts of the block's different pairs of words in the order of their digests.
+def group_bits(blocks: int) -> int:
+    """Groups, as a power of two, that words and pairs are dealt into by the highest bits of their digests."""
+    return (max(GROUPS, 2 * blocks) - 1).bit_length()
+
 
-    Digests are dealt by their highest bits into groups, each of which is added up at once; a row is all that a block has
-    in a group, so the commonest pair weighs no more than any other.
+def _counts(blocks: DataFrame, bits: int) -> DataFrame:
+    """block, pairs, part, c, n, v: the training counts of what a block has in a group, its different pairs of words in the
+    order of their digests or its words as they are met; in one row of a group of words, N and V of the group.
+
+    A group is added up at once; a row is all that a block has in it, so the commonest word weighs no more than any other.
     """
-    bits = (max(GROUPS, 2 * blocks.count()) - 1).bit_length()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, every = ["block", "pairs", "part", "keys", "counts"], np.arange((1 << bits) + 1, dtype=np.uint64)
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k].as_py() for c in ("block", "held_out", "n", "data")}
                 words, each = _tokens(row, _texts(row))
+                h = digests_of(words)
                 train = np.repeat(~np.array(row["held_out"], bool), row["n"])
-                keys, where = np.unique(pairs_of(words, each), return_inverse=True)
-                n = np.bincount(where, train, len(keys)).astype(np.int64)
-                cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
-                full = np.flatnonzero(np.diff(cuts))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(full), row["block"])), pa.array(full),
-                     pa.array([_planes(np.diff(keys[cuts[g] : cuts[g + 1]], prepend=np.uint64(0))) for g in full.tolist()], pa.binary()),
-                     pa.array([_planes(n[cuts[g] : cuts[g + 1]]) for g in full.tolist()], pa.binary())],
-                    ["block", "part", "keys", "counts"],
-                )
+                keys, where = np.unique(pairs_of(h, each), return_inverse=True)
+                by_group = np.argsort(h >> np.uint64(64 - bits), kind="stable")
+                spelled = [words[x] for x in by_group.tolist()]
+                for pairs, digests, n in (
+                    (True, keys, np.bincount(where, train, len(keys))), (False, h[by_group], np.bincount(each, train, len(words))[by_group])
+                ):
+                    n, cuts = n.astype(np.int64), np.searchsorted(digests >> np.uint64(64 - bits), every)
+                    full = np.flatnonzero(np.diff(cuts))
+                    bounds = list(zip(cuts[full].tolist(), cuts[full + 1].tolist()))
+                    held = [_planes(np.diff(keys[a:b], prepend=np.uint64(0))) if pairs else b"\n".join(spelled[a:b]) for a, b in bounds]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(full), row["block"])), pa.array(np.full(len(full), pairs)), pa.array(full),
+                         pa.array(held, pa.binary()), pa.array([_planes(n[a:b]) for a, b in bounds], pa.binary())],
+                        names,
+                    )
 
     def add(group: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.cumsum(_numbers(x, np.uint64), dtype=np.uint64) for x in group.column("keys").to_pylist()])
-        counts = np.concatenate([_numbers(x, np.int64) for x in group.column("counts").to_pylist()])
-        _, where = np.unique(keys, return_inverse=True)
-        total = np.bincount(where, counts).astype(np.int64)[where]
-        ends = np.cumsum([len(x) // 8 for x in group.column("keys").to_pylist()])
+        counts = [_numbers(x, np.int64) for x in group.column("counts").to_pylist()]
+        blobs, pairs = group.column("keys").to_pylist(), group.column("pairs")[0].as_py()
+        if pairs:
+            _, where = np.unique(np.concatenate([np.cumsum(_numbers(x, np.uint64), dtype=np.uint64) for x in blobs]), return_inverse=True)
+        else:
+            order: dict[bytes, int] = {}
+            where = np.array([order.setdefault(w, len(order)) for x in blobs for w in x.split(b"\n")])
+        total = np.bincount(where, np.concatenate(counts)).astype(np.int64)
+        of_group = np.zeros((2, len(blobs)), np.int64)
+        if not pairs:
+            of_group[:, 0] = total.sum(), (total > 0).sum()
+        ends = np.cumsum([len(x) for x in counts])
         return pa.table({
-            "block": group.column("block"), "part": group.column("part"),
-            "c": pa.array([_planes(x) for x in np.split(total, ends[:-1])], pa.binary()),
+            **{c: group.column(c) for c in ("block", "pairs", "part")},
+            "c": pa.array([_planes(x) for x in np.split(total[where], ends[:-1])], pa.binary()), "n": of_group[0], "v": of_group[1],
         })
 
-    dealt = blocks.select("block", "held_out", "n", "data").mapInArrow(deal, "block long, part long, keys binary, counts binary")
-    added = dealt.groupBy("part").applyInArrow(add, "block long, part long, c binary")
-    found = added.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "c"))).alias("found"))
-    return found.select("block", F.transform("found", lambda x: x["c"]).alias("found"))
+    dealt = blocks.select("block", "held_out", "n", "data").mapInArrow(deal, "block long, pairs boolean, part long, keys binary, counts binary")
+    return dealt.groupBy("pairs", "part").applyInArrow(add, "block long, pairs boolean, part long, c binary, n long, v long")
+
+
+def _returned(counts: DataFrame) -> DataFrame:
+    """block, words, pairs: the counts of a block in the order of the groups."""
+    lists = (F.array_sort(F.collect_list(F.when(x, F.struct("part", "c")))) for x in (~F.col("pairs"), F.col("pairs")))
+    found = counts.groupBy("block").agg(*(x.alias(name) for x, name in zip(lists, ("words", "pairs"))))
+    return found.select("block", *(F.transform(name, lambda x: x["c"]).alias(name) for name in ("words", "pairs")))
+
+
+def word_counts(h: np.ndarray, found: list[bytes], bits: int) -> np.ndarray:
+    """The counts that came back for a block's words, in the order of the words."""
+    c = np.zeros(len(h), np.int64)
+    c[np.argsort(h >> np.uint64(64 - bits), kind="stable")] = np.concatenate([_numbers(x, np.int64) for x in found])
+    return c
 
 
 def _grams(blocks: DataFrame) -> DataFrame:
@@ -392,9 +417,9 @@ def _grams(blocks: DataFrame) -> DataFrame:
     return blocks.select("held_out", "n", "data").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def fit(blocks: DataFrame, share: float = SHARE) -> Automaton:
+def fit(blocks: DataFrame, shelf: Shelf, share: float = SHARE) -> Automaton:
     """The automaton of the training texts of ``blocks``; without any, every symbol is equally likely."""
-    grams = stored(_grams(blocks), "lm-grams")
+    grams = shelf.put(_grams(blocks), "lm-grams")
     total = grams.agg(F.sum("n")).first()[0] or 0
     parts = []
     for size in range(2, ORDER + 1):
@@ -416,45 +441,45 @@ def score_documents(docs: DataFrame, held_out: Column, share: float = SHARE, id_
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Learns from the rows for which ``held_out`` is false. Null and empty texts are the end alone. ``base_score`` is the
-    add-one unigram of words; ``score`` the automaton's log10 probability. Without training rows N is 0 and all are unknown.
+    add-one unigram of words; ``score`` the log10 probability by pairs of words, with the automaton and the words' own
+    counts as shorter context. Without training rows N is 0 and all are unknown. Rows that repeat each count; an empty table gives no rows.
     """
+    with shuffles_released(docs.sparkSession):
+        return _scored(docs, held_out, share, id_col, text_col, Shelf(docs.sparkSession))
+
+
+def _scored(docs: DataFrame, held_out: Column, share: float, id_col: str, text_col: str, shelf: Shelf) -> DataFrame:
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held_out.alias("held_out"))
-    blocks = stored(_blocks(rows).withColumn("block", F.monotonically_increasing_id()), "lm-blocks")
-    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts"))).select("block", "pos", "col.words", "col.counts")
-    # A word has one row per block that holds it, so the commonest has as many rows as there are blocks, not documents.
-    same = Window.partitionBy("words")
-    summed = words.select(
-        "block", "pos", "counts", F.sum("counts").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("once")
-    )
-    counts = stored(summed, "lm-words")
-    totals = counts.agg(F.coalesce(F.sum("counts"), F.lit(0)).alias("n"), F.count(F.when(F.col("once") & (F.col("c") > 0), 1)).alias("v")).first()
+    blocks = shelf.put(_blocks(rows).withColumn("block", F.monotonically_increasing_id()), "lm-blocks")
+    bits = group_bits(blocks.count())
+    counts = shelf.put(_counts(blocks, bits), "lm-counts")
+    totals = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v"))).first()
     n, v = totals.n, totals.v
-
-    # Each block gets the counts of its own words back, in their order.
-    back = counts.groupBy("block").agg(F.collect_list(F.struct("pos", "c")).alias("found"))
-    back = back.select(F.col("block"), F.transform(F.array_sort("found"), lambda x: x["c"]).alias("c"))
-    whole = blocks.select("block", "doc_id", "held_out", "n", "data").join(back, "block").join(_pair_counts(blocks), "block")
+    # Each block gets the counts of its own words and pairs back, in their order.
+    whole = blocks.join(_returned(counts), "block")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {x: batch.column(x)[k].as_py() for x in ("held_out", "n", "data", "c", "found")}
+                row = {x: batch.column(x)[k].as_py() for x in ("held_out", "n", "data", "words", "pairs")}
                 words, each = _tokens(row, _texts(row))
-                c = np.array(row["c"], np.int64)
-                _, where = np.unique(pairs_of(words, each), return_inverse=True)
-                met = np.concatenate([_numbers(x, np.int64) for x in row["found"]])[where]
+                h = digests_of(words)
+                c = word_counts(h, row["words"], bits)
+                _, where = np.unique(pairs_of(h, each), return_inverse=True)
+                met = np.concatenate([_numbers(x, np.int64) for x in row["pairs"]])[where]
                 train = np.repeat(~np.array(row["held_out"], bool), row["n"])
                 sums = left_out(train, c[each], n, v, contexts(c[each], c[-1]), met)
                 packed = pa.array([press.compress(_planes(met))], pa.binary())
-                columns = ("doc_id", "held_out", "n", "data", "c")
+                columns = ("doc_id", "held_out", "n", "data")
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(x).slice(k, 1) for x in columns), packed, pa.array([sums.ravel()], pa.list_(pa.float64()))],
-                    [*columns, "pairs", "sums"],
+                    [*(batch.column(x).slice(k, 1) for x in columns), pa.array([c], pa.list_(pa.int64())), packed,
+                     pa.array([sums.ravel()], pa.list_(pa.float64()))],
+                    [*columns, "c", "pairs", "sums"],
                 )
 
-    whole = stored(
+    whole = shelf.put(
         whole.mapInArrow(
             align,
             f"doc_id array<{kind}>, held_out array<boolean>, n array<long>, data binary, c array<long>, pairs binary, sums array<double>",
@@ -465,7 +490,9 @@ def score_documents(docs: DataFrame, held_out: Column, share: float = SHARE, id_
     for r in whole.select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect():
         likely[r.k] = r.x
     weights = WEIGHTS[likely.reshape(LEVELS, len(WEIGHTS)).argmax(axis=1)]
-    model = fit(blocks, share)
+    shelf.drop("lm-counts")
+    model = fit(blocks, shelf, share)
+    shelf.drop("lm-grams", "lm-blocks")
     shared = docs.sparkSession.sparkContext.broadcast((model, weights))  # at most ORDER / share n-grams
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

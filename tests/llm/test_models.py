@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cytoplane.llm import language, lm, toxicity
-from cytoplane.llm.common import fold, table
+from cytoplane.llm.common import fold, stored, table
 
 SF = "/root/testdata/sf0.01"
 
@@ -158,19 +158,26 @@ def test_pairs_raise_scores(make, monkeypatch):
     assert seen.score > other.score + 0.2
 
 
-def test_pairs_are_counted_whole(make, monkeypatch):
-    """The counts that blocks get back are those of all pairs in all training texts, also of the rarest."""
+def test_words_and_pairs_are_counted_whole(make, monkeypatch):
+    """The counts that blocks get back are those of all words and pairs in all training texts, also of the rarest."""
     monkeypatch.setattr(lm, "BLOCK_CHARS", 300)
     draw = np.random.default_rng(8)
     texts = [" ".join(draw.choice([f"w{k}" for k in range(40)], draw.integers(0, 30)).tolist()) for _ in range(120)]
     docs = make(texts).select("doc_id", "text", (F.col("doc_id") % 7 == 2).alias("held_out"))
-    blocks = lm.stored(lm._blocks(docs).withColumn("block", F.monotonically_increasing_id()), "test-lm")
+    blocks = stored(lm._blocks(docs).withColumn("block", F.monotonically_increasing_id()), "test-lm")
     assert blocks.count() > 3
     want = Counter(x for i, t in enumerate(texts) if i % 7 != 2 for x in zip(["", *t.split()], [*t.split(), ""]))
-    for r in blocks.join(lm._pair_counts(blocks), "block").collect():
+    single = Counter(w for i, t in enumerate(texts) if i % 7 != 2 for w in (*t.split(), ""))
+    bits = lm.group_bits(blocks.count())
+    counts = stored(lm._counts(blocks, bits), "test-lm")
+    totals = counts.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    assert (totals.n, totals.v) == (sum(single.values()), len(single))
+    for r in blocks.join(lm._returned(counts), "block").collect():
         words, each = lm._tokens({"n": r.n}, lm._texts({"data": r.data, "n": r.n}))
-        pair = lm.pairs_of(words, each)
-        found = np.concatenate([lm._numbers(x, np.int64) for x in r.found])
+        h = lm.digests_of(words)
+        assert lm.word_counts(h, r.words, bits).tolist() == [single[w.decode()] for w in words]
+        pair = lm.pairs_of(h, each)
+        found = np.concatenate([lm._numbers(x, np.int64) for x in r.pairs])
         at = dict(zip(np.unique(pair).tolist(), found.tolist(), strict=True))
         flat = ["", *(words[k].decode() for k in each)]
         assert all(at[int(x)] == want[flat[k], flat[k + 1]] for k, x in enumerate(pair))
