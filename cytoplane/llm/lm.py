@@ -296,11 +296,12 @@ def _runs(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def _tokens(row: dict, texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+def _tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     """Words in the order in which they are met, then the end, and the number of each token."""
-    words = [*dict.fromkeys(chain.from_iterable(d.split() for d in texts)), b""]
-    order = {w: i for i, w in enumerate(words)}
-    return words, np.fromiter((order[w] for d in texts for w in (*d.split(), b"")), np.int64, sum(row["n"]))
+    flat = list(chain.from_iterable((*d.split(), b"") for d in texts))
+    words = [w for w in dict.fromkeys(flat) if w] + [b""]
+    order = dict(zip(words, range(len(words))))
+    return words, np.fromiter(map(order.__getitem__, flat), np.int64, len(flat))
 
 
 def digests_of(words: list[bytes]) -> np.ndarray:
@@ -341,7 +342,7 @@ def _counts(blocks: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k].as_py() for c in ("block", "held_out", "n", "data")}
-                words, each = _tokens(row, _texts(row))
+                words, each = _tokens(_texts(row))
                 h = digests_of(words)
                 train = np.repeat(~np.array(row["held_out"], bool), row["n"])
                 keys, where = np.unique(pairs_of(h, each), return_inverse=True)
@@ -464,7 +465,7 @@ def _scored(docs: DataFrame, held_out: Column, share: float, id_col: str, text_c
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {x: batch.column(x)[k].as_py() for x in ("held_out", "n", "data", "words", "pairs")}
-                words, each = _tokens(row, _texts(row))
+                words, each = _tokens(_texts(row))
                 h = digests_of(words)
                 c = word_counts(h, row["words"], bits)
                 _, where = np.unique(pairs_of(h, each), return_inverse=True)
@@ -504,7 +505,7 @@ def _scored(docs: DataFrame, held_out: Column, share: float, id_col: str, text_c
                 texts = _texts(row)
                 c = np.array(row["c"], np.float64)
                 base = np.log10((c + 1) / (n + v + 1))
-                _, each = _tokens(row, texts)
+                _, each = _tokens(texts)
                 spelled = np.concatenate([automaton.spell(texts[a:b]) for a, b in _runs(texts)])
                 # A word's own arc next to the arcs that spell it, with fixed weights (Jelinek-Mercer).
                 share = WORD_WEIGHT if n else 0.0

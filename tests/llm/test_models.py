@@ -173,7 +173,7 @@ def test_words_and_pairs_are_counted_whole(make, monkeypatch):
     totals = counts.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     assert (totals.n, totals.v) == (sum(single.values()), len(single))
     for r in blocks.join(lm._returned(counts), "block").collect():
-        words, each = lm._tokens({"n": r.n}, lm._texts({"data": r.data, "n": r.n}))
+        words, each = lm._tokens(lm._texts({"data": r.data, "n": r.n}))
         h = lm.digests_of(words)
         assert lm.word_counts(h, r.words, bits).tolist() == [single[w.decode()] for w in words]
         pair = lm.pairs_of(h, each)
