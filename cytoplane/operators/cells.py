@@ -19,6 +19,8 @@ from cytoplane.session import materialize
 TILE = 1024
 #: Meetings of an edge and a point that are judged at once.
 MEETINGS = 2_000_000
+#: Meetings a point, on average, and owners that are judged before points that are found leave.
+ROUND, OWNERS = 8, 4096
 
 
 def with_bounds(cells: DataFrame) -> DataFrame:
@@ -60,29 +62,31 @@ def inside_cells(x: np.ndarray, y: np.ndarray, edges: np.ndarray, owner: np.ndar
     Points are sorted by y, so that bisection gives the slab of points which an edge spans. Each meeting of an edge and a
     point of its slab is judged by products only: on the edge, or left of it. Owners are settled by parity.
     """
-    order = np.argsort(y, kind="stable")
-    ys = y[order]
+    alive = np.argsort(y, kind="stable")
+    ys = y[alive]
     x1, y1, x2, y2 = edges.T
-    first = np.searchsorted(ys, np.minimum(y1, y2), side="left")
-    last = np.searchsorted(ys, np.maximum(y1, y2), side="right")
-    spans = last - first
+    low_y, high_y = np.minimum(y1, y2), np.maximum(y1, y2)
     best = np.full(len(x), len(rank), dtype=np.int64)
-    # Owners in order of rank, as many at a time as give a bounded number of meetings.
     place = np.empty(len(rank), dtype=np.int64)
     place[np.argsort(rank, kind="stable")] = np.arange(len(rank))
+    # Owners in order of rank, as many at a time as give a bounded number of meetings. A point that one of them holds
+    # meets no more, as those that follow rank behind it.
     by_rank = np.argsort(place[owner], kind="stable")
-    ends = np.cumsum(spans[by_rank])
+    last_of = np.flatnonzero(np.diff(owner[by_rank], append=-1) != 0) + 1
     at = 0
-    while at < len(by_rank):
-        to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MEETINGS, side="right")), at + 1)
-        # An owner is never cut in two.
-        while to < len(by_rank) and owner[by_rank[to]] == owner[by_rank[to - 1]]:
-            to += 1
-        mine = by_rank[at:to]
+    while at < len(by_rank) and len(alive):
+        # Edges that are looked at; at least one owner, and never one cut in two.
+        to = int(last_of[min(np.searchsorted(last_of, at, side="right") + OWNERS, len(last_of)) - 1])
+        some = by_rank[at:to]
+        first = np.searchsorted(ys, low_y[some], side="left")
+        n = np.searchsorted(ys, high_y[some], side="right") - first
+        ends = np.cumsum(n)
+        fit = int(np.searchsorted(ends, min(MEETINGS, max(ROUND * len(alive), MEETINGS // 16)), side="right"))
+        to = min(to, int(last_of[np.searchsorted(last_of, at + max(fit, 1), side="left")]))
+        mine, n, first = by_rank[at:to], n[: to - at], first[: to - at]
         at = to
-        n = spans[mine]
         e = np.repeat(mine, n)
-        p = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[mine], n)]
+        p = alive[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
         px, py = x[p], y[p]
         near = px <= np.maximum(x1[e], x2[e])
         e, p, px, py = e[near], p[near], px[near], py[near]
@@ -94,11 +98,21 @@ def inside_cells(x: np.ndarray, y: np.ndarray, edges: np.ndarray, owner: np.ndar
         slot = p * width + (place[owner[e]] - low)
         odd, seen = np.unique(slot[hit], return_counts=True)
         odd = np.setdiff1d(odd[seen % 2 == 1], slot[on], assume_unique=False)
-        np.minimum.at(best, odd // width, odd % width + low)
+        if len(odd):
+            np.minimum.at(best, odd // width, odd % width + low)
+            left = best[alive] == len(rank)
+            alive, ys = alive[left], ys[left]
     back = np.append(np.argsort(place, kind="stable"), -1)
     return back[best]
 
 
+def _first_of_equals(cells: DataFrame, on: list[str]) -> DataFrame:
+    """Of cells with the same polygon the one that a point in it belongs to."""
+    alike = [*on, "parts", "area", "xmin", "ymin", "xmax", "ymax"]
+    first = F.min(F.struct("shape_ord", F.col("cell_id").cast("string").alias("cell_id"))).alias("_first")
+    return cells.groupBy(*alike).agg(first).select(*alike, "_first.*")
+
+
 def locate_cell(points: DataFrame, cells: DataFrame, row_key: list[str] | None = None) -> DataFrame:
     """Every point with the cell that strictly contains it, or null: the columns of ``points`` and ``cell_id``.
 
@@ -106,9 +120,10 @@ def locate_cell(points: DataFrame, cells: DataFrame, row_key: list[str] | None =
     ``seg_key`` a point has one row per segmentation of its section. Points meet edges in grid cells: a point in one
     for each level in use (most often one), an edge only in those where a ray to the right can meet it. Crowded grid
     cells are split. ``row_key`` names columns that tell points apart; without it points are numbered where several
-    levels are in use, which stores them once. Nulls and NaN lie in no cell.
+    levels are in use, which stores them once. Nulls and NaN lie in no cell. Of equal polygons only the first is sent.
     """
     on = ["section", *(c for c in ("seg_key",) if c in cells.columns)]
+    cells = _first_of_equals(cells, on)
     base, levels = common_levels(cells)
     several = len(levels) > 1
     names = points.columns
@@ -125,7 +140,7 @@ def locate_cell(points: DataFrame, cells: DataFrame, row_key: list[str] | None =
     for axis in ("x", "y"):
         spread = spread.withColumn(f"_g{axis}", F.explode(F.sequence(F.floor(F.col(f"{axis}min") / side), F.floor(F.col(f"{axis}max") / side))))
     routed = spread.select(*keys, F.col("cell_id").cast("string").alias("cell_id"), "shape_ord", "area", F.expr(_edges_at("_gy", "_side")).alias("_edges"))
-    dealt, copied = split_hot(placed, routed.filter(F.size("_edges") > 0), keys, F.xxhash64(*row_key) if row_key else None)
+    dealt, copied = split_hot(placed, routed.filter(F.size("_edges") > 0), keys, F.xxhash64(*row_key) if row_key else None, guess=F.xxhash64("x", "y"))
     out_names = [*points.columns, *on[1:]]
     schema = StructType([dealt.schema[c] for c in out_names]).add("cell_id", "string").add("_area", "double").add("_ord", "long")
     types = to_arrow_schema(schema)

@@ -16,6 +16,8 @@ from cytoplane.session import materialize
 MIN_LEVEL = -16
 #: Rows of one group above which the group is dealt out to several tasks.
 GROUP_ROWS = 200_000
+#: How many times the limit a part may have that is dealt out by a hash.
+UNEVEN = 3
 
 
 def _side(level: Column) -> Column:
@@ -105,11 +107,19 @@ def meeting_boxes(left: DataFrame, right: DataFrame, on: list[str], condition: C
 
 
 def split_hot(
-    many: DataFrame, few: DataFrame, keys: list[str], by: Column | None, limit: int = GROUP_ROWS, counted: DataFrame | None = None
+    many: DataFrame,
+    few: DataFrame,
+    keys: list[str],
+    by: Column | None,
+    limit: int = GROUP_ROWS,
+    counted: DataFrame | None = None,
+    *,
+    guess: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Both sides of a cogroup on ``keys`` with ``_salt``, so that no group has much more than ``limit`` rows of ``many``.
 
-    Rows of a larger group are dealt out by ``by``, or by a number that each row is stored with; its rows of ``few`` go to all parts. Use the keys and ``_salt`` for the
+    Rows of a larger group are dealt out by ``by``, or by ``guess`` where that leaves no part of several times the limit (they are
+    counted again), or by a number that each row is stored with; its rows of ``few`` go to all parts. Use the keys and ``_salt`` for the
     cogroup. Groups are counted first (in ``counted``, where that has the same keys and is cheaper); those above the limit
     are stored, at most one per ``limit`` rows, and joined only if there are any.
     """
@@ -118,14 +128,22 @@ def split_hot(
     if hot.isEmpty():
         return many.withColumn("_salt", F.lit(0)), few.withColumn("_salt", F.lit(0))
     names = [c for c in hot.columns if c != "_parts"]
-    if by is None:
-        many, by = materialize(many.withColumn("_number", F.monotonically_increasing_id())), F.col("_number")
 
     def parts(df: DataFrame) -> DataFrame:
+        # One row per ``limit`` rows at most, so it is sent to all tasks.
         same = [df[k].eqNullSafe(hot[f"_hot_{k}"]) for k in keys]
-        return df.join(hot, same, "left").drop(*names).withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+        return df.join(F.broadcast(hot), same, "left").drop(*names).withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+
+    def dealt_by(df: DataFrame, number: Column) -> DataFrame:
+        return parts(df).withColumn("_salt", F.pmod(number, F.col("_parts")).cast("int"))
 
-    dealt = parts(many).withColumn("_salt", F.pmod(by, F.col("_parts")).cast("int")).drop("_parts", "_number")
+    if by is None and guess is not None:
+        uneven = dealt_by(many, guess).filter(F.col("_parts") > 1).groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_size"))
+        if uneven.filter(F.col("_size") > UNEVEN * limit).isEmpty():
+            by = guess
+    if by is None:
+        many, by = materialize(many.withColumn("_number", F.monotonically_increasing_id())), F.col("_number")
+    dealt = dealt_by(many, by).drop("_parts", "_number")
     copied = parts(few).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
     return dealt, copied
 

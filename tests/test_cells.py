@@ -53,6 +53,31 @@ def test_holes_and_huge_cells(spark):
     assert area == {"1": 4e12 - 100, "2": 1.0}
 
 
+def test_stacked_cells_meet_few_points(monkeypatch):
+    """Squares that all hold all points: a point that the first holds meets no more of them."""
+    sides = np.arange(1.0, 2001.0)
+    corners = np.stack([-sides, -sides, sides, sides], axis=1)
+    x0, y0, x1, y1 = corners.T
+    edges = np.stack([np.stack(e, axis=1) for e in ((x0, y0, x1, y0), (x1, y0, x1, y1), (x1, y1, x0, y1), (x0, y1, x0, y0))], axis=1).reshape(-1, 4)
+    owner = np.repeat(np.arange(2000), 4)
+    x, y = np.random.default_rng(2).uniform(-0.9, 0.9, (2, 500))
+    x[0] = 1.5
+    met = []
+    repeat = np.repeat
+    monkeypatch.setattr(c, "MEETINGS", 20_000)
+    monkeypatch.setattr(np, "repeat", lambda a, n: met.append(int(np.sum(n))) or repeat(a, n))
+    got = c.inside_cells(x, y, edges, owner, np.arange(2000))
+    monkeypatch.undo()
+    assert got.tolist() == [1] + [0] * 499
+    assert sum(met) < 100_000  # 2,000,000 edges and points in all, each twice
+
+
+def test_equal_polygons_are_sent_once(spark):
+    stack = cells(spark, *[(k, (0, 0, 4, 4), []) for k in (9, 7, 8)], (5, (0, 0, 4, 5), []))
+    assert sorted((q.cell_id, q.shape_ord) for q in c._first_of_equals(stack, ["section"]).collect()) == [("5", 3), ("9", 0)]
+    assert c.locate_cell(at(spark, (1, 1)), stack).first().cell_id == "9"
+
+
 def test_locate_against_brute_force(spark, tiny):
     rng = np.random.default_rng(1)
     boxes = [(k, (x, y, x + w, y + h), []) for k, (x, y, w, h) in enumerate(zip(*rng.uniform(0, 90, (2, 40)), *rng.uniform(0.1, 40, (2, 40))))]

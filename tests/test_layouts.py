@@ -92,6 +92,17 @@ def test_hot_groups_are_split(spark):
     assert copied.groupBy("name").count().filter("name = 'n'").first()["count"] == 9
 
 
+def test_hot_groups_are_dealt_by_a_hash_unless_it_is_uneven(spark):
+    few = spark.createDataFrame([(0, "a"), (1, "b")], "k long, name string")
+    plain = spark.range(1000).selectExpr("id div 900 AS k", "id")
+    dealt, _ = split_hot(plain, few, ["k"], None, limit=100, guess=F.xxhash64("id"))
+    assert "_number" not in dealt._jdf.queryExecution().analyzed().toString()
+    for rows in (plain, plain.withColumn("id", F.lit(7))):
+        dealt, _ = split_hot(rows, few, ["k"], None, limit=100, guess=F.xxhash64("id"))
+        sizes = [q["count"] for q in dealt.groupBy("k", "_salt").count().collect()]
+        assert max(sizes) < 300 and sum(sizes) == 1000
+
+
 def test_crowded_cells_and_points_give_the_same(spark, points, monkeypatch):
     from cytoplane.operators import grid
 
