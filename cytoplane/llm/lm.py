@@ -5,8 +5,8 @@ spelling of words, which reads the text (words joined by spaces and closed by an
 counted over all training text and smoothed (Witten-Bell); those that make up at least ``SHARE`` of all positions become
 states and arcs. An arc carries a symbol's log-probability; where a state has none, its failure arc leads to the next shorter
 context and adds the backoff weight. A share bounds the automaton (at most 1 / SHARE n-grams of each order) and means
-the same at every size. The traversal goes once from left to right; a text is read as many slices in step, each of
-which starts ``ORDER - 1`` symbols early, after which it is in the state that the traversal carries there.
+the same at every size. A traversal from left to right is, before any symbol, in the state that the ``ORDER - 1`` symbols
+before it lead to; so the different n-grams of a run of texts are traversed once each, all of them in step.
 
 Words and pairs of words are not bounded by anything, so they are not broadcast: all of them are counted, and every block
 of documents gets back the counts of those it holds. Automaton and word counts are the shorter context of the pairs.
@@ -14,9 +14,10 @@ of documents gets back the counts of those it holds. Automaton and word counts a
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -34,8 +35,8 @@ WEIGHTS, LEVELS = np.array([0, 0.003, 0.01, 0.03, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8
 #: Groups that words and pairs are dealt into; more where there are more blocks.
 GROUPS = 1024
 END = 10  # the byte that ends a text; words never hold it
-#: Text of a block, and symbols of a slice.
-BLOCK_CHARS, SLICE, READ_CHARS = 3_000_000, 256, 2_000_000
+#: Text of a block, and of what is read at once.
+BLOCK_CHARS, READ_CHARS = 3_000_000, 2_000_000
 _LN10 = np.log(10)
 
 
@@ -51,13 +52,19 @@ def stream(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8), offsets_of([len(d) + ORDER for d in docs])
 
 
-def gram_counts(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed n-grams of ORDER bytes that end in a symbol of a text, and how often."""
-    symbols, starts = stream(docs)
+def packed(symbols: np.ndarray) -> np.ndarray:
+    """The ORDER symbols that end at each place, as one number; none for the first places."""
     wide = symbols.astype(np.int64)
     key = np.zeros(max(0, len(wide) - ORDER + 1), np.int64)
     for k in range(ORDER):
         key = (key << 8) | wide[k : len(wide) - ORDER + 1 + k]
+    return key
+
+
+def gram_counts(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Packed n-grams of ORDER bytes that end in a symbol of a text, and how often."""
+    symbols, starts = stream(docs)
+    key = packed(symbols)
     ends = np.ones(len(key), bool)
     for s in starts[1:-1].tolist():
         ends[s - ORDER + 1 : s] = False  # n-grams that end in the marks before a text
@@ -106,34 +113,32 @@ class Automaton:
             todo = todo[~hit & (got >= 0)]
         return out
 
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of a symbol in each state, and the state after it."""
+        gained, after = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        todo, now = np.arange(len(state)), state
+        while len(todo):
+            k = self.arcs(now * 256 + symbol[todo])
+            hit = k >= 0
+            found = todo[hit]
+            gained[found] += self.cost[k[hit]]
+            after[found] = self.to[k[hit]]
+            todo, now = todo[~hit], now[~hit]
+            gained[todo] += self.backoff[now]
+            now = self.fail[now]
+        return gained, after
+
     def read(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the texts in a row: log10 probability of each symbol, the state before it, and where texts start."""
         symbols, starts = stream(docs)
-        n, warm = len(symbols), ORDER - 1
-        lanes = -(-n // SLICE)
-        padded = np.full(warm + lanes * SLICE, END, np.int64)
-        padded[warm : warm + n] = symbols
-        state = np.zeros(lanes, np.int64)
-        logs, states = np.zeros((lanes, SLICE)), np.zeros((lanes, SLICE), np.int32)
-        base = np.arange(lanes) * SLICE
-        for step in range(warm + SLICE):
-            symbol = padded[base + step]
-            gained = np.zeros(lanes)
-            if step >= warm:
-                states[:, step - warm] = state
-            todo, now = np.arange(lanes), state.copy()
-            while len(todo):
-                k = self.arcs(now * 256 + symbol[todo])
-                hit = k >= 0
-                found = todo[hit]
-                gained[found] += self.cost[k[hit]]
-                state[found] = self.to[k[hit]]
-                todo, now = todo[~hit], now[~hit]
-                gained[todo] += self.backoff[now]
-                now = self.fail[now]
-            if step >= warm:
-                logs[:, step - warm] = gained
-        return logs.ravel()[:n], states.ravel()[:n], starts
+        key = packed(np.concatenate([np.full(ORDER - 1, END, np.uint8), symbols]))
+        where, grams = pd.factorize(key)
+        behind, before = pd.factorize(grams >> 8)
+        state = np.zeros(len(before), np.int64)
+        for k in range(ORDER - 2, -1, -1):
+            _, state = self.step(state, before >> 8 * k & 255)
+        gained, _ = self.step(state[behind], grams & 255)
+        return gained[where], state[behind].astype(np.int32)[where], starts
 
     def spell(self, docs: list[bytes]) -> np.ndarray:
         """log10 probability of each token of the texts, words and then the end, as the automaton spells them.
@@ -299,9 +304,11 @@ def _runs(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 def _tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     """Words in the order in which they are met, then the end, and the number of each token."""
     flat = list(chain.from_iterable((*d.split(), b"") for d in texts))
-    words = [w for w in dict.fromkeys(flat) if w] + [b""]
-    order = dict(zip(words, range(len(words))))
-    return words, np.fromiter(map(order.__getitem__, flat), np.int64, len(flat))
+    order: dict[bytes, int] = defaultdict(count().__next__)
+    each = np.fromiter(map(order.__getitem__, flat), np.int64, len(flat))
+    end = order.pop(b"")
+    each = np.where(each == end, len(order), each - (each > end))
+    return [*order, b""], each
 
 
 def digests_of(words: list[bytes]) -> np.ndarray:
@@ -472,18 +479,18 @@ def _scored(docs: DataFrame, held_out: Column, share: float, id_col: str, text_c
                 met = np.concatenate([_numbers(x, np.int64) for x in row["pairs"]])[where]
                 train = np.repeat(~np.array(row["held_out"], bool), row["n"])
                 sums = left_out(train, c[each], n, v, contexts(c[each], c[-1]), met)
-                packed = pa.array([press.compress(_planes(met))], pa.binary())
+                # By token, so that texts need not be split into words again.
+                told = [pa.array([press.compress(_planes(x))], pa.binary()) for x in (c[each], met)]
                 columns = ("doc_id", "held_out", "n", "data")
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(x).slice(k, 1) for x in columns), pa.array([c], pa.list_(pa.int64())), packed,
-                     pa.array([sums.ravel()], pa.list_(pa.float64()))],
-                    [*columns, "c", "pairs", "sums"],
+                    [*(batch.column(x).slice(k, 1) for x in columns), *told, pa.array([sums.ravel()], pa.list_(pa.float64()))],
+                    [*columns, "times", "pairs", "sums"],
                 )
 
     whole = shelf.put(
         whole.mapInArrow(
             align,
-            f"doc_id array<{kind}>, held_out array<boolean>, n array<long>, data binary, c array<long>, pairs binary, sums array<double>",
+            f"doc_id array<{kind}>, held_out array<boolean>, n array<long>, data binary, times binary, pairs binary, sums array<double>",
         ),
         "lm-pairs",
     )
@@ -501,19 +508,19 @@ def _scored(docs: DataFrame, held_out: Column, share: float, id_col: str, text_c
         press = zstandard.ZstdDecompressor()
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k].as_py() for c in ("n", "data", "c", "pairs")}
+                row = {c: batch.column(c)[k].as_py() for c in ("n", "data", "times", "pairs")}
                 texts = _texts(row)
-                c = np.array(row["c"], np.float64)
-                base = np.log10((c + 1) / (n + v + 1))
-                _, each = _tokens(texts)
+                times, met = (_numbers(press.decompress(row[x]), np.int64) for x in ("times", "pairs"))
+                base = np.log10((times + 1.0) / (n + v + 1))
                 spelled = np.concatenate([automaton.spell(texts[a:b]) for a, b in _runs(texts)])
                 # A word's own arc next to the arcs that spell it, with fixed weights (Jelinek-Mercer).
                 share = WORD_WEIGHT if n else 0.0
                 with np.errstate(divide="ignore"):
-                    own = np.log(c[each] * share / max(n, 1))
+                    own = np.log(times * share / max(n, 1))
                 scores = np.logaddexp(own, np.log(1 - share) + spelled * _LN10)
-                scores = in_context(scores, weights, contexts(c[each], c[-1]), _numbers(press.decompress(row["pairs"]), np.int64))
-                sums = segment_sum(np.column_stack([base[each], c[each] > 0, scores / _LN10]), offsets_of(row["n"]))
+                # The last token of a block is an end.
+                scores = in_context(scores, weights, contexts(times, times[-1]), met)
+                sums = segment_sum(np.column_stack([base, times > 0, scores / _LN10]), offsets_of(row["n"]))
                 ids = batch.column("doc_id")[k].values
                 yield pa.RecordBatch.from_arrays(
                     [ids, batch.column("held_out")[k].values, pa.array(row["n"], pa.int64()), pa.array(np.rint(sums[:, 1]).astype(np.int64)),

@@ -127,6 +127,17 @@ def test_automaton(keep):
         assert np.allclose(logs[starts[i] + 5 : starts[i + 1]], walk(a, b"\n" * 5 + d + b"\n")[5:])
 
 
+def test_automaton_reads_an_n_gram_once(monkeypatch):
+    a = automaton([b"ab a cab"] * 20, 1)
+    asked = []
+    arcs = lm.Automaton.arcs
+    monkeypatch.setattr(lm.Automaton, "arcs", lambda self, keys: asked.append(len(keys)) or arcs(self, keys))
+    once = a.read([b"cab ab a cab"])[0]
+    few, asked[:] = sum(asked), []
+    often = a.read([b"cab ab a cab"] * 500)[0]
+    assert np.array_equal(often, np.tile(once, 500)[: len(often)]) and sum(asked) < 3 * few
+
+
 def test_scores(make, spark):
     texts = [t[:400] for (t,) in table(spark, SF, "documents").select("text").limit(60).collect()] + [None, "", " \t", "ABC abc\x0bé"]
     docs = make(texts)
