@@ -578,10 +578,15 @@ def piece_overlaps(polygons: DataFrame) -> DataFrame:
 
     ``polygons(section, piece, vertices)``; a piece may have several. Polygons meet by their boxes on
     the grid; then sides must cross, or one polygon must hold a corner, a side's middle or an inner point of the other.
+    Equal polygons of a section are judged once, each of them also against itself; their pieces come by joins on its number.
     """
-    boxes = polygons.select(
+    drawn = polygons.select("section", "piece", "vertices").filter(F.col("section").isNotNull() & F.col("piece").isNotNull())
+    members = drawn.distinct().withColumn("_lone", F.count(F.lit(1)).over(Window.partitionBy("section", "piece")) == 1)
+    shapes = materialize(members.select("section", "vertices").distinct().withColumn("_shape", F.monotonically_increasing_id()))
+    members = materialize(members.join(shapes, ["section", "vertices"]).select("_shape", "piece", "_lone"))
+    boxes = shapes.select(
         "section",
-        "piece",
+        "_shape",
         F.expr(g.edges_of_ring("vertices")).alias("edges"),
         *[c.alias(name) for name, c in g.bounds("vertices").items()],
     ).withColumn("m", F.expr(g.inner_point("edges")))
@@ -596,9 +601,17 @@ def piece_overlaps(polygons: DataFrame) -> DataFrame:
 
     crossing = f"exists(l_edges, u -> exists(r_edges, w -> {g.segments_cross('u', 'w')}))"
     tests = [crossing, held("l_edges", "r_edges"), held("r_edges", "l_edges"), centred("l_m"), centred("r_m")]
-    condition = F.expr("l_piece < r_piece AND (" + " OR ".join(f"({t})" for t in tests) + ")")
-    pairs = meeting_boxes(boxes, boxes, ["section"], condition)
-    return pairs.select("section", F.col("l_piece").alias("left_piece"), F.col("r_piece").alias("right_piece")).distinct()
+    condition = F.expr("l__shape <= r__shape AND (" + " OR ".join(f"({t})" for t in tests) + ")")
+    met = materialize(meeting_boxes(boxes, boxes, ["section"], condition).select("section", "l__shape", "r__shape"))
+    one, other = (
+        members.select(F.col("_shape").alias(f"{side}__shape"), F.col("piece").alias(f"_{side}"), F.col("_lone").alias(f"_{side}_lone")) for side in "lr"
+    )
+    found = met.join(one, "l__shape").join(other, "r__shape")
+    # Within one polygon each pair of pieces is met both ways.
+    found = found.filter(F.when(F.col("l__shape") == F.col("r__shape"), F.col("_l") < F.col("_r")).otherwise(F.col("_l") != F.col("_r")))
+    pairs = found.select("section", F.least("_l", "_r").alias("left_piece"), F.greatest("_l", "_r").alias("right_piece"), (F.col("_l_lone") & F.col("_r_lone")).alias("_once"))
+    # Only pieces of several polygons can meet more than once.
+    return pairs.filter("_once").drop("_once").unionByName(pairs.filter("NOT _once").drop("_once").distinct())
 
 
 def piece_overlap_findings(pairs: DataFrame) -> DataFrame:

@@ -252,3 +252,18 @@ def test_long_chains_are_merged(spark):
     ring = [v.x for v in got["ring"].vertices]
     assert len(ring) == 5 and ring[0] == ring[-1] and sorted(ring[:4]) == [0.0, 1.0, 2.0, 3.0]
     assert {(r.piece, r.rule) for r in found.collect()} == {("long", "merged_segments"), ("ring", "merged_segments"), ("two", "unmergeable_segments")}
+
+
+def test_equal_polygons_are_compared_once(spark, monkeypatch):
+    def square(at, side):
+        return [(float(x), float(y)) for x, y in ((at, 0), (at + side, 0), (at + side, side), (at, side))]
+
+    rows = [("s", f"p{k}", square(0, 4)) for k in range(6)] + [("s", "q", square(3, 4)), ("s", "q", square(0, 4)), ("s", "far", square(50, 4)), ("t", "p0", square(0, 4))]
+    polygons = spark.createDataFrame([*rows, ("s", None, square(0, 4))], "section string, piece string, vertices array<struct<x:double,y:double>>")
+    sent = []
+    meeting = n.meeting_boxes
+    monkeypatch.setattr(n, "meeting_boxes", lambda a, *rest: sent.append(a.count()) or meeting(a, *rest))
+    got = [(q.section, q.left_piece, q.right_piece) for q in n.piece_overlaps(polygons).collect()]
+    names = [f"p{k}" for k in range(6)] + ["q"]
+    assert sorted(got) == [("s", a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    assert sent == [4]
