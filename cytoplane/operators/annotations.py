@@ -74,6 +74,9 @@ TEXTS = {
     "no_objects": "There is no object polygon.",
 }
 
+#: Vertices up to which the sides of a ring are compared all with all.
+SHORT_RING = 24
+
 SHAPE = ["section", "role", "piece", "shape_ord"]
 FINDING = ["section", "piece", "role", "shape_ord", "severity", "rule", "message"]
 
@@ -165,13 +168,18 @@ def _edge_rows(shapes: DataFrame, keys: list[str], ring: bool) -> DataFrame:
 
 
 def _self_touching(shapes: DataFrame, keys: list[str]) -> DataFrame:
-    """Shapes whose ring touches itself: edges meet on the grid, not all with all."""
-    edges = _edge_rows(shapes, keys, ring=True)
+    """Shapes whose ring touches itself: edges of a short ring all with all in their row, others on the grid."""
+    short = F.size("vertices") <= SHORT_RING
+    next_to = "sj - si = 1 OR (si = 0 AND sj = size(se) - 1)"
+    wrong = f"sj > si AND CASE WHEN {next_to} THEN {g.folds_back('sa', 'sb')} ELSE {g.segments_touch('sa', 'sb')} END"
+    bent = F.expr(g.let(g.edges_of_ring("vertices"), "se", f"size(filter(se, (sa, si) -> size(filter(se, (sb, sj) -> {wrong})) > 0)) > 0"))
+    plain = shapes.filter(short).filter(bent).select(*keys)
+    edges = _edge_rows(shapes.filter(~short), keys, ring=True)
     next_to = (F.col("r_i") - F.col("l_i") == 1) | ((F.col("l_i") == 0) & (F.col("r_i") == F.col("l_n") - 1))
     # Neighbours always share a corner; they are wrong only when one folds back along the other.
     touch, folds = F.expr(g.segments_touch("l_e", "r_e")), F.expr(g.folds_back("l_e", "r_e"))
     condition = (F.col("l_i") < F.col("r_i")) & F.when(next_to, folds).otherwise(touch)
-    return meeting_boxes(edges, edges, keys, condition).select(*keys).distinct()
+    return plain.unionByName(meeting_boxes(edges, edges, keys, condition).select(*keys)).distinct()
 
 
 def check_polygons(shapes: DataFrame, keys: list[str] | None = None, label: Column | None = None) -> DataFrame:

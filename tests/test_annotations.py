@@ -254,6 +254,23 @@ def test_long_chains_are_merged(spark):
     assert {(r.piece, r.rule) for r in found.collect()} == {("long", "merged_segments"), ("ring", "merged_segments"), ("two", "unmergeable_segments")}
 
 
+def test_rings_are_judged_alike_in_their_row_and_on_the_grid(spark, monkeypatch):
+    rings = {
+        "square": [(0, 0), (4, 0), (4, 4), (0, 4)], "bow": [(0, 0), (4, 4), (4, 0), (0, 4)], "spike": [(0, 0), (4, 0), (8, 0), (4, 0), (4, 4)],
+        "touch": [(0, 0), (4, 0), (4, 4), (2, 0), (0, 4)], "triangle": [(0, 0), (4, 0), (0, 4)], "flat": [(0, 0), (4, 0), (2, 0)],
+        "stairs": [p for k in range(20) for p in ((k, k), (k + 1, k))] + [(20, 20), (0, 20)],
+    }
+    shapes = spark.createDataFrame(
+        [(k, [(float(x), float(y)) for x, y in v]) for k, v in rings.items()], "name string, vertices array<struct<x:double,y:double>>")
+    met = []
+    meeting = n.meeting_boxes
+    monkeypatch.setattr(n, "meeting_boxes", lambda a, *rest: met.append({q.name for q in a.select("name").collect()}) or meeting(a, *rest))
+    found = {q.name for q in n._self_touching(shapes, ["name"]).collect()}
+    monkeypatch.setattr(n, "SHORT_RING", 0)
+    assert found == {q.name for q in n._self_touching(shapes, ["name"]).collect()} == {"bow", "spike", "touch", "flat"}
+    assert met == [{"stairs"}, set(rings)]
+
+
 def test_equal_polygons_are_compared_once(spark, monkeypatch):
     def square(at, side):
         return [(float(x), float(y)) for x, y in ((at, 0), (at + side, 0), (at + side, side), (at, side))]
